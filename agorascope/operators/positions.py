@@ -23,8 +23,9 @@ def bucketed_positions(
         .withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0)))
         .drop("_n")
     )
-    keys = [marked[c].eqNullSafe(starts[c]) for c in [*by, "_bucket"]]
-    joined = marked.join(starts, keys).select(*[marked[c] for c in marked.columns], starts["_start"])
+    renamed = starts.withColumnsRenamed({c: f"_k_{c}" for c in [*by, "_bucket"]})
+    same = [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in [*by, "_bucket"]]
+    joined = marked.join(renamed, same).drop(*[f"_k_{c}" for c in [*by, "_bucket"]])
     inside = F.row_number().over(W.partitionBy(*by, "_bucket").orderBy(*order))
     return joined.withColumn(name, (F.col("_start") + inside - 1).cast("long")).drop("_bucket", "_start")
 
