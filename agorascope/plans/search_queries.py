@@ -223,9 +223,9 @@ def _(c):
     return textual.ngram_delta(story_texts(c)).withColumn("delta", F.round("delta", 9))
 
 
-@query("key_phrase_trending", f"WITH {RECORD_TEXTS}, {grams('rtx', 'g', (2,))} {DELTA.format(name='g', d=0.00005, m=3)}")
+@query("key_phrase_trending", f"WITH {RECORD_TEXTS}, {grams('rtx', 'g', (2,))} {DELTA.format(name='g', d=0.00001, m=3)}")
 def _(c):
-    return textual.ngram_delta(record_texts(c), 2, 2).withColumn("delta", F.round("delta", 9))
+    return textual.ngram_delta(record_texts(c), 2, 2, min_delta=0.00001).withColumn("delta", F.round("delta", 9))
 
 
 _STOPS = "[" + ", ".join(f"'{w}'" for w in textual.STOP_WORDS) + "]"

@@ -1 +1,77 @@
-"""Queries."""
+"""Queries: streaming flows run to completion, incremental cursors, late rows, entity detail."""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from agorascope.plans.bindings import NE
+from agorascope.plans.ingest_queries import ACCEPTED
+from agorascope.plans.registry import query
+from agorascope.streaming import flows
+from agorascope.streaming.bound import StreamCorpus
+
+
+def streaming(c) -> StreamCorpus:
+    return StreamCorpus(c.spark, c.folder)
+
+
+@query("stream_record_ingested", """SELECT CAST(id AS STRING) AS "recordId", kind, content_type AS "contentType", external_id AS "externalId",
+    CAST(captured_at AS STRING) AS "capturedAt" FROM core""")
+def _(c):
+    events = streaming(c).core.select(
+        F.col("id").cast("string").alias("recordId"), "kind", F.col("content_type").alias("contentType"),
+        F.col("external_id").alias("externalId"), F.col("captured_at").alias("capturedAt"),
+    )
+    return flows.record_ingested(events)
+
+
+@query("stream_ingest_dedup", f"""SELECT DISTINCT 'hackernews' AS kind, CAST(id AS STRING) AS external_id,
+    CASE WHEN type = 'story' THEN 'post' ELSE 'comment' END AS content_type FROM ({ACCEPTED})""")
+def _(c):
+    return flows.ingest_dedup(streaming(c).items, 3, c.as_of).select("kind", "external_id", "content_type")
+
+
+@query("stream_daily_rollup", """SELECT CAST(CAST(captured_at AS DATE) AS STRING) AS bucket_date, kind, count(*) AS record_count FROM core GROUP BY 1, 2""")
+def _(c):
+    return flows.daily_rollup(streaming(c).core.select("kind", "captured_at"))
+
+
+@query("stream_sliding_counts", """WITH w AS (SELECT kind, date_trunc('hour', captured_at) - i * INTERVAL 1 HOUR AS s FROM core, (SELECT unnest(range(0, 24)) AS i))
+    SELECT CAST(s AS STRING) AS window_start, CAST(s + INTERVAL 24 HOUR AS STRING) AS window_end, kind, count(*) AS records FROM w
+    WHERE s + INTERVAL 24 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR GROUP BY s, kind""")
+def _(c):
+    return flows.sliding_counts(streaming(c).core.select("kind", "captured_at"))
+
+
+@query("stream_embedding_gate")
+def _(c):
+    s = streaming(c)
+    return flows.embedding_gate(s.core.select(F.col("id").alias("record_id"), "captured_at"), s.ready_embeddings())
+
+
+@query("webhook_dedup", "SELECT DISTINCT idempotency_key FROM deliv")
+def _(c):
+    return flows.webhook_dedup(streaming(c).deliveries).select("idempotency_key")
+
+
+@query("late_split", """SELECT kind, epoch(ingested_at) - epoch(captured_at) > 86400 AS is_backfill, count(*) AS n FROM arrivals GROUP BY 1, 2""")
+def _(c):
+    return flows.late_split(c.arrivals).groupBy("kind", "is_backfill").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("incremental_cursor", f"""SELECT 'embed' AS task, {NE} + 1 AS waiting, '499' AS next_cursor
+    UNION ALL SELECT 'extract', {NE} - 100, '600' UNION ALL SELECT 'classify', 0, CAST({NE} AS STRING)""")
+def _(c):
+    last = c._top("events", "event_id").cast("string")
+    cursors = c.spark.createDataFrame([("embed",), ("extract",), ("classify",)], "task string").withColumn(
+        "cursor", F.when(F.col("task") == "extract", "100").when(F.col("task") == "classify", last)
+    )
+    rows = []
+    for task in ("embed", "extract", "classify"):
+        moved = flows.advance(cursors, task, flows.next_batch(c.core, cursors, task, 500)).filter(F.col("task") == task)
+        waiting = flows.pending(c.core, cursors, task).agg(F.count(F.lit(1))).scalar()
+        rows.append(moved.select("task", waiting.alias("waiting"), F.col("cursor").alias("next_cursor")))
+    return reduce(DataFrame.union, rows)
