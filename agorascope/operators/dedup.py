@@ -95,9 +95,12 @@ def merge_entities(mentions: DataFrame, aliases: DataFrame) -> DataFrame:
     )
 
 
-def saturation_delta(active: DataFrame, recent: DataFrame, key: str = "token") -> DataFrame:
-    """Change of a suppression list: tokens added, removed and kept."""
-    a = active.select(key).distinct().withColumn("_a", F.lit(True))
-    r = recent.select(key).distinct().withColumn("_r", F.lit(True))
-    change = F.when(F.col("_a").isNull(), "added").when(F.col("_r").isNull(), "removed").otherwise("kept")
-    return a.join(r, key, "full_outer").select(key, change.alias("change"))
+def saturation_delta(rows: DataFrame, in_active: Column, in_recent: Column, key: str = "token") -> DataFrame:
+    """Change of a suppression list: tokens added, removed and kept.
+
+    ``rows`` holds the tokens of both lists; the two conditions tell which list a row is from.
+    """
+    sides = rows.filter(in_active | in_recent).groupBy(key).agg(
+        F.bool_or(in_active).alias("_a"), F.bool_or(in_recent).alias("_r")
+    )
+    return sides.select(key, F.when(~F.col("_a"), "added").when(~F.col("_r"), "removed").otherwise("kept").alias("change"))

@@ -32,7 +32,7 @@ def occurrences(words: str, term: str) -> Column:
 def fulltext_search(documents: DataFrame, text: Column, query: str, k1: float = P.bm25_k1, b: float = P.bm25_b) -> DataFrame:
     """Documents holding every query term, with their BM25 ``score`` (no stemming).
 
-    Corpus statistics are one aggregate row, read as scalar subqueries. Terms of the query are
+    Corpus statistics are one aggregate row, read as a scalar subquery. Terms of the query are
     a few constants, so there is no postings join.
     """
     terms = query_terms(query)
@@ -43,20 +43,20 @@ def fulltext_search(documents: DataFrame, text: Column, query: str, k1: float =
     for i, term in enumerate(terms):
         counted = counted.withColumn(f"_tf{i}", occurrences("_w", term))
     counted = counted.drop("_w")
-    stats = counted.agg(
+    stats = counted.agg(F.struct(
         n_rows().alias("n"), F.avg("_len").alias("avg_len"),
         *[F.count_if(F.col(f"_tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))],
-    )
-    n, avg_len = stats.select("n").scalar(), stats.select("avg_len").scalar()
+    ).alias("s")).scalar()
     hits = counted
+    for i in range(len(terms)):
+        hits = hits.filter(F.col(f"_tf{i}") > 0)
+    hits = hits.withColumn("_s", stats)
     score = F.lit(0.0)
     for i in range(len(terms)):
-        tf = F.col(f"_tf{i}")
-        hits = hits.filter(tf > 0)
-        df = stats.select(f"df{i}").scalar()
-        idf = F.log(F.lit(1.0) + (n - df + 0.5) / (df + 0.5))
-        score = score + idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("_len") / avg_len))
-    return hits.withColumn("score", score).drop("_len", *[f"_tf{i}" for i in range(len(terms))])
+        tf, df = F.col(f"_tf{i}"), F.col(f"_s.df{i}")
+        idf = F.log(F.lit(1.0) + (F.col("_s.n") - df + 0.5) / (df + 0.5))
+        score = score + idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("_len") / F.col("_s.avg_len")))
+    return hits.withColumn("score", score).drop("_s", "_len", *[f"_tf{i}" for i in range(len(terms))])
 
 
 def _sized(n: int) -> Column:
@@ -77,18 +77,30 @@ def ngram_counts(texts: DataFrame, n_min: int, n_max: int) -> DataFrame:
     return exploded.groupBy("n", "ngram").agg(F.sum("recent").alias("recent_n"), F.sum("baseline").alias("baseline_n"))
 
 
+def ngram_totals(texts: DataFrame, n_min: int, n_max: int) -> DataFrame:
+    """Number of n-grams of each size in either window, from word counts alone: nothing is exploded."""
+    sized = texts.select("recent", "baseline", F.size(tokens(F.col("text"))).alias("_k"))
+
+    def total(weight: str, n: int) -> Column:
+        return F.sum(F.greatest(F.col("_k") - (n - 1), F.lit(0)) * F.col(weight))
+
+    rows = F.array(*[
+        F.struct(F.lit(n).alias("n"), total("recent", n).alias("_tr"), total("baseline", n).alias("_tb")) for n in range(n_min, n_max + 1)
+    ])
+    return sized.agg(rows.alias("_r")).select(F.inline("_r"))
+
+
 def ngram_delta(
     texts: DataFrame, n_min: int = 1, n_max: int = 3, min_delta: float = P.phrase_min_delta,
     min_count: int = P.phrase_min_count,
 ) -> DataFrame:
     """N-grams whose share of the recent window exceeds their baseline share by ``min_delta``."""
-    counts = ngram_counts(texts, n_min, n_max)
-    totals = counts.groupBy("n").agg(F.sum("recent_n").alias("_tr"), F.sum("baseline_n").alias("_tb"))
-    share = counts.join(F.broadcast(totals), "n")  # one row per n
+    counts = ngram_counts(texts, n_min, n_max).filter(F.col("recent_n") >= min_count)
+    share = counts.join(F.broadcast(ngram_totals(texts, n_min, n_max)), "n")  # one row per n
     delta = F.col("recent_n") / F.col("_tr") - F.coalesce(F.col("baseline_n") / F.nullif("_tb", F.lit(0)), F.lit(0.0))
     return (
         share.withColumn("delta", delta)
-        .filter((F.col("delta") >= min_delta) & (F.col("recent_n") >= min_count))
+        .filter(F.col("delta") >= min_delta)
         .select("n", "ngram", "recent_n", "baseline_n", "delta")
     )
 
@@ -100,7 +112,7 @@ def ngram_vs_source(output: DataFrame, source: DataFrame, n: int = 1, min_ratio:
     """
     ours = ngram_counts(output, n, n).select("ngram", F.col("recent_n").alias("output_n"))
     theirs = ngram_counts(source, n, n).select("ngram", F.col("recent_n").alias("source_n"))
-    total_out, total_src = ours.agg(F.sum("output_n")).scalar(), theirs.agg(F.sum("source_n")).scalar()
+    total_out, total_src = (ngram_totals(t, n, n).select("_tr").scalar() for t in (output, source))
     both = ours.filter(F.col("output_n") >= min_count).join(theirs, "ngram", "left")
     ratio = (F.col("output_n") / total_out) / ((F.coalesce("source_n", F.lit(0)) + 1) / total_src)
     return both.withColumn("ratio", ratio).filter(F.col("ratio") >= min_ratio)

@@ -66,23 +66,34 @@ def topic_centroids(vectors: DataFrame, topic: str = "topic_id") -> DataFrame:
     return vectors.groupBy(topic).agg(mean_vector("vector").alias("centroid"), F.count(F.lit(1)).alias("n"))
 
 
-def assign_topics_centroid(vectors: DataFrame, centroids: DataFrame, min_similarity: float) -> DataFrame:
-    """Nearest centroid per record; similarity is the confidence.
+def assign_topics_centroid(
+    vectors: DataFrame, centroids: DataFrame, topics: int, min_similarity: float, block: int = 500
+) -> DataFrame:
+    """Nearest centroid per record; similarity is the confidence, ties go to the lower topic.
 
-    The centroids (one row per topic of the control table) travel as one array value, so each
-    record is scored where it lies.
+    ``topics`` is the number of centroids. They travel as array values of about ``block`` centroids,
+    so each record is scored where it lies and the size of what travels is bounded however many
+    topics there are.
     """
-    packed = centroids.agg(F.collect_list(F.struct("topic_id", "centroid"))).scalar()
-    scored = vectors.withColumn("_c", packed).withColumn(
-        "_best",
-        F.array_max(F.transform("_c", lambda c: F.struct(
-            F.round(cosine(F.col("vector"), c["centroid"]), 6).alias("s"), (-c["topic_id"]).alias("t")))),
-    )
-    return scored.filter(F.col("_best.s") >= min_similarity).select(
+    blocks = max(1, -(-topics // block))
+    best = []
+    scored = vectors
+    for i in range(blocks):
+        part = centroids if blocks == 1 else centroids.filter(F.pmod(F.xxhash64("topic_id"), F.lit(blocks)) == i)
+        packed = part.agg(F.collect_list(F.struct("topic_id", "centroid"))).scalar()
+        scored = scored.withColumn("_c", packed).withColumn(f"_b{i}", F.array_max(F.transform("_c", _scored_centroid))).drop("_c")
+        best.append(F.col(f"_b{i}"))
+    top = best[0] if blocks == 1 else F.greatest(*best)
+    scored = scored.withColumn("_best", top).filter(F.col("_best.s") >= min_similarity)
+    return scored.select(
         "record_id", (-F.col("_best.t")).alias("topic_id"), F.lit("cluster").alias("method"), F.col("_best.s").alias("confidence")
     )
 
 
+def _scored_centroid(c: Column) -> Column:
+    return F.struct(F.round(cosine(F.col("vector"), c["centroid"]), 6).alias("s"), (-c["topic_id"]).alias("t"))
+
+
 def assign_topics_cluster(vectors: DataFrame, clusters: int, seed: int = 7) -> DataFrame:
     """Topics from k-means clusters, with the cosine to the cluster's centre as confidence."""
     cells, centres = build_cells(vectors, clusters, seed)

@@ -304,7 +304,8 @@ _CENTS = """ce AS (SELECT topic_id, list(a ORDER BY i) AS c FROM (SELECT label A
     SELECT record_id, topic_id, 'cluster' AS method, s AS confidence FROM r WHERE rn = 1 AND s >= 0.1""")
 def _(c):
     cents = vectorial.topic_centroids(c.vectors.withColumnRenamed("cluster", "topic_id"))
-    return vectorial.assign_topics_centroid(c.vectors, cents, 0.1)
+    clusters = c.vectors.select("cluster").distinct().count()
+    return vectorial.assign_topics_centroid(c.vectors, cents, clusters, 0.1, block=4)
 
 
 @query("assign_topics_cluster")

@@ -254,10 +254,10 @@ def word_windows(c):
 @query("saturation_states", f"""WITH RECURSIVE {WORDS},
     f AS (SELECT token, rn, window_no, {_step("'untracked'")} AS state FROM wr WHERE rn = 1
       UNION ALL SELECT wr.token, wr.rn, wr.window_no, {_step('f.state')} FROM f JOIN wr ON wr.token = f.token AND wr.rn = f.rn + 1)
-    SELECT token, window_no, CASE WHEN state = 'saturated' AND token LIKE 'th%' THEN 'removed' ELSE state END AS state FROM f""")
+    SELECT token, window_no, CASE WHEN state = 'saturated' AND token IN (SELECT unnest(keywords) FROM topics) THEN 'removed' ELSE state END AS state FROM f""")
 def _(c):
     shares = signals.token_shares(word_windows(c), 20)
-    return signals.saturation_states(shares, shares.filter(F.col("token").startswith("th")))
+    return signals.saturation_states(shares, c.topics.select(F.explode("keywords").alias("token")))
 
 
 @query("saturation_delta", f"""WITH RECURSIVE {WORDS}, x AS (SELECT DISTINCT token, window_no FROM wr WHERE r >= 1.2),
@@ -267,10 +267,10 @@ def _(c):
 def _(c):
     from agorascope.operators.dedup import saturation_delta
 
-    shares = signals.token_shares(word_windows(c), 20)
-    last = shares.agg(F.max("window_no")).scalar()
-    high = shares.filter(F.col("ratio") >= 1.2)
-    return saturation_delta(high.filter(F.col("window_no") == last - 1), high.filter(F.col("window_no") == last))
+    high = signals.token_shares(word_windows(c), 20).filter(F.col("ratio") >= 1.2)
+    last = c.stories.agg(F.datediff(F.to_date(F.max("generated_at")), F.lit(FIRST).cast("date"))).scalar()
+    rows = high.withColumn("_last", last)
+    return saturation_delta(rows, F.col("window_no") == F.col("_last") - 1, F.col("window_no") == F.col("_last"))
 
 
 @query("signal_notify", """SELECT id, concat('{"signalId":', id, ',"kind":"', kind, '","severity":"', severity, '","score":', CAST(score AS STRING),

@@ -7,9 +7,12 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from agorascope.operators.entity_page import entity_detail
 from agorascope.plans.bindings import NE
 from agorascope.plans.ingest_queries import ACCEPTED
+from agorascope.plans.read_queries import STATS
 from agorascope.plans.registry import query
+from agorascope.plans.rollup_queries import GROWTH, GROWTH_RATE
 from agorascope.streaming import flows
 from agorascope.streaming.bound import StreamCorpus
 
@@ -75,3 +78,58 @@ def _(c):
         waiting = flows.pending(c.core, cursors, task).agg(F.count(F.lit(1))).scalar()
         rows.append(moved.select("task", waiting.alias("waiting"), F.col("cursor").alias("next_cursor")))
     return reduce(DataFrame.union, rows)
+
+
+_ID = 4
+_OWN = f"(SELECT DISTINCT record_id FROM ment WHERE entity_id = {_ID})"
+
+
+def _top(inner: str, value: str, order: str, n: int) -> str:
+    return f"(SELECT array_to_string(list(v ORDER BY rn), ',') FROM (SELECT {value} AS v, row_number() OVER (ORDER BY {order}) AS rn FROM ({inner})) WHERE rn <= {n})"
+
+
+_RECENT_SQL = _top(f"SELECT id, captured_at FROM core WHERE id IN {_OWN}", "CAST(id AS STRING)", "captured_at DESC, id DESC", 5)
+_STORIES_SQL = _top(
+    f"SELECT DISTINCT id, generated_at FROM (SELECT id, generated_at, unnest(source_record_ids) AS rid FROM st WHERE active) WHERE CAST(rid AS BIGINT) IN {_OWN}",
+    "id", "generated_at DESC, id", 5)
+_SIGNALS_SQL = _top(
+    f"SELECT id, detected_at FROM sig WHERE id IN (SELECT signal_id FROM sigev WHERE target = 'entity' AND entity_id = {_ID})",
+    "CAST(id AS STRING)", "detected_at DESC, id DESC", 5)
+_RELATED_SQL = _top(
+    f"SELECT entity_id, count(DISTINCT record_id) AS n FROM ment WHERE entity_id <> {_ID} AND record_id IN {_OWN} GROUP BY 1",
+    "concat(entity_id, ':', n)", "n DESC, entity_id", 5)
+_TOPICS_SQL = _top(
+    f"SELECT topic_id, count(DISTINCT record_id) AS n FROM ta WHERE record_id IN {_OWN} GROUP BY 1", "concat(topic_id, ':', n)", "n DESC, topic_id", 5)
+_KINDS = f"SELECT kind, count(*) AS n FROM core WHERE id IN {_OWN} GROUP BY 1"
+_TREND_SQL = _top(
+    f"SELECT CAST(date_trunc('week', captured_at) AS DATE) AS w, round(avg(sentiment_score), 6) AS a, count(*) AS n FROM core WHERE id IN {_OWN} GROUP BY 1",
+    "concat_ws(':', CAST(w AS STRING), CAST(CAST(round(a * 1000000) AS BIGINT) AS STRING), CAST(n AS STRING))", "w DESC", 52)
+_DAYS_SQL = _top(
+    f"SELECT CAST(captured_at AS DATE) AS d, count(*) AS n FROM ment WHERE entity_id = {_ID} GROUP BY 1", "concat(CAST(d AS STRING), ':', n)", "d DESC", 30)
+_ARCS_SQL = _top(
+    f"""SELECT m.arc_id, count(DISTINCT r.story_id) AS n FROM refs r JOIN arcm m ON m.story_id = r.story_id
+        WHERE r.ref_type = 'entity' AND r.ref_slug = 'nation-{_ID}' GROUP BY 1""", "concat(arc_id, ':', n)", "n DESC, arc_id", 5)
+
+
+def _mood(label: str) -> str:
+    return f"(SELECT count(*) FROM core WHERE id IN {_OWN} AND sentiment_label {label})"
+
+
+@query("entity_detail", f"""WITH {STATS}, pr AS (SELECT id, round(percent_rank() OVER (PARTITION BY type ORDER BY mention_count) * 100, 4) AS pct,
+      count(*) OVER (PARTITION BY type) AS n FROM es), g AS (SELECT * FROM ({GROWTH}) WHERE entity_id = {_ID})
+    SELECT es.id, es.name, es.type, concat('nation-', es.id) AS slug, concat('/entity/nation-', es.id) AS canonical_path, mention_count,
+      CAST(first_seen AS STRING) AS first_seen, CAST(last_seen AS STRING) AS last_seen, g.recent_mentions, g.baseline_mentions, {GROWTH_RATE} AS growth_factor,
+      (SELECT count(*) FROM ({_KINDS})) AS distinct_sources,
+      (SELECT round(sum(CAST(n AS DOUBLE) * n) / (CAST(sum(n) AS DOUBLE) * CAST(sum(n) AS DOUBLE)) * 10000, 4) FROM ({_KINDS})) AS herfindahl_index,
+      pr.pct AS within_type, pr.n AS sample_size, {_mood("= 'positive'")} AS positive, {_mood("= 'neutral'")} AS neutral, {_mood("= 'negative'")} AS negative,
+      {_mood("IS NULL")} AS unknown, es.id IN (SELECT v.entity_id FROM sigev v JOIN sig s ON s.id = v.signal_id WHERE v.target = 'entity' AND s.kind = 'novelty'
+        AND NOT s.acknowledged) AS novelty_active,
+      {_RECENT_SQL} AS recent_records, {_STORIES_SQL} AS recent_stories, {_SIGNALS_SQL} AS direct_signals, {_RELATED_SQL} AS related_entities,
+      {_TOPICS_SQL} AS topic_mix, {_top(_KINDS, "concat(kind, ':', n)", "n DESC, kind", 9)} AS source_mix, {_TREND_SQL} AS sentiment_trend,
+      {_DAYS_SQL} AS mention_timeline, {_ARCS_SQL} AS story_arcs
+    FROM es JOIN pr ON pr.id = es.id LEFT JOIN g ON g.entity_id = es.id WHERE es.id = {_ID}""")
+def _(c):
+    return entity_detail(
+        _ID, entities=c.entities, mentions=c.mentions, records=c.core, assignments=c.assignments, stories=c.stories, signals=c.signals,
+        evidence=c.evidence, references=c.references, membership=c.membership, as_of=c.as_of,
+    )
