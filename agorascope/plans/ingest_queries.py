@@ -82,7 +82,7 @@ def _(c):
     FROM rec WHERE captured_at >= TIMESTAMP '2024-01-08 00:00:00' GROUP BY 1, 2""")
 def _(c):
     path = fresh_dir(c.spark, "records")
-    store.write_records(c.records, path)
+    store.write_records(c.records, path, files_per_day=1)
     back = store.read_records(c.spark, path).filter(F.col("captured_date") >= F.lit("2024-01-08").cast("date"))
     return back.groupBy("captured_date", "kind").agg(
         F.count(F.lit(1)).alias("n"), F.count("content_text").alias("with_text"),

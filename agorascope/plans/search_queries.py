@@ -171,7 +171,7 @@ def _(c):
 def _(c):
     words = c.topics.select("id", F.posexplode("keywords").alias("i", "name"))
     dictionary = words.select((F.col("id") * 2 + F.col("i")).alias("entity_id"), "name")
-    texts = c.table("documents").select(F.col("doc_id").alias("record_id"), "text")
+    texts = c.documents.select(F.col("doc_id").alias("record_id"), "text")
     return textual.extract_mentions(texts, dictionary)
 
 
@@ -192,7 +192,7 @@ def record_texts(c, recent_days: int = 7, baseline_days: int = 21):
     weights = c.core.filter((t > start) & (t <= now)).groupBy("doc_id").agg(
         F.count_if(t > split).alias("recent"), F.count_if(t <= split).alias("baseline")
     )
-    docs = c.table("documents").select("doc_id", "text")
+    docs = c.documents.select("doc_id", "text")
     return weights.join(docs, "doc_id").select("text", "recent", "baseline")
 
 

@@ -23,7 +23,7 @@ def conform(frame: DataFrame, name: str) -> DataFrame:
     )
 
 
-def write_records(records: DataFrame, path: str) -> None:
+def write_records(records: DataFrame, path: str, files_per_day: int = 16) -> None:
     """Records partitioned by capture date and sorted by kind in each file.
 
     The date is joined by a spread over ids, so one busy day becomes several files rather
@@ -31,7 +31,7 @@ def write_records(records: DataFrame, path: str) -> None:
     """
     dated = conform(records, "records").withColumn("captured_date", F.to_date("captured_at"))
     (
-        dated.repartition("captured_date", F.pmod(F.xxhash64("id"), F.lit(16)))
+        dated.repartition("captured_date", F.pmod(F.xxhash64("id"), F.lit(files_per_day)))
         .sortWithinPartitions("captured_date", "kind")
         .write.mode("errorifexists").partitionBy("captured_date").parquet(path)
     )

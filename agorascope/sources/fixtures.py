@@ -48,6 +48,23 @@ class Corpus:
     def as_of(self):
         return F.lit(AS_OF).cast("timestamp")
 
+    def spread(self, frame: DataFrame) -> DataFrame:
+        """Rows dealt out over all cores before heavy per-row text work.
+
+        For inputs of few, unsplittable files, as the fixtures are. ``agorascope.textPartitions``
+        sets the number; unset means none on a cluster, where a table has files enough, and one
+        partition per core in local mode.
+        """
+        spark = self.spark
+        local = spark.sparkContext.defaultParallelism if spark.sparkContext.master.startswith("local") else 0
+        wanted = int(spark.conf.get("agorascope.textPartitions", str(local)))
+        return frame.repartition(wanted) if wanted > 0 else frame
+
+    @cached_property
+    def documents(self) -> DataFrame:
+        """Documents ready for work on their text."""
+        return self.spread(self.table("documents"))
+
     def _top(self, table: str, column: str, plus: int = 0):
         """max(column) + plus of a driver table as a scalar subquery."""
         return self.table(table).agg((F.max(column) + plus).alias("v")).scalar()
@@ -93,7 +110,7 @@ class Corpus:
         docs = self.table("documents").select(
             "doc_id", F.col("text").alias("content_text"), F.col("lang").alias("language")
         )
-        return frame.join(docs, "doc_id", "left")
+        return self.spread(frame).join(docs, "doc_id", "left")
 
     @cached_property
     def records(self) -> DataFrame:
