@@ -71,8 +71,8 @@ def _(c):
     return rollups.entity_stats(c.entities, c.mentions).select("id", "name", "mention_count", "first_seen", "last_seen")
 
 
-@query("topic_sentiment", f"""SELECT p.topic_id, r.kind, count_if(sentiment_label = 'positive') AS positive,
-    count_if(sentiment_label = 'neutral') AS neutral, count_if(sentiment_label = 'negative') AS negative, count(*) AS total
+@query("topic_sentiment", f"""SELECT p.topic_id, r.kind, count(*) FILTER (sentiment_label = 'positive') AS positive,
+    count(*) FILTER (sentiment_label = 'neutral') AS neutral, count(*) FILTER (sentiment_label = 'negative') AS negative, count(*) AS total
     FROM {TOPIC_PAIRS} p JOIN core r ON r.id = p.record_id WHERE r.captured_at > {T_AS_OF} - INTERVAL 14 DAY GROUP BY 1, 2""")
 def _(c):
     return rollups.topic_sentiment(c.assignments, c.core, c.as_of, 14)
@@ -102,8 +102,8 @@ def _(c):
     return rollups.entity_source_mix(rollups.entity_source_counts(c.mentions, c.core))
 
 
-@query("entity_sentiment_dist", f"""SELECT p.entity_id, count_if(sentiment_label = 'positive') AS positive,
-    count_if(sentiment_label = 'neutral') AS neutral, count_if(sentiment_label = 'negative') AS negative,
+@query("entity_sentiment_dist", f"""SELECT p.entity_id, count(*) FILTER (sentiment_label = 'positive') AS positive,
+    count(*) FILTER (sentiment_label = 'neutral') AS neutral, count(*) FILTER (sentiment_label = 'negative') AS negative,
     count_if(sentiment_label IS NULL) AS unknown FROM {PAIRS} p JOIN core r ON r.id = p.record_id GROUP BY 1""")
 def _(c):
     return rollups.entity_sentiment(c.mentions, c.core)

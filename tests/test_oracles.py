@@ -1,5 +1,12 @@
-"""Every registered query against its SQL on the smallest tables."""
+"""Every registered query against its SQL on the smallest tables.
 
+Broadcast joins are off, so that the shuffle joins a cluster would choose are what is tested, and
+the plan of each query is checked for shapes that cannot scale.
+"""
+
+import re
+
+import plans
 import pytest
 import verify
 from conftest import FOLDER
@@ -14,9 +21,19 @@ def duck():
     return verify.connect(FOLDER)
 
 
+@pytest.fixture(scope="module")
+def no_broadcast(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield spark
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 @pytest.mark.parametrize("key", sorted(QUERIES))
-def test_query(spark, duck, key):
-    frame = QUERIES[key](spark, FOLDER)
+def test_query(no_broadcast, duck, key):
+    frame = QUERIES[key](no_broadcast, FOLDER)
+    text = plans.plan_of(frame)
+    for name in ("CartesianProduct", "NestedLoop", "Python"):
+        assert not re.search(plans.FLAGS[name], text), name
     rows = [tuple(r) for r in frame.collect()]
     if key not in ORACLES:
         assert rows
