@@ -12,6 +12,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from agorascope.functions.rules import category, lookup
 from agorascope.functions.text import host, tokens
@@ -36,13 +37,19 @@ REGISTERS = ("calm", "alarm", "hype", "doubt")
 TIER_NAMES = tuple(t[0] for t in TIERS)
 
 
+_SCHEMAS: dict[str, StructType] = {}  # schema by path, so that a table's footer is read once a process
+
+
 class Corpus:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = prepare(spark)
         self.folder = folder.rstrip("/")
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        path = f"{self.folder}/{name}.parquet"
+        if path not in _SCHEMAS:
+            _SCHEMAS[path] = self.spark.read.parquet(path).schema
+        return self.spark.read.schema(_SCHEMAS[path]).parquet(path)
 
     @property
     def as_of(self):
