@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from agorascope.llm import simhash
+from agorascope.llm import bpe, simhash, token_counts
 from agorascope.llm.common import table
 
 
@@ -14,5 +14,18 @@ def op3_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.components(table(spark, folder, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op3_simhash": op3_simhash}
+def op5_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    return bpe.digests(table(spark, folder, "documents"), bpe.vocabulary(), ["doc_id"])
+
+
+def op9_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    counted = token_counts.lengths(table(spark, folder, "documents"), bpe.vocabulary())
+    return token_counts.histogram(counted)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_simhash": op3_simhash,
+    "op5_bpe": op5_bpe,
+    "op9_token_counts": op9_token_counts,
+}
 ORACLES: dict[str, str] = {}
