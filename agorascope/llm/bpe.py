@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from agorascope.llm.common import in_batches
+from agorascope.llm.common import in_batches, with_fields
 
 LEAF_BYTES = 24  # a piece up to this length is merged directly
 LEAF_CHARS = 1 << 18  # a text up to this length is one leaf
@@ -190,14 +190,14 @@ def encode(docs: DataFrame, vocab: tuple[bytes, str]) -> DataFrame:
     through; a column of the name ``token_ids`` is replaced.
     """
     rows = docs.drop("token_ids")
-    out = rows.schema.add("token_ids", "array<int>")
+    out = with_fields(rows.schema, "token_ids array<int>")
     return rows.mapInArrow(in_batches(functools.partial(_encode, *vocab)), out)
 
 
 def decode(frame: DataFrame, vocab: tuple[bytes, str]) -> DataFrame:
     """``frame`` and ``decoded``: the bytes that its ``token_ids`` stand for; none for null or no ids."""
     rows = frame.drop("decoded")
-    out = rows.schema.add("decoded", "binary")
+    out = with_fields(rows.schema, "decoded binary")
     return rows.mapInArrow(in_batches(functools.partial(_decode, *vocab)), out)
 
 

@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from agorascope.session import shared_dir
 
@@ -45,6 +46,10 @@ def digest(name: str = "text") -> Column:
     return F.substring(F.unhex(F.sha2(text_or_empty(name), 256)), 1, 16)
 
 
+def with_fields(schema: StructType, ddl: str) -> StructType:
+    return StructType([*schema.fields, *StructType.fromDDL(ddl).fields])
+
+
 def sha256_hex(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()
 
