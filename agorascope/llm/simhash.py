@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from agorascope.llm.common import stable, utf8
+from agorascope.llm.common import stable, task_count, utf8, with_fields
 from agorascope.llm.components import connected_components
 
 SHINGLE, SEED, MAX_BITS = 4, 42, 4
@@ -61,7 +61,7 @@ def _add_fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
 def with_fingerprints(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     """The columns ``keep`` and ``_print``, the fingerprint as a signed long."""
     rows = docs.select(F.col(text).cast("string").alias("_text"), *keep)
-    kept = docs.select(*keep).schema.add("_print", "long")
+    kept = with_fields(rows.drop("_text").schema, "_print long")
     return rows.mapInArrow(_add_fingerprints, kept)
 
 
@@ -79,6 +79,7 @@ def links(prints: DataFrame) -> DataFrame:
     )
     one_bit = stable(connected_components(near))
     nodes = stable(prints.join(one_bit, prints.p == one_bit.node, "left").select("p", F.coalesce("root", "p").alias("c")))
+    nodes = nodes.repartition(task_count(prints.sparkSession), "p")  # small until the variants are made
 
     masks = [_signed(((1 << width) - 1) << first) for first, width in SEGMENTS]
     mask = F.lit(masks[2])
@@ -87,8 +88,18 @@ def links(prints: DataFrame) -> DataFrame:
     variants = nodes.select("p", "c", bit).withColumn("v", F.col("p").bitwiseAND(mask).bitwiseAND(F.bitwise_not(flag)))
     left = variants.select("bit", "v", F.col("p").alias("p1"), F.col("c").alias("c1"))
     right = variants.select("bit", "v", F.col("p").alias("p2"), F.col("c").alias("c2"))
-    far = F.bit_count(F.col("p1").bitwiseXOR(F.col("p2")))
-    met = left.join(right, ["bit", "v"]).where((F.col("c1") > F.col("c2")) & (far <= MAX_BITS))
+    both = F.col("p1").bitwiseXOR(F.col("p2"))
+    apart = [F.bit_count(both.bitwiseAND(F.lit(m))) for m in masks]
+    # of the variants that a pair shares only the first one counts: earlier segments share none, and the wiped
+    # bit is the one that differs or, in equal segments, the first
+    once = F.lit(False)
+    for i, (first, width) in enumerate(SEGMENTS):
+        here = (F.col("bit") == first) | ((apart[i] == 1) & F.col("bit").between(first + 1, first + width - 1))
+        for earlier in apart[:i]:
+            here &= earlier > 1
+        once |= here & F.col("bit").between(first, first + width - 1)
+    close = (F.col("c1") > F.col("c2")) & (F.bit_count(both) <= MAX_BITS) & once
+    met = left.join(right, ["bit", "v"]).where(close)
     across = met.select(F.col("c1").alias("a"), F.col("c2").alias("b")).distinct()
     return across.union(one_bit.select(F.col("node").alias("a"), F.col("root").alias("b")))
 
