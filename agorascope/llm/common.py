@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from agorascope.session import shared_dir
+from agorascope.session import fresh_dir, shared_dir
 
 #: Bytes that separate words of `[^\x20\x09-\x0D]+`; bytes.split() without arguments cuts at exactly these.
 SPACES = "\t\n\x0b\f\r "
@@ -28,6 +28,13 @@ def stable(frame: DataFrame) -> DataFrame:
     return frame.checkpoint()
 
 
+def landed(frame: DataFrame, label: str) -> DataFrame:
+    """``frame`` written as Parquet to a new folder of the shared checkpoint folder, and read from there."""
+    path = fresh_dir(frame.sparkSession, label)
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
 def task_count(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -47,7 +47,7 @@ class Setup:
     epochs: int = 6
     least_steps: int = 700  # a small sample gets more epochs, to take this many steps
     batch: int = 64
-    rate: float = 0.3
+    rate: float = 0.5
     seed: int = 11
 
 
@@ -102,8 +102,11 @@ def repeats(words: list) -> np.ndarray:
     return found
 
 
-def worst_windows(texts: list[list[bytes]], model: Model) -> tuple[np.ndarray, np.ndarray]:
-    """(logit, first word) of each text's worst window; the bias alone for texts without words."""
+def worst_windows(texts: list[list[bytes]], model: Model, leads: list[int] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(logit, first word) of each text's worst window; the bias alone for texts without words.
+
+    ``leads``: so many first words of each text only tell which later words are repeats; no window starts there.
+    """
     sizes = np.array([len(t) for t in texts])
     logit, first = np.full(len(texts), model.bias), np.zeros(len(texts), np.int64)
     full = np.flatnonzero(sizes)
@@ -116,8 +119,10 @@ def worst_windows(texts: list[list[bytes]], model: Model) -> tuple[np.ndarray, n
         summed = np.concatenate([[0.0], np.cumsum(each)])
         starts = stops - sizes[full]
         at = np.arange(stops[-1])
-        limit = np.minimum(at + WINDOW, np.repeat(stops, sizes[full]))
-        each = summed[limit] - summed[at]
+        stop, place = np.repeat(stops, sizes[full]), at - np.repeat(starts, sizes[full])
+        lead = np.repeat(np.array(leads or [0] * len(texts))[full], sizes[full])
+        whole = (place >= lead) & (at + WINDOW <= stop) | (place == 0) & (lead == 0)
+        each = np.where(whole, summed[np.minimum(at + WINDOW, stop)] - summed[at], -np.inf)
         best = np.maximum.reduceat(each, starts)
         logit[full] = best / WINDOW + model.bias
         hit = np.flatnonzero(each == np.repeat(best, sizes[full]))
@@ -127,16 +132,17 @@ def worst_windows(texts: list[list[bytes]], model: Model) -> tuple[np.ndarray, n
 
 def score_texts(texts: list[bytes | None], model: Model) -> np.ndarray:
     """The score of each whole text."""
-    parts, owner = [], []
+    parts, leads, owner = [], [], []
     for i, text in enumerate(texts):
         words = words_of(text)
-        for k in range(0, max(1, len(words)), PART_WORDS):  # each part sees the window that starts on its last word
-            parts.append(words[k : k + PART_WORDS + WINDOW - 1])
+        for k in range(0, max(1, len(words)), PART_WORDS):  # with the words around that its windows depend on
+            leads.append(min(k, WINDOW - 1))
+            parts.append(words[k - leads[-1] : k + PART_WORDS + WINDOW - 1])
             owner.append(i)
     logit, k, held = np.full(len(texts), -np.inf), 0, 0
     for j in range(len(parts) + 1):
         if j == len(parts) or held >= CHUNK_BYTES:
-            np.maximum.at(logit, owner[k:j], worst_windows(parts[k:j], model)[0])
+            np.maximum.at(logit, owner[k:j], worst_windows(parts[k:j], model, leads[k:j])[0])
             k, held = j, 0
         if j < len(parts):
             held += sum(map(len, parts[j])) + len(parts[j])
