@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from agorascope.llm import bpe, decontaminate, simhash, token_counts, toxicity
+from agorascope.llm import bpe, decontaminate, simhash, suffix_dedup, token_counts, toxicity
 from agorascope.llm.common import table
 
 
@@ -26,6 +26,10 @@ def op5_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.digests(table(spark, folder, "documents"), bpe.vocabulary(), ["doc_id"])
 
 
+def op7_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_dedup.report(table(spark, folder, "documents"))
+
+
 def op9_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     counted = token_counts.lengths(table(spark, folder, "documents"), bpe.vocabulary())
     return token_counts.histogram(counted)
@@ -36,6 +40,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontaminate": op2_decontaminate,
     "op3_simhash": op3_simhash,
     "op5_bpe": op5_bpe,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op9_token_counts": op9_token_counts,
 }
 ORACLES: dict[str, str] = {"op2_decontaminate": decontaminate.ORACLE}

@@ -40,17 +40,22 @@ _BASES = (0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1)
 
 
 @functools.lru_cache(maxsize=4)
-def _powers(n: int, which: int) -> np.ndarray:
-    return np.cumprod(np.concatenate([[1], np.full(n, _BASES[which], np.uint64)]).astype(np.uint64))
+def _powers(n: int, which: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of a base and of its inverse, modulo 2**64."""
+    base = _BASES[which]
+    both = [np.full(n, b, np.uint64) for b in (base, pow(base, -1, 1 << 64))]
+    for x in both:
+        x[0] = 1
+    return np.cumprod(both[0]), np.cumprod(both[1])
 
 
 def rolling(data: np.ndarray, size: int, which: int = 0) -> np.ndarray:
     """A 64-bit hash of every run of ``size`` bytes."""
     n = len(data)
-    power = _powers(SEGMENT + 4 * LEAST, which) if n <= SEGMENT + 4 * LEAST else _powers(n, which)
+    power, inverse = _powers(max(n, SEGMENT + LEAST), which)
     summed = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_TABLES[which][data] * power[:n], dtype=np.uint64)])
     m = n - size + 1
-    found = (summed[size:] - summed[:m]) * power[m - 1 :: -1][:m]  # every run brought to the same power
+    found = (summed[size:] - summed[:m]) * inverse[:m]  # every run brought to the same power
     found ^= found >> np.uint64(29)
     found *= np.uint64(0xBF58476D1CE4E5B9)
     return found ^ (found >> np.uint64(32))
