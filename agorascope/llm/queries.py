@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from agorascope.llm import bpe, decontaminate, simhash, suffix_dedup, token_counts, toxicity
+from agorascope.llm import bpe, decontaminate, pii, quality, sharding, simhash, suffix_dedup, token_counts, toxicity, url_rules
 from agorascope.llm.common import table
 
 
@@ -22,25 +22,45 @@ def op3_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.components(table(spark, folder, "documents"))
 
 
+def op4_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.report(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op5_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.digests(table(spark, folder, "documents"), bpe.vocabulary(), ["doc_id"])
 
 
+def op6_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    return sharding.shards(table(spark, folder, "documents"), 24)
+
+
 def op7_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return suffix_dedup.report(table(spark, folder, "documents"))
 
 
+def op8_url_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return url_rules.report(table(spark, folder, "pages"), table(spark, folder, "labels"))
+
+
 def op9_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     counted = token_counts.lengths(table(spark, folder, "documents"), bpe.vocabulary())
     return token_counts.histogram(counted)
 
 
+def op10_pii(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.report(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_decontaminate": op2_decontaminate,
     "op3_simhash": op3_simhash,
+    "op4_quality": op4_quality,
     "op5_bpe": op5_bpe,
+    "op6_sharding": op6_sharding,
     "op7_suffix_dedup": op7_suffix_dedup,
+    "op8_url_rules": op8_url_rules,
     "op9_token_counts": op9_token_counts,
+    "op10_pii": op10_pii,
 }
 ORACLES: dict[str, str] = {"op2_decontaminate": decontaminate.ORACLE}
