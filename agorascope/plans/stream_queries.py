@@ -49,7 +49,11 @@ def _(c):
     return flows.sliding_counts(streaming(c).core.select("kind", "captured_at"))
 
 
-@query("stream_embedding_gate")
+@query("stream_embedding_gate", """WITH r AS (SELECT e.vec_id AS id, v.ts + INTERVAL 5 MINUTE AS ready_at FROM embeddings e JOIN events v ON v.event_id = e.vec_id
+      WHERE e.vec_id % 3 <> 0)
+    SELECT c.id AS record_id, CAST(c.captured_at AS STRING) AS captured_at, CAST(ready_at AS STRING) AS ready_at, ready_at IS NOT NULL AS embedded
+    FROM core c LEFT JOIN r ON r.id = c.id AND ready_at BETWEEN captured_at AND captured_at + INTERVAL 1 HOUR
+    WHERE ready_at IS NOT NULL OR captured_at + INTERVAL 70 MINUTE < (SELECT max(captured_at) FROM core)""")
 def _(c):
     s = streaming(c)
     return flows.embedding_gate(s.core.select(F.col("id").alias("record_id"), "captured_at"), s.ready_embeddings())

@@ -76,22 +76,46 @@ def record_ingested(stream: DataFrame) -> DataFrame:
     return append_to(stream.filter(valid), "record-ingested")
 
 
-def ingest_dedup(items: DataFrame, source_id: int | None, ingested_at: Column, delay: str = "2 days") -> DataFrame:
-    """Provider items to new records, replays and repeats included.
+def keyed_store(frame: DataFrame, label: str, keys: list[str], work: Callable[[DataFrame, DataFrame], DataFrame], schema: T.StructType, buckets: int = 64) -> DataFrame:
+    """``each_batch`` over a store laid out by a hash of ``keys``: a batch reads only the buckets its own keys fall in.
 
-    The watermark bounds the state that drops near repeats; the anti-join against the store is
-    what guarantees one record per (kind, external_id) for ever.
+    ``work(batch, stored rows of these buckets)`` returns the rows to add. Nothing is dropped for being late.
+    """
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+    spark, root = frame.sparkSession, fresh_dir(frame.sparkSession, label)
+    data, full = f"{root}/data", T.StructType([*schema.fields, T.StructField("batch", T.LongType()), T.StructField("bucket", T.IntegerType())])
+    spark.createDataFrame([], schema).write.parquet(f"{data}/batch=-1/bucket=0")
+
+    def stored(before: int) -> DataFrame:
+        return spark.read.schema(full).parquet(data).filter(F.col("batch") < before)
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        batch = batch.persist()
+        touched = [r.bucket for r in batch.select(bucket.alias("bucket")).distinct().collect()]  # at most ``buckets``
+        known = stored(batch_id).filter(F.col("bucket").isin(touched)).drop("batch", "bucket")
+        added = work(batch, known).withColumn("bucket", bucket)
+        added.write.mode("overwrite").partitionBy("bucket").parquet(f"{data}/batch={batch_id}")
+        batch.unpersist()
+
+    _finish(frame.writeStream.foreachBatch(handle).option("checkpointLocation", f"{root}/checkpoint"))
+    return stored(2**62).drop("batch", "bucket")
+
+
+def ingest_dedup(items: DataFrame, source_id: int | None, ingested_at: Column) -> DataFrame:
+    """Provider items to new records, replays and repeats included: one record per (kind, external_id) for ever.
+
+    Whatever key is new is stored, however old its item: first wins inside a batch, an anti-join against the
+    store's buckets decides between batches. No watermark is involved.
     """
     gone = F.coalesce("deleted", F.lit(False)) | F.coalesce("dead", F.lit(False))
     shaped = ingest.canonical_record(ingest.normalize_items(items.filter(~gone), source_id))
-    once = shaped.withWatermark("published_at", delay).dropDuplicatesWithinWatermark(["kind", "external_id"])
     keys = ["kind", "external_id"]
-    schema = T.StructType([*once.schema.fields, T.StructField("captured_at", T.TimestampType())])
+    schema = T.StructType([*shaped.schema.fields, T.StructField("captured_at", T.TimestampType())])
 
     def work(batch: DataFrame, store: DataFrame) -> DataFrame:
         return new_rows(batch, store, keys, [F.col("source_metadata")]).withColumn("captured_at", ingested_at)
 
-    return each_batch(once, "ingest", work, schema)
+    return keyed_store(shaped, "ingest", keys, work, schema)
 
 
 def daily_rollup(records: DataFrame) -> DataFrame:
@@ -117,21 +141,55 @@ def sliding_counts(records: DataFrame, delay: str = "1 hour", width: str = "24 h
     return append_to(flat, "sliding")
 
 
-def embedding_gate(records: DataFrame, ready: DataFrame, wait: str = "1 hour") -> DataFrame:
-    """Records beside their embedding; one whose embedding does not come in time leaves with NULL."""
-    left = records.withWatermark("captured_at", "10 minutes")
-    right = ready.withWatermark("ready_at", "10 minutes")
-    bound = F.expr(f"record_id = ready_id AND ready_at >= captured_at AND ready_at <= captured_at + INTERVAL {wait}")
-    joined = left.join(right, bound, "left_outer").select(
-        "record_id", "captured_at", "ready_at", F.col("ready_at").isNotNull().alias("embedded")
+def embedding_gate(records: DataFrame, ready: DataFrame, wait: str = "1 hour", delay: str = "10 minutes") -> DataFrame:
+    """Records beside their embedding; one whose embedding does not come in time leaves with NULL.
+
+    Time is that of the records: a record leaves as missing once a record captured ``wait`` and ``delay`` later has
+    come, whether or not the stream of embeddings moves on. Each batch carries the open records and the unmatched
+    embeddings to the next one; the first embedding between capture and ``wait`` counts.
+    """
+    spark, root = records.sparkSession, fresh_dir(records.sparkSession, "embedding-gate")
+    open_path, out_path = f"{root}/open", f"{root}/out"
+    state = T.StructType.fromDDL("record_id long, captured_at timestamp, ready_at timestamp")
+    schema = T.StructType.fromDDL("record_id long, captured_at timestamp, ready_at timestamp, embedded boolean")
+    spark.createDataFrame([], state).write.parquet(f"{open_path}/batch=-1")
+    spark.createDataFrame([], schema).write.parquet(f"{out_path}/batch=-1")
+    none = F.lit(None).cast("timestamp")
+    both = records.select(F.col("record_id").cast("long"), "captured_at", none.alias("ready_at")).unionByName(
+        ready.select(F.col("ready_id").cast("long").alias("record_id"), none.alias("captured_at"), "ready_at")
     )
-    return append_to(joined, "embedding-gate")
 
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        rows = batch.unionByName(spark.read.schema(state).parquet(f"{open_path}/batch={batch_id - 1}")).persist()
+        clock = rows.agg(F.max("captured_at")).scalar()
+        waiting = rows.filter("captured_at IS NOT NULL AND record_id IS NOT NULL").groupBy("record_id").agg(F.min("captured_at").alias("captured_at"))
+        came = rows.filter("captured_at IS NULL").select(F.col("record_id").alias("ready_id"), "ready_at").distinct()
+        fits = F.expr(f"record_id = ready_id AND ready_at BETWEEN captured_at AND captured_at + INTERVAL {wait}")
+        met = waiting.join(came, fits, "left").groupBy("record_id", "captured_at").agg(F.min("ready_at").alias("ready_at"))
+        late = F.expr(f"captured_at + INTERVAL {wait} + INTERVAL {delay}") < clock
+        judged = met.withColumn("embedded", F.col("ready_at").isNotNull()).withColumn("leaves", F.col("embedded") | late).persist()
+        judged.filter("leaves").select(*schema.names).write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
+        newest = rows.filter("captured_at IS NOT NULL").agg(F.max("captured_at").alias("captured_at")).filter("captured_at IS NOT NULL")
+        used = judged.filter("embedded").select(F.col("record_id").alias("ready_id"))
+        rest = came.join(used, "ready_id", "left_anti").select(F.col("ready_id").alias("record_id"), none.alias("captured_at"), "ready_at")
+        still = judged.filter("NOT leaves").select("record_id", "captured_at", none.alias("ready_at"))
+        mark = newest.select(F.lit(None).cast("long").alias("record_id"), "captured_at", none.alias("ready_at"))  # keeps the clock
+        still.unionByName(rest).unionByName(mark).write.mode("overwrite").parquet(f"{open_path}/batch={batch_id}")
+        judged.unpersist()
+        rows.unpersist()
+
+    _finish(both.writeStream.foreachBatch(handle).option("checkpointLocation", f"{root}/checkpoint"))
+    full = T.StructType([*schema.fields, T.StructField("batch", T.LongType())])
+    return spark.read.schema(full).parquet(out_path).drop("batch").filter("record_id IS NOT NULL")
+
+
+def webhook_dedup(deliveries: DataFrame) -> DataFrame:
+    """One delivery per idempotency key, the first attempt of the batch that brings it; however late it comes."""
+
+    def work(batch: DataFrame, store: DataFrame) -> DataFrame:
+        return new_rows(batch, store, ["idempotency_key"], [F.col("attempted_at")])
 
-def webhook_dedup(deliveries: DataFrame, delay: str = "7 days") -> DataFrame:
-    """One delivery per idempotency key among retries up to ``delay`` apart."""
-    once = deliveries.withWatermark("attempted_at", delay).dropDuplicatesWithinWatermark(["idempotency_key"])
-    return append_to(once, "webhooks")
+    return keyed_store(deliveries, "webhooks", ["idempotency_key"], work, deliveries.schema)
 
 
 def late_split(arrivals: DataFrame, hours: int = P.backfill_hours) -> DataFrame:

@@ -1,7 +1,10 @@
 """Streams give what the batch operators give on the same rows, replays and late rows included."""
 
+from datetime import datetime
+
 from conftest import FOLDER
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from agorascope.operators import rollups
 from agorascope.session import fresh_dir
@@ -32,7 +35,7 @@ class Parts(StreamCorpus):
 
 def test_replayed_files_add_no_records(spark, corpus):
     stream = Parts(spark, parted(spark, corpus, repeat=(0, 2)))
-    stored = flows.ingest_dedup(stream.items, 3, corpus.as_of, delay="1 hour").persist()
+    stored = flows.ingest_dedup(stream.items, 3, corpus.as_of).persist()
     items = corpus.items.filter("NOT deleted AND NOT dead AND type IN ('story', 'comment') AND `by` IS NOT NULL")
     assert stored.count() == items.select("id").distinct().count()
     assert stored.select("kind", "external_id").distinct().count() == stored.count()
@@ -52,12 +55,40 @@ def test_closed_windows_equal_batch_windows(spark, corpus):
     assert got and got <= want
 
 
-def test_gate_reports_missing_embeddings(spark):
-    stream = StreamCorpus(spark, FOLDER)
-    out = flows.embedding_gate(stream.core.select(F.col("id").alias("record_id"), "captured_at"), stream.ready_embeddings())
+def test_gate_reports_missing_embeddings(spark, corpus):
+    stream = Parts(spark, parted(spark, corpus))
+    out = flows.embedding_gate(stream.core.select(F.col("id").alias("record_id"), "captured_at"), StreamCorpus(spark, FOLDER).ready_embeddings())
     rows = out.collect()
+    assert len(rows) == len({r.record_id for r in rows})
     assert {r.record_id for r in rows if r.embedded} == {i for i in range(500) if i % 3}
-    assert all(r.record_id % 3 == 0 for r in rows if not r.embedded) and any(not r.embedded for r in rows)
+    times = {r.id: r.captured_at for r in corpus.core.select("id", "captured_at").collect()}
+    last = max(times.values())
+    gone = {i for i, t in times.items() if (i >= 500 or i % 3 == 0) and (last - t).total_seconds() > 70 * 60}
+    assert {r.record_id for r in rows if not r.embedded} == gone
+
+
+def stream_of(spark, schema, files):
+    path = fresh_dir(spark, "late")
+    for rows in files:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
+    return flows.read_stream(spark, path, "*.parquet", T.StructType.fromDDL(schema), files_per_trigger=1)
+
+
+def test_late_and_new_is_stored(spark, corpus):
+    """A first delivery days behind the newest one is new all the same; a replay is not."""
+    day = lambda n: datetime(2024, 1, n)
+    schema = "idempotency_key string, attempted_at timestamp, n int"
+    files = [[("a", day(20), 1), ("b", day(20), 1)], [("a", day(21), 2), ("c", day(17), 1)], [("d", day(10), 1), ("b", day(9), 3), ("d", day(11), 2)]]
+    out = flows.webhook_dedup(stream_of(spark, schema, files)).collect()
+    assert {(r.idempotency_key, r.n) for r in out} == {("a", 1), ("b", 1), ("c", 1), ("d", 1)}
+    items = corpus.items.filter("NOT deleted AND NOT dead AND type IN ('story', 'comment') AND `by` IS NOT NULL").orderBy("id").limit(6).collect()
+    kind = corpus.items.schema
+    path = fresh_dir(spark, "items")
+    for chosen, back in (((0, 1, 2), 0), ((0, 3), 3), ((4, 1, 5), 10)):
+        rows = [tuple(items[i][f.name] - back * 86_400 if f.name == "time" else items[i][f.name] for f in kind) for i in chosen]
+        spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").parquet(path)
+    stored = flows.ingest_dedup(flows.read_stream(spark, path, "*.parquet", kind, files_per_trigger=1), 3, corpus.as_of)
+    assert sorted(r.external_id for r in stored.collect()) == sorted({str(items[i]["id"]) for i in range(6)})
 
 
 def test_late_rows_are_marked(corpus):
