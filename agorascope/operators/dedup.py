@@ -17,6 +17,12 @@ def first_wins(frame: DataFrame, keys: list[str], order: list[Column]) -> DataFr
     return frame.withColumn("_rn", rn).filter("_rn = 1").drop("_rn")
 
 
+def by_content(frame: DataFrame) -> Column:
+    """Last resort of an order: equal for equal rows only, so that ties fall the same way in every run."""
+    plain = [f.name for f in frame.schema.fields if "map<" not in f.dataType.simpleString()]
+    return F.xxhash64(*[F.col(f"`{c}`") for c in plain])
+
+
 def absent(new: DataFrame, existing: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of ``new`` whose key (NULL counts as a value) is not in ``existing``."""
     known = existing.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)])
@@ -33,7 +39,7 @@ def new_rows(batch: DataFrame, existing: DataFrame, keys: list[str], order: list
 
 def upsert_embeddings(batch: DataFrame, existing: DataFrame, order: list[Column]) -> DataFrame:
     """One vector per (record, model); a new model is a new row beside the old one."""
-    return new_rows(batch, existing, ["record_id", "model_name"], order)
+    return new_rows(batch, existing, ["record_id", "model_name"], [*order, by_content(batch)])
 
 
 def dedup_article_urls(records: DataFrame) -> DataFrame:
@@ -55,16 +61,17 @@ def canonical_entities(names: DataFrame) -> DataFrame:
 
 
 def dedup_mentions(mentions: DataFrame, existing: DataFrame | None = None) -> DataFrame:
-    """Unique per (entity, record, offset), and per (entity, record) where the offset is NULL."""
+    """Unique per (entity, record, offset), and per (entity, record) where the offset is NULL: the most confident stays."""
     keys = ["entity_id", "record_id", "start_offset"]
-    once = mentions.dropDuplicates(keys)
+    sure = [F.col("confidence").desc_nulls_last()] if "confidence" in mentions.columns else []
+    once = first_wins(mentions, keys, [*sure, by_content(mentions)])
     return once if existing is None else absent(once, existing, keys)
 
 
 def dedup_assignments(assignments: DataFrame) -> DataFrame:
     """One row per (record, topic, method): the most confident."""
     return first_wins(
-        assignments, ["record_id", "topic_id", "method"], [F.col("confidence").desc_nulls_last()]
+        assignments, ["record_id", "topic_id", "method"], [F.col("confidence").desc_nulls_last(), by_content(assignments)]
     )
 
 
@@ -80,9 +87,22 @@ def upsert_signals(batch: DataFrame, existing: DataFrame) -> DataFrame:
     return keyed.unionByName(batch.filter("dedup_key IS NULL"))
 
 
-def keyed_refresh(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """Last wins: rows of ``new`` replace those of ``old`` with the same key."""
-    return absent(old, new, keys).unionByName(new, allowMissingColumns=True)
+def keyed_refresh(old: DataFrame, new: DataFrame, keys: list[str], latest: list[Column] = ()) -> DataFrame:
+    """Last wins: rows of ``new`` replace those of ``old`` with the same key.
+
+    Of repeats within ``new`` the first in the order ``latest`` stays (then the order of their contents).
+    """
+    once = first_wins(new, keys, [*latest, by_content(new)])
+    return absent(old, once, keys).unionByName(once, allowMissingColumns=True)
+
+
+def active_refresh(old: DataFrame, new: DataFrame, keys: list[str], latest: list[Column] = ()) -> DataFrame:
+    """As ``keyed_refresh`` for tables with history: replaced rows stay, with ``is_active`` false."""
+    once = first_wins(new, keys, [*latest, by_content(new)])
+    kept = absent(old, once, keys)
+    replaced = old.join(once.select(*keys), keys, "left_semi").withColumn("is_active", F.lit(False))
+    fresh = once.withColumn("is_active", F.lit(True))
+    return kept.unionByName(replaced.select(*kept.columns)).unionByName(fresh, allowMissingColumns=True)
 
 
 def merge_entities(mentions: DataFrame, aliases: DataFrame) -> DataFrame:

@@ -178,14 +178,19 @@ def chain_integrity(stories: DataFrame) -> DataFrame:
 def supersede_story(stories: DataFrame, drafts: DataFrame) -> DataFrame:
     """Snapshot after new versions: slug copied, version and link advanced, old heads inactive.
 
-    ``drafts`` holds ``slug``, ``id`` and the new values; one draft per slug.
+    ``drafts`` holds ``slug``, ``id`` and the new values. Several drafts of a slug follow each other by id, each
+    linked to the one before; only the last is active.
     """
     heads = current_version(stories.join(drafts.select("slug"), "slug", "left_semi")).select(
         "slug", F.col("id").alias("_prev"), F.col("version").alias("_v")
     )
-    fresh = drafts.join(heads, "slug", "left").select(
-        *drafts.columns, (F.coalesce("_v", F.lit(0)) + 1).alias("version"), F.col("_prev").alias("previous_version_id"),
-        F.lit(True).alias("active"),
+    turn, back = W.partitionBy("slug").orderBy("id"), W.partitionBy("slug").orderBy(F.desc("id"))
+    ranked = drafts.withColumn("_n", F.row_number().over(turn)).withColumn("_before", F.lag("id").over(turn)).withColumn(
+        "_last", F.row_number().over(back) == 1
+    )
+    fresh = ranked.join(heads, "slug", "left").select(
+        *drafts.columns, (F.coalesce("_v", F.lit(0)) + F.col("_n")).alias("version"), F.coalesce("_before", "_prev").alias("previous_version_id"),
+        F.col("_last").alias("active"),
     )
     marked = stories.join(drafts.select("slug").distinct().withColumn("_s", F.lit(True)), "slug", "left")
     kept = marked.withColumn("active", F.col("active") & F.col("_s").isNull()).drop("_s")
