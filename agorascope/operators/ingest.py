@@ -10,6 +10,7 @@ from agorascope.functions.text import host
 from agorascope.operators.dedup import absent, new_rows
 from agorascope.operators.positions import id_positions
 from agorascope.params import P
+from agorascope.schemas import SOURCE_KINDS
 
 RECORD_COLUMNS = (
     "kind", "source_config_id", "category", "publisher", "content_type", "external_id", "title", "content_text",
@@ -44,7 +45,7 @@ def normalize_items(items: DataFrame, source_id: int | None, kind: str = "hacker
         F.struct(
             F.coalesce("score", F.lit(0)).alias("score"), F.coalesce("descendants", F.lit(0)).alias("descendants"),
             F.coalesce("kids", F.array().cast("array<bigint>")).alias("kids"), F.col("parent"),
-            F.col("type").alias("provider_type"),
+            F.col("type").alias("hn_type"),
         ),
         {"ignoreNullFields": "false"},
     )
@@ -102,7 +103,8 @@ def record_ingested_events(new: DataFrame) -> DataFrame:
 def next_window(records: DataFrame, cursors: DataFrame, hours: int = P.cursor_window_hours) -> DataFrame:
     """Rows after each source's cursor, up to ``hours`` later."""
     until = F.col("cursor") + F.make_dt_interval(hours=F.lit(hours))
-    return records.join(cursors, "kind").filter((F.col("captured_at") > F.col("cursor")) & (F.col("captured_at") <= until))
+    few = F.broadcast(cursors.filter(F.col("kind").isin(*SOURCE_KINDS)))  # one row a kind, of nine
+    return records.join(few, "kind").filter((F.col("captured_at") > F.col("cursor")) & (F.col("captured_at") <= until))
 
 
 def advance_cursors(cursors: DataFrame, window: DataFrame) -> DataFrame:

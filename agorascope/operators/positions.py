@@ -30,6 +30,17 @@ def bucketed_positions(
     return joined.withColumn(name, (F.col("_start") + inside - 1).cast("long")).drop("_bucket", "_start")
 
 
+def salted_join(big: DataFrame, small: DataFrame, keys: list[str], spread: list[str], how: str = "inner", salts: int = 16) -> DataFrame:
+    """``big`` joined to ``small`` on ``keys``, each key's rows dealt over ``salts`` tasks by a hash of ``spread``.
+
+    Each row of ``small`` is repeated ``salts`` times, so ``small`` should be pre-aggregated; it may be of any size.
+    A later grouping by ``keys`` gets a shuffle of its own, with sums made before it.
+    """
+    left = big.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
+    right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return left.join(right, [*keys, "_salt"], how).drop("_salt")
+
+
 def id_positions(frame: DataFrame, key: str, width: int = 65_536, name: str = "position") -> DataFrame:
     """0-based position of each row by a unique numeric ``key``.
 

@@ -100,7 +100,8 @@ def slug_lookup(entities: DataFrame) -> DataFrame:
     The choices are listed by id, so a slug's own list is as long as its collisions.
     """
     return entities.groupBy(slug(F.col("name")).alias("slug")).agg(
-        F.count(F.lit(1)).alias("matches"), F.min("id").alias("first_id"), F.max("id").alias("last_id")
+        F.count(F.lit(1)).alias("matches"), F.min("id").alias("first_id"), F.max("id").alias("last_id"),
+        F.sort_array(F.collect_list("id")).alias("ids"),
     ).withColumn("kind", F.when(F.col("matches") == 1, "entity").otherwise("disambiguation"))
 
 

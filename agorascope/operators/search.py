@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from agorascope.functions.rules import iso_ms
 from agorascope.functions.text import slug
 from agorascope.params import P
+from agorascope.schemas import SEARCH_KINDS
 
 PROJECTION_COLUMNS = (
     "kind", "entity_id", "title", "topic_id", "topic_name", "story_type", "url", "published_at", "slug", "story_id",
@@ -110,9 +111,13 @@ def fuse(keyword: DataFrame, vector: DataFrame, key: str, k: int, top: int) -> D
 
 def hybrid_search(
     documents: DataFrame, text: str, query: str, vectors: DataFrame, query_vector: Column, top: int = 10,
-    depth: int = 100, mode: str = "hybrid", rrf_k: int = P.rrf_k,
+    depth: int | None = None, mode: str = "hybrid", rrf_k: int = P.rrf_k,
 ) -> DataFrame:
-    """Keyword, vector or fused ranking of already filtered ``documents`` (``record_id`` and a text)."""
+    """Keyword, vector or fused ranking of already filtered ``documents`` (``record_id`` and a text).
+
+    ``depth`` rows of each ranking enter the fusion: by default ten times ``top``, and 100 at least.
+    """
+    depth = depth or max(100, 10 * top)
     from agorascope.operators.textual import fulltext_search
     from agorascope.operators.vectorial import nearest
 
@@ -140,7 +145,8 @@ def reconcile(rows: DataFrame, checkpoints: DataFrame, page: int) -> DataFrame:
     """
     from agorascope.operators.paging import top_per_group
 
-    due = rows.join(checkpoints, "kind").filter(
+    few = F.broadcast(checkpoints.filter(F.col("kind").isin(*SEARCH_KINDS)))  # one row a kind, of five
+    due = rows.join(few, "kind").filter(
         (F.col("updated_at") > F.col("last_synced_at"))
         | ((F.col("updated_at") == F.col("last_synced_at")) & (F.col("id") > F.col("last_id")))
     )

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from agorascope.functions.rules import severity_band
 from agorascope.operators.dedup import absent
-from agorascope.operators.positions import bucketed_positions
+from agorascope.operators.positions import bucketed_positions, salted_join
 from agorascope.operators.rollups import growth, n_rows, rolling_baseline, since
 from agorascope.params import P
 
@@ -99,7 +99,7 @@ def divergence_aligned(rows: DataFrame, **limits) -> DataFrame:
     reach = rows.groupBy("topic_id", "kind").agg(F.max("captured_at").alias("_t")).groupBy("topic_id").agg(
         F.min("_t").alias("_common")
     )
-    shared = rows.join(reach, "topic_id").filter(F.col("captured_at") <= F.col("_common"))
+    shared = salted_join(rows, reach, ["topic_id"], ["captured_at", "kind"]).filter(F.col("captured_at") <= F.col("_common"))
     return divergence(shared, **limits)
 
 
@@ -146,11 +146,12 @@ def register_shift(
     ).filter(F.col("score") >= min_shift).withColumn("kind", F.lit("emotional_register_shift"))
 
 
-def key_phrase(deltas: DataFrame, min_ratio: float, min_count: int) -> DataFrame:
-    """Phrases from ``ngram_delta`` whose recent share is ``min_ratio`` times the change-free one."""
-    return deltas.filter(F.col("recent_n") >= min_count).withColumn(
-        "score", F.round(F.col("recent_n") / (F.col("baseline_n") + 1.0), 6)
-    ).filter(F.col("score") >= min_ratio).withColumn("kind", F.lit("key_phrase_trending"))
+def key_phrase(deltas: DataFrame, min_ratio: float, min_count: int, recent_days: int = 7, baseline_days: int = 21) -> DataFrame:
+    """Phrases from ``ngram_delta`` whose daily count is ``min_ratio`` times that of the baseline (one added to its count)."""
+    per_day = (F.col("recent_n") / float(recent_days)) / ((F.col("baseline_n") + 1.0) / float(baseline_days))
+    return deltas.filter(F.col("recent_n") >= min_count).withColumn("score", F.round(per_day, 6)).filter(
+        F.col("score") >= min_ratio
+    ).withColumn("kind", F.lit("key_phrase_trending"))
 
 
 def cross_topic(
@@ -159,15 +160,13 @@ def cross_topic(
 ) -> DataFrame:
     """Topic pairs that share records and whose daily counts move together.
 
-    Candidate pairs come from records that hold one topic by cluster and another by keyword. A
-    record has one cluster, so this is a lookup, not all pairs of a record's topics.
+    Candidate pairs come from the distinct topics of a record, by whatever methods it got them. A record has a few
+    topics of a small taxonomy; the join is on the record, so a busy topic is spread over its records.
     """
-    one = assignments.filter("method = 'cluster'").select("record_id", F.col("topic_id").alias("a"))
-    other = assignments.filter("method = 'keyword'").select("record_id", F.col("topic_id").alias("b"))
-    pairs = one.join(other, "record_id").filter("a <> b").select(
-        "record_id", F.least("a", "b").alias("topic_a"), F.greatest("a", "b").alias("topic_b")
-    )
-    edges = pairs.groupBy("topic_a", "topic_b").agg(F.countDistinct("record_id").alias("shared_records")).filter(
+    own = assignments.select("record_id", "topic_id").distinct()
+    one, other = own.withColumnRenamed("topic_id", "topic_a"), own.withColumnRenamed("topic_id", "topic_b")
+    pairs = one.join(other, "record_id").filter("topic_a < topic_b")
+    edges = pairs.groupBy("topic_a", "topic_b").agg(n_rows().alias("shared_records")).filter(
         F.col("shared_records") >= min_shared
     )
     days = F.explode(F.sequence(F.lit(first_day).cast("date"), F.lit(last_day).cast("date")))
@@ -202,21 +201,23 @@ def evidence_part(rows: DataFrame, signal: Column, target: str, target_id: Colum
 
 
 def assemble_evidence(parts: list[DataFrame], min_evidence: int = P.min_evidence) -> DataFrame:
-    """Evidence of every signal: weights that sum to one, four decimals, ranked by weight.
+    """Evidence of every signal: weights that sum to one, ranked by weight.
 
-    Totals are a partial aggregate joined back; ranks are counted per weight step, so a signal
-    with very many rows is spread over its steps.
+    Ranks compare each weight with the signal's mean weight, to four decimals, so they hold for signals of any
+    number of rows. Totals are a partial aggregate joined back by salted key; ranks are counted per
+    weight step, so a signal with very many rows is spread over its steps.
     """
     rows = reduce(DataFrame.unionByName, parts).groupBy("signal_key", "target", "target_id").agg(F.sum("raw_weight").alias("raw_weight"))
     totals = rows.groupBy("signal_key").agg(F.sum("raw_weight").alias("_t"), n_rows().alias("evidence_count")).filter(
         (F.col("evidence_count") >= min_evidence) & (F.col("_t") > 0)
     )
-    weighted = rows.join(totals, "signal_key").withColumn("weight", F.round(F.col("raw_weight") / F.col("_t"), 4))
-    step = F.struct(-F.col("weight"), F.col("target"), F.floor(F.col("target_id") / 4096))
-    ranked = bucketed_positions(
-        weighted, ["signal_key"], step, [F.desc("weight"), F.asc("target"), F.asc("target_id")], "_p"
+    share = F.col("raw_weight") / F.col("_t")
+    weighted = salted_join(rows, totals, ["signal_key"], ["target", "target_id"]).withColumn("weight", F.round(share, 12)).withColumn(
+        "_w", F.round(share * F.col("evidence_count"), 4)
     )
-    return ranked.withColumn("rank", F.col("_p") + 1).drop("_p", "_t", "raw_weight")
+    step = F.struct(-F.col("_w"), F.col("target"), F.floor(F.col("target_id") / 4096))
+    ranked = bucketed_positions(weighted, ["signal_key"], step, [F.desc("_w"), F.asc("target"), F.asc("target_id")], "_p")
+    return ranked.withColumn("rank", F.col("_p") + 1).drop("_p", "_t", "_w", "raw_weight")
 
 
 def with_severity(signals: DataFrame, key: Column, window_day: Column) -> DataFrame:

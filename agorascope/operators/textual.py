@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from agorascope.functions.text import fingerprint, ngrams, tail, tokens
-from agorascope.operators.dedup import first_wins
+from agorascope.operators.positions import salted_join
 from agorascope.operators.rollups import n_rows
 from agorascope.params import P
 
@@ -132,22 +132,19 @@ def shapes(stories: DataFrame, length: int = P.fingerprint_length, words: tuple[
     return counts.join(F.broadcast(totals), "part").select("part", "fingerprint", "n", (F.col("n") / F.col("_t")).alias("share"))
 
 
-def newest_per_topic(stories: DataFrame) -> DataFrame:
-    """The candidate of each topic: its newest active story."""
-    live = stories.filter(F.col("active") & F.col("topic_id").isNotNull())
-    return first_wins(live, ["topic_id"], [F.desc("generated_at"), F.desc("id")])
+def saturated_candidates(stories: DataFrame, run: DataFrame, min_jaccard: float, days: int = 14) -> DataFrame:
+    """Every candidate of this ``run`` (column ``id``) against the active stories of its topic, by word-set Jaccard.
 
-
-def saturated_candidates(stories: DataFrame, min_jaccard: float) -> DataFrame:
-    """Each topic's candidate against every other active story of the topic, by word-set Jaccard.
-
-    One candidate per topic: each story meets exactly one candidate.
+    Stories count from ``days`` before the candidate up to it. Candidates ask once each; a topic's stories are
+    dealt over several tasks.
     """
     words = F.array_distinct(tokens(F.col("content")))
-    candidate = newest_per_topic(stories).select("topic_id", F.col("id").alias("candidate_id"), words.alias("_c"))
-    rows = stories.filter("active").select("topic_id", "id", words.alias("_w")).join(candidate, "topic_id").filter(
-        F.col("id") != F.col("candidate_id")
+    live = stories.filter("active AND topic_id IS NOT NULL").select("topic_id", "id", "generated_at", words.alias("_w"))
+    candidate = live.join(run.select("id").distinct(), "id", "left_semi").select(
+        "topic_id", F.col("id").alias("candidate_id"), F.col("generated_at").alias("_g"), F.col("_w").alias("_c")
     )
+    recent = (F.col("generated_at") <= F.col("_g")) & (F.col("generated_at") > F.col("_g") - F.make_dt_interval(days=F.lit(days)))
+    rows = salted_join(live, candidate, ["topic_id"], ["id"]).filter((F.col("id") != F.col("candidate_id")) & recent)
     common = F.size(F.array_intersect("_w", "_c"))
     score = common / (F.size("_w") + F.size("_c") - common)
     return rows.select("topic_id", "candidate_id", "id", F.round(score, 6).alias("jaccard")).filter(F.col("jaccard") >= min_jaccard)

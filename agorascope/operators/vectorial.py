@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from agorascope.functions.vectors import cosine, dot, norm, unit
-from agorascope.operators.dedup import first_wins
 from agorascope.operators.paging import top_per_group
+from agorascope.operators.positions import salted_join
 from agorascope.params import P
 
 
@@ -106,18 +106,15 @@ def assign_topics_cluster(vectors: DataFrame, clusters: int, seed: int = 7) -> D
     )
 
 
-def related_stories(stories: DataFrame, vectors: DataFrame, top: int) -> DataFrame:
-    """Edges from each topic's newest story to its ``top`` nearest in the topic.
+def related_stories(stories: DataFrame, vectors: DataFrame, run: DataFrame, top: int) -> DataFrame:
+    """Edges from every story of this ``run`` (column ``id``) to its ``top`` nearest in the topic.
 
-    ``stories`` has ``id, topic_id, generated_at`` and ``vector`` comes by ``id``. One focal story
-    per topic means each other story is compared once; edges of older stories were stored when
-    those were the newest. The reverse edge is not implied.
+    ``stories`` has ``id, topic_id`` and ``vector`` comes by ``id``. Only the run's stories ask, each once against the
+    stories of its topic, which are dealt over several tasks. The reverse edge is not implied.
     """
     rows = stories.join(vectors, "id")
-    focal = first_wins(rows, ["topic_id"], [F.desc("generated_at"), F.desc("id")]).select(
-        "topic_id", F.col("id").alias("story_id"), F.col("vector").alias("_f")
-    )
-    scored = rows.join(focal, "topic_id").filter(F.col("id") != F.col("story_id")).select(
+    focal = rows.join(run.select("id").distinct(), "id", "left_semi").select("topic_id", F.col("id").alias("story_id"), F.col("vector").alias("_f"))
+    scored = salted_join(rows, focal, ["topic_id"], ["id"]).filter(F.col("id") != F.col("story_id")).select(
         "story_id", F.col("id").alias("related_id"), F.round(cosine(F.col("vector"), F.col("_f")), 3).alias("similarity_score")
     )
     return top_per_group(scored, ["story_id"], [F.desc("similarity_score"), F.asc("related_id")], top)
@@ -149,7 +146,8 @@ def novelty(vectors: DataFrame, split: Column, as_of: Column) -> DataFrame:
     pooled = fresh.groupBy("topic_id").agg(
         vector_to_array(Summarizer.sum(array_to_vector(F.col("_u")))).alias("_sum"), F.count(F.lit(1)).alias("_n")
     )
-    rows = fresh.join(base, "topic_id").join(pooled, "topic_id")
+    known = base.join(pooled, "topic_id")  # one row a topic
+    rows = salted_join(fresh, known, ["topic_id"], ["record_id"])
     to_centroid = 1 - dot(F.col("_u"), F.col("centroid")) / norm(F.col("centroid"))
     to_recent = F.when(F.col("_n") > 1, 1 - (dot(F.col("_u"), F.col("_sum")) - 1) / (F.col("_n") - 1))
     return rows.select(

@@ -130,7 +130,7 @@ def _(c):
       CAST(NULL AS STRING) AS subreddit, 'en' AS language,
       concat('{{"score":', coalesce(score, 0), ',"descendants":', coalesce(descendants, 0), ',"kids":[',
         coalesce(array_to_string(kids, ','), ''), '],"parent":', coalesce(CAST(parent AS STRING), 'null'),
-        ',"provider_type":"', type, '"}}') AS source_metadata FROM ({ACCEPTED})""")
+        ',"hn_type":"', type, '"}}') AS source_metadata FROM ({ACCEPTED})""")
 def _(c):
     return _batch(c)
 

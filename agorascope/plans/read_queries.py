@@ -211,6 +211,7 @@ def _(c):
 
 
 @query("slug_lookup", f"""SELECT {slug('name')} AS slug, count(*) AS matches, min(id) AS first_id, max(id) AS last_id,
+    array_to_string(list(id ORDER BY id), ',') AS ids,
     CASE WHEN count(*) = 1 THEN 'entity' ELSE 'disambiguation' END AS kind
     FROM (SELECT id, name FROM ent UNION ALL SELECT id + 1000, replace(name, '#', ' ') FROM ent WHERE type = 'technology')
     GROUP BY 1""")

@@ -8,6 +8,7 @@ from agorascope.operators import rollups
 from agorascope.plans.bindings import T_AS_OF, slug
 from agorascope.plans.read_queries import STATS
 from agorascope.plans.registry import query
+from agorascope.session import fresh_dir
 
 FIRST, LAST = "2024-01-01", "2024-01-30"
 DAYS = f"(SELECT unnest(range(DATE '{FIRST}', DATE '2024-01-31', INTERVAL 1 DAY)) AS d)"
@@ -123,15 +124,18 @@ def _(c):
 
 
 @query("stats_timeline", f"""SELECT CAST(CAST(d AS DATE) AS STRING) AS date, count(r.id) AS count FROM {DAYS} x
-    LEFT JOIN core r ON CAST(r.captured_at AS DATE) = CAST(x.d AS DATE) AND r.kind = 'reddit' GROUP BY 1""")
+    LEFT JOIN core r ON CAST(r.captured_at AS DATE) = CAST(x.d AS DATE) GROUP BY 1""")
 def _(c):
-    return rollups.stats_timeline(c.spark, c.core.filter("kind = 'reddit'"), FIRST, LAST)
+    return rollups.stats_timeline(c.spark, c.core, FIRST, LAST)
 
 
-@query("sentiment_timeline", f"SELECT * FROM ({SENT_DAILY}) WHERE kind IN ('reddit', 'arxiv') ORDER BY 1, 2")
+@query("sentiment_timeline", f"SELECT * FROM ({SENT_DAILY}) ORDER BY 1, 2")
 def _(c):
-    daily = rollups.sentiment_daily(c.core.filter(F.col("kind").isin("reddit", "arxiv")))
-    return daily.orderBy("bucket_date", "kind")
+    daily = rollups.sentiment_daily(c.core)
+    path = fresh_dir(c.spark, "sentiment-daily")
+    daily.write.partitionBy("kind").parquet(path)  # the rollup is stored once; timelines read it
+    stored = c.spark.read.schema(daily.schema).parquet(path).select(*daily.columns)
+    return stored.orderBy("bucket_date", "kind")
 
 
 @query("mention_timeline", f"""SELECT e.id AS entity_id, CAST(CAST(x.d AS DATE) AS STRING) AS date, count(m.record_id) AS count

@@ -256,13 +256,22 @@ def _(c):
     return textual.ngram_vs_source(ours, theirs).withColumn("ratio", F.round("ratio", 6))
 
 
-@query("saturated_candidates", f"""WITH a AS (SELECT id, topic_id, list_distinct({tokens('content')}) AS w, row_number() OVER (PARTITION BY topic_id
-      ORDER BY generated_at DESC, id DESC) AS rn FROM st WHERE active),
+#: Stories of the run at hand: those generated within a day of the newest one.
+RUN = "(SELECT id FROM st WHERE active AND generated_at > (SELECT max(generated_at) FROM st WHERE active) - INTERVAL 1 DAY)"
+
+
+def run_of(stories: DataFrame) -> DataFrame:
+    newest = stories.agg(F.max("generated_at")).scalar()
+    return stories.filter(F.col("generated_at") > newest - F.expr("INTERVAL 1 DAY")).select("id")
+
+
+@query("saturated_candidates", f"""WITH a AS (SELECT id, topic_id, generated_at, list_distinct({tokens('content')}) AS w FROM st WHERE active AND topic_id IS NOT NULL),
     j AS (SELECT a.topic_id, b.id AS candidate_id, a.id, len(list_intersect(a.w, b.w)) AS i, len(a.w) AS x, len(b.w) AS y
-      FROM a JOIN a b ON b.topic_id = a.topic_id AND b.rn = 1 WHERE a.rn > 1)
+      FROM a JOIN a b ON b.topic_id = a.topic_id AND b.id <> a.id AND b.id IN {RUN} AND a.generated_at <= b.generated_at
+      AND a.generated_at > b.generated_at - INTERVAL 14 DAY)
     SELECT topic_id, candidate_id, id, round(i / CAST(x + y - i AS DOUBLE), 6) AS jaccard FROM j WHERE round(i / CAST(x + y - i AS DOUBLE), 6) >= 0.05""")
 def _(c):
-    return textual.saturated_candidates(c.stories, 0.05)
+    return textual.saturated_candidates(c.stories, run_of(c.stories.filter("active")), 0.05)
 
 
 # ---- vectors --------------------------------------------------------------------------------
@@ -313,15 +322,14 @@ def _(c):
     return vectorial.assign_topics_cluster(c.vectors, 10)
 
 
-@query("related_stories", f"""WITH a AS (SELECT s.id, s.topic_id, v.embedding, row_number() OVER (PARTITION BY s.topic_id
-      ORDER BY s.generated_at DESC, s.id DESC) AS rn FROM st s JOIN embeddings v ON v.vec_id = s.conv_id WHERE s.active),
+@query("related_stories", f"""WITH a AS (SELECT s.id, s.topic_id, v.embedding FROM st s JOIN embeddings v ON v.vec_id = s.conv_id WHERE s.active),
     j AS (SELECT b.id AS story_id, a.id AS related_id, round({cosine('a.embedding', 'b.embedding')}, 3) AS similarity_score
-      FROM a JOIN a b ON b.topic_id = a.topic_id AND b.rn = 1 WHERE a.rn > 1)
+      FROM a JOIN a b ON b.topic_id = a.topic_id AND b.id <> a.id AND b.id IN {RUN})
     SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY story_id ORDER BY similarity_score DESC, related_id) AS rank FROM j) WHERE rank <= 3""")
 def _(c):
     live = c.active_stories.select("id", "topic_id", "generated_at", "conv_id")
     vecs = live.join(c.vectors.select(F.col("record_id").alias("conv_id"), "vector"), "conv_id").select("id", "vector")
-    return vectorial.related_stories(live.drop("conv_id"), vecs, 3)
+    return vectorial.related_stories(live.select("id", "topic_id"), vecs, run_of(live), 3)
 
 
 @query("embedding_model_ab", f"""WITH a AS (SELECT v.vec_id FROM embeddings v, embeddings q WHERE q.vec_id = 7 AND v.vec_id <> 7

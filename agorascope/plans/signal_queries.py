@@ -132,15 +132,15 @@ def _(c):
 
 
 @query("signal_key_phrase", f"""WITH {RECORD_TEXTS}, {grams('rtx', 'g', (2,))}, d AS ({DELTA.format(name='g', d=0.000002, m=3)})
-    SELECT ngram, recent_n, baseline_n, round(recent_n / (baseline_n + CAST(1.0 AS DOUBLE)), 6) AS score, 'key_phrase_trending' AS kind FROM d
-    WHERE recent_n >= 5 AND round(recent_n / (baseline_n + CAST(1.0 AS DOUBLE)), 6) >= 0.36""")
+    SELECT ngram, recent_n, baseline_n, round((recent_n / CAST(7 AS DOUBLE)) / ((baseline_n + CAST(1.0 AS DOUBLE)) / CAST(21 AS DOUBLE)), 6) AS score, 'key_phrase_trending' AS kind FROM d
+    WHERE recent_n >= 5 AND round((recent_n / CAST(7 AS DOUBLE)) / ((baseline_n + CAST(1.0 AS DOUBLE)) / CAST(21 AS DOUBLE)), 6) >= 1.08""")
 def _(c):
     deltas = textual.ngram_delta(record_texts(c), 2, 2, min_delta=0.000002)
-    return signals.key_phrase(deltas, 0.36, 5).select("ngram", "recent_n", "baseline_n", "score", "kind")
+    return signals.key_phrase(deltas, 1.08, 5).select("ngram", "recent_n", "baseline_n", "score", "kind")
 
 
-@query("signal_cross_topic", f"""WITH {TOPIC_DAYS}, e AS (SELECT least(a.topic_id, b.topic_id) AS topic_a, greatest(a.topic_id, b.topic_id) AS topic_b, count(DISTINCT a.record_id) AS shared_records
-      FROM ta a JOIN ta b ON b.record_id = a.record_id AND a.method = 'cluster' AND b.method = 'keyword' AND a.topic_id <> b.topic_id GROUP BY 1, 2 HAVING count(DISTINCT a.record_id) >= 2)
+@query("signal_cross_topic", f"""WITH {TOPIC_DAYS}, e AS (SELECT a.topic_id AS topic_a, b.topic_id AS topic_b, count(DISTINCT a.record_id) AS shared_records
+      FROM ta a JOIN ta b ON b.record_id = a.record_id AND a.topic_id < b.topic_id GROUP BY 1, 2 HAVING count(DISTINCT a.record_id) >= 2)
     SELECT e.topic_a, e.topic_b, e.shared_records, round(corr(x.n, y.n), 6) AS score, 'cross_topic_correlation' AS kind FROM e JOIN tg x ON x.topic_id = e.topic_a
     JOIN tg y ON y.topic_id = e.topic_b AND y.d = x.d GROUP BY 1, 2, 3 HAVING abs(round(corr(x.n, y.n), 6)) >= 0.2""")
 def _(c):
@@ -161,8 +161,8 @@ def _(c):
       JOIN core r ON r.kind = v.kind AND CAST(CAST(r.captured_at AS DATE) AS STRING) = v.day JOIN ment m ON m.record_id = r.id),
     g AS (SELECT signal_key, target, CAST(target_id AS BIGINT) AS target_id, sum(w) AS w FROM p GROUP BY 1, 2, 3),
     t AS (SELECT *, sum(w) OVER (PARTITION BY signal_key) AS s, count(*) OVER (PARTITION BY signal_key) AS evidence_count FROM g),
-    x AS (SELECT signal_key, target, target_id, evidence_count, round(w / s, 4) AS weight FROM t WHERE evidence_count >= 3)
-    SELECT *, row_number() OVER (PARTITION BY signal_key ORDER BY weight DESC, target, target_id) AS rank FROM x""")
+    x AS (SELECT signal_key, target, target_id, evidence_count, round(w / s, 12) AS weight, round(w / s * evidence_count, 4) AS r FROM t WHERE evidence_count >= 3)
+    SELECT * EXCLUDE (r), row_number() OVER (PARTITION BY signal_key ORDER BY r DESC, target, target_id) AS rank FROM x""")
 def _(c):
     found = volume(c).select("kind", "day")
     rows = c.core.select("id", "kind", F.to_date("captured_at").alias("day"), "sentiment_score").join(found, ["kind", "day"])

@@ -116,7 +116,7 @@ TABLES = {
     "story_related": "id long, story_id string, related_id string, relationship_type string, ai_reason string, "
     "similarity_score decimal(4,3), computed_at timestamp",
     "search_sync_checkpoints": "kind string, last_synced_at timestamp, updated_at timestamp",
-    "search_sync_projection_state": "kind string, entity_id string, external_id string, content_hash string, "
+    "search_sync_projection_state": "kind string, entity_id string, chroma_id string, content_hash string, "
     "source_updated_at timestamp, last_pushed_at timestamp, last_deleted_at timestamp, status string, "
     "attempts int, last_error string, updated_at timestamp",
 }

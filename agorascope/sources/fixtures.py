@@ -58,13 +58,10 @@ class Corpus:
     def spread(self, frame: DataFrame) -> DataFrame:
         """Rows dealt out over all cores before heavy per-row text work.
 
-        For inputs of few, unsplittable files, as the fixtures are. ``agorascope.textPartitions``
-        sets the number; unset means none on a cluster, where a table has files enough, and one
-        partition per core in local mode.
+        For inputs of few, unsplittable files. ``agorascope.textPartitions`` sets the number; unset means
+        none, on any master.
         """
-        spark = self.spark
-        local = spark.sparkContext.defaultParallelism if spark.sparkContext.master.startswith("local") else 0
-        wanted = int(spark.conf.get("agorascope.textPartitions", str(local)))
+        wanted = int(self.spark.conf.get("agorascope.textPartitions", "0"))
         return frame.repartition(wanted) if wanted > 0 else frame
 
     @cached_property

@@ -63,7 +63,7 @@ def test_item_rules(spark):
     out = {r.external_id: r for r in ingest.normalize_items(ingest.hydrate_items(ids, items), 3).collect()}
     assert set(out) == {"1", "2"}
     assert out["1"].content_type == "post" and out["2"].content_type == "comment"
-    assert out["1"].source_metadata == '{"score":0,"descendants":0,"kids":[],"parent":null,"provider_type":"story"}'
+    assert out["1"].source_metadata == '{"score":0,"descendants":0,"kids":[],"parent":null,"hn_type":"story"}'
     assert out["1"].published_at == datetime(2023, 11, 14, 22, 13, 20)
     shaped = ingest.canonical_record(ingest.normalize_items(items, 3)).first()
     assert shaped.category == "discourse" and shaped.publisher is None and shaped.language == "en" and shaped.analysis == "{}"
