@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from agorascope.functions.text import slug
 from agorascope.operators import rollups, signals as signal_ops, stories as story_ops
+from agorascope.schemas import SOURCE_KINDS
 
 
 def listed(rows: DataFrame, order: list[Column], value: Column, n: int) -> Column:
@@ -31,6 +32,7 @@ def labelled(*parts: Column) -> Column:
 def entity_detail(
     entity_id: int, *, entities: DataFrame, mentions: DataFrame, records: DataFrame, assignments: DataFrame, stories: DataFrame,
     signals: DataFrame, evidence: DataFrame, references: DataFrame, membership: DataFrame, as_of: Column, n: int = 5,
+    weeks: int = 52, days: int = 30,
 ) -> DataFrame:
     c = F.col
     own = mentions.filter(c("entity_id") == entity_id)
@@ -71,8 +73,8 @@ def entity_detail(
         listed(direct, [-F.unix_micros("detected_at"), -c("id")], c("id"), n).alias("direct_signals"),
         listed(related, [-c("shared_record_count"), c("entity_id")], labelled(c("entity_id"), c("shared_record_count")), n).alias("related_entities"),
         listed(topics, [-c("record_count"), c("topic_id")], labelled(c("topic_id"), c("record_count")), n).alias("topic_mix"),
-        listed(mix, [-c("record_count"), c("kind")], labelled(c("kind"), c("record_count")), 9).alias("source_mix"),
-        listed(trend, [-F.unix_date("week_start")], labelled(c("week_start"), F.round(c("avg_score") * 1_000_000).cast("long"), c("sample_size")), 52).alias("sentiment_trend"),
-        listed(timeline, [-F.unix_date("bucket_date")], labelled(c("bucket_date"), c("mention_count")), 30).alias("mention_timeline"),
+        listed(mix, [-c("record_count"), c("kind")], labelled(c("kind"), c("record_count")), len(SOURCE_KINDS)).alias("source_mix"),
+        listed(trend, [-F.unix_date("week_start")], labelled(c("week_start"), F.round(c("avg_score") * 1_000_000).cast("long"), c("sample_size")), weeks).alias("sentiment_trend"),
+        listed(timeline, [-F.unix_date("bucket_date")], labelled(c("bucket_date"), c("mention_count")), days).alias("mention_timeline"),
         listed(arcs, [-c("story_count"), c("arc_id")], labelled(c("arc_id"), c("story_count")), n).alias("story_arcs"),
     )

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from agorascope.functions.rules import set_count
+from agorascope.schemas import UNIQUE_KEYS
 
 
 def breaking(frame: DataFrame, rule: str, key: Column, broken: Column) -> DataFrame:
@@ -28,6 +29,11 @@ def duplicates(frame: DataFrame, rule: str, keys: list[str], where: Column | Non
     )
 
 
+def unique_keys(tables: dict[str, DataFrame]) -> list[DataFrame]:
+    """The declared unique key of each given table, as rules ``<table>_key``."""
+    return [duplicates(frame, f"{name}_key", list(UNIQUE_KEYS[name])) for name, frame in tables.items()]
+
+
 def orphans(child: DataFrame, rule: str, column: str, parent: DataFrame, parent_key: str = "id") -> DataFrame:
     """Values of a reference column without a parent row."""
     ids = parent.select(F.col(parent_key).alias(column))

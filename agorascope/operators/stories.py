@@ -14,7 +14,7 @@ from agorascope.functions import rules
 from agorascope.functions.text import slug, word_count
 from agorascope.operators.asof import latest_before
 from agorascope.operators.dedup import first_wins
-from agorascope.operators.positions import bucketed_positions
+from agorascope.operators.positions import bucketed_positions, salted_join
 from agorascope.operators.rollups import hours_before, n_rows
 from agorascope.params import P
 from agorascope.schemas import SEO_BOUNDS
@@ -82,17 +82,27 @@ def dispatch_records(stories: DataFrame) -> DataFrame:
 
 
 def record_summary(
-    records: DataFrame, assignments: DataFrame, mentions: DataFrame, entities: DataFrame, stories: DataFrame,
+    records: DataFrame, assignments: DataFrame, mentions: DataFrame, entities: DataFrame, stories: DataFrame, topics: DataFrame,
     excerpt_chars: int = 160,
 ) -> DataFrame:
-    topics = assignments.groupBy(F.col("record_id").alias("id")).agg(F.sort_array(F.collect_set("topic_id")).alias("topics"))
-    best = top_entity(mentions).select(F.col("record_id").alias("id"), "entity_id", F.col("confidence").alias("salience"))
-    names = entities.select(F.col("id").alias("entity_id"), F.col("name").alias("top_entity"))
+    """``records`` with ``excerpt``, ``topics`` (id and display name, by id), ``top_entity`` (name and salience) and ``has_dispatch``.
+
+    Names are resolved on the small sides first, so each join of records is on their own id.
+    """
+    shown = topics.select(F.col("id").alias("topic_id"), "display_name")
+    named = salted_join(assignments.select("record_id", "topic_id").distinct(), shown, ["topic_id"], ["record_id"])
+    own = named.groupBy(F.col("record_id").alias("id")).agg(
+        F.sort_array(F.collect_set(F.struct(F.col("topic_id").alias("id"), "display_name"))).alias("topics")
+    )
+    names = entities.select(F.col("id").alias("entity_id"), F.col("name"))
+    best = salted_join(top_entity(mentions), names, ["entity_id"], ["record_id"]).select(
+        F.col("record_id").alias("id"), F.struct("name", F.col("confidence").alias("salience")).alias("top_entity")
+    )
     dispatch = dispatch_records(stories).select(F.col("record_id").alias("id"), F.lit(True).alias("_d"))
     return (
         records.withColumn("excerpt", F.substring("content_text", 1, excerpt_chars))
-        .join(topics, "id", "left").join(best, "id", "left").join(names, "entity_id", "left")
-        .join(dispatch, "id", "left").withColumn("has_dispatch", F.col("_d").isNotNull())
+        .join(own, "id", "left").join(best, "id", "left")
+        .join(dispatch, "id", "left").withColumn("has_dispatch", F.col("_d").isNotNull()).drop("_d")
     )
 
 
@@ -221,9 +231,9 @@ def arc_stats(membership: DataFrame, stories: DataFrame) -> DataFrame:
 
 
 def arc_status(arcs: DataFrame, membership: DataFrame, stories: DataFrame, status: str = "arc_status",
-               fallback: str | None = "developing") -> DataFrame:
-    """Status of each arc's newest active member."""
-    live = stories.filter("active").select(F.col("id").alias("story_id"), "generated_at", F.col(status).alias("_s"))
+               fallback: str | None = "developing", stub_words: int = P.stub_words) -> DataFrame:
+    """Status of each arc's newest active member that is no stub."""
+    live = stories.filter(F.col("active") & (word_count(F.col("content")) >= stub_words)).select(F.col("id").alias("story_id"), "generated_at", F.col(status).alias("_s"))
     newest = membership.select("story_id", "arc_id").join(live, "story_id").groupBy("arc_id").agg(
         F.max_by("_s", F.struct("generated_at", "story_id")).alias("_s")
     )

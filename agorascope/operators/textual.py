@@ -163,7 +163,7 @@ def extract_mentions(texts: DataFrame, dictionary: DataFrame) -> DataFrame:
     """Every occurrence of a dictionary name in a text, as whole words, with character offsets.
 
     Candidates come from an equi-join on the name's first word; offsets are computed only for
-    texts that have a hit.
+    texts that have a hit, in characters of the text as it stands.
     """
     names = dictionary.select(
         "entity_id", F.lower("name").alias("_name"), F.get(tokens(F.col("name")), 0).alias("_first")
@@ -171,9 +171,9 @@ def extract_mentions(texts: DataFrame, dictionary: DataFrame) -> DataFrame:
     words = texts.select("record_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("_first"))
     hits = words.join(names, "_first").select("record_id", "entity_id", "_name")
     word = r"[\p{L}\p{N}]"
-    pattern = F.concat(F.lit(f"(?<!{word})\\Q"), F.col("_name"), F.lit(f"\\E(?!{word})"))
+    pattern = F.concat(F.lit(f"(?iu)(?<!{word})\\Q"), F.col("_name"), F.lit(f"\\E(?!{word})"))
     pieces = hits.join(texts, "record_id").select(
-        "record_id", "entity_id", F.length("_name").alias("_len"), F.split(F.lower("text"), pattern, F.lit(-1)).alias("_p")
+        "record_id", "entity_id", F.length("_name").alias("_len"), F.split("text", pattern, F.lit(-1)).alias("_p")
     ).filter(F.size("_p") > 1)
 
     def offset(i: Column) -> Column:

@@ -23,6 +23,7 @@ class Params:
     alert_top_ids: int = 5
     words_per_minute: int = 200
     # ours
+    stub_words: int = 20
     lag_threshold_hours: int = 12
     cursor_window_hours: int = 24
     sentiment_cut: float = 0.2

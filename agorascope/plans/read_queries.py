@@ -54,19 +54,23 @@ def _(c):
     )
 
 
-@query("record_summary", f"""WITH tt AS (SELECT record_id, array_to_string(list_sort(list(DISTINCT topic_id)), ',') AS topics
-      FROM ta GROUP BY 1),
+@query("record_summary", f"""WITH tt AS (SELECT record_id, array_to_string(list(concat(topic_id, ':', display_name) ORDER BY topic_id), ',') AS topics
+      FROM (SELECT DISTINCT record_id, topic_id FROM ta) a JOIN topics t ON t.id = a.topic_id GROUP BY 1),
     te AS (SELECT record_id, entity_id, confidence FROM (SELECT *, row_number() OVER (PARTITION BY record_id
       ORDER BY confidence DESC, coalesce(start_offset, 2147483647), entity_id) AS rn FROM ment) WHERE rn = 1),
     d AS (SELECT DISTINCT CAST(rid AS BIGINT) AS rid FROM (SELECT unnest(source_record_ids) AS rid FROM st
       WHERE active AND type = 'dispatch'))
-    SELECT r.id, r.kind, r.external_id, substring(r.content_text, 1, 160) AS excerpt, tt.topics, e.name AS top_entity,
-      te.confidence AS salience, d.rid IS NOT NULL AS has_dispatch
+    SELECT r.id, r.kind, r.external_id, r.title, r.url, r.author, CAST(r.captured_at AS STRING) AS captured_at, r.sentiment_label, r.sentiment_score,
+      r.category, r.content_type, r.publisher, substring(r.content_text, 1, 160) AS excerpt, tt.topics, e.name AS top_entity,
+      CASE WHEN e.id IS NOT NULL THEN te.confidence END AS salience, d.rid IS NOT NULL AS has_dispatch
     FROM rec r LEFT JOIN tt ON tt.record_id = r.id LEFT JOIN te ON te.record_id = r.id
     LEFT JOIN ent e ON e.id = te.entity_id LEFT JOIN d ON d.rid = r.id""")
 def _(c):
-    return story_ops.record_summary(c.records_text, c.assignments, c.mentions, c.entities, c.stories).select(
-        "id", "kind", "external_id", "excerpt", "topics", "top_entity", "salience", "has_dispatch"
+    topics = F.transform("topics", lambda t: F.concat(t["id"].cast("string"), F.lit(":"), t["display_name"]))
+    return story_ops.record_summary(c.records, c.assignments, c.mentions, c.entities, c.stories, c.topics).select(
+        "id", "kind", "external_id", "title", "url", "author", "captured_at", "sentiment_label", "sentiment_score", "category", "content_type",
+        "publisher", "excerpt", topics.alias("topics"), F.col("top_entity.name").alias("top_entity"), F.col("top_entity.salience").alias("salience"),
+        "has_dispatch",
     )
 
 
@@ -264,6 +268,12 @@ def _(c):
     UNION ALL SELECT 'citation_record_xor_url', concat(story_id, '/', marker) FROM cit WHERE marker = 2 AND credibility_score > 0.5
     UNION ALL SELECT 'active_slug', slug FROM (SELECT slug FROM st WHERE version <= 2) GROUP BY slug HAVING count(*) > 1
     UNION ALL SELECT 'reference_orphan', ref_slug FROM refs WHERE ref_type = 'beat' AND ref_slug NOT IN (SELECT name FROM topics)
+    UNION ALL SELECT 'topic_assignments_key', concat(record_id, '/', topic_id, '/', method) FROM ta GROUP BY record_id, topic_id, method HAVING count(*) > 1
+    UNION ALL SELECT 'embeddings_key', concat(record_id, '/', model_name) FROM emb GROUP BY record_id, model_name HAVING count(*) > 1
+    UNION ALL SELECT 'story_references_key', concat(story_id, '/', ref_type, '/', ref_slug) FROM (SELECT * FROM refs UNION ALL SELECT * FROM refs
+      WHERE ref_type = 'beat') GROUP BY story_id, ref_type, ref_slug HAVING count(*) > 1
+    UNION ALL SELECT 'story_arc_membership_key', story_id FROM arcm GROUP BY story_id HAVING count(*) > 1
+    UNION ALL SELECT 'topics_key', name FROM topics GROUP BY name HAVING count(*) > 1
     UNION ALL SELECT 'severity', CAST(id AS STRING) FROM sig WHERE severity NOT IN ('low','medium','high')""")
 def _(c):
     ev = c.evidence.withColumn("entity_id", F.when(F.col("signal_id") % 10 == 0, 1).otherwise(F.col("entity_id")))
@@ -283,6 +293,10 @@ def _(c):
         quality.orphans(
             c.references.filter("ref_type = 'beat'"), "reference_orphan", "ref_slug", c.topics, "name"
         ),
+        *quality.unique_keys({
+            "topic_assignments": c.assignments, "embeddings": c.embeddings, "topics": c.topics, "story_arc_membership": c.membership,
+            "story_references": c.references.union(c.references.filter("ref_type = 'beat'")),
+        }),
         quality.breaking(c.signals, "severity", key, quality.outside("severity", SEVERITIES)),
         quality.breaking(c.stories, "story_type", key, quality.outside("type", STORY_TYPES)),
         quality.breaking(c.stories, "arc_status", key, quality.outside("arc_status", ARC_STATUSES)),

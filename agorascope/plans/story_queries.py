@@ -82,15 +82,15 @@ def _(c):
 
 
 @query("arc_status", """SELECT a.id AS arc_id, a.slug, coalesce((SELECT s.arc_status FROM st s JOIN arcm m ON m.story_id = s.id
-      WHERE m.arc_id = a.id AND s.active AND s.conv_id <> 3 ORDER BY s.generated_at DESC, s.id DESC LIMIT 1), 'developing') AS arc_status FROM arcs a""")
+      WHERE m.arc_id = a.id AND s.active AND len(string_split(trim(regexp_replace(content, '\\s+', ' ', 'g')), ' ')) >= 20 ORDER BY s.generated_at DESC, s.id DESC LIMIT 1), 'developing') AS arc_status FROM arcs a""")
 def _(c):
-    return ops.arc_status(c.arcs, c.membership, c.stories.filter("conv_id <> 3")).select("arc_id", "slug", "arc_status")
+    return ops.arc_status(c.arcs, c.membership, c.stories).select("arc_id", "slug", "arc_status")
 
 
 @query("arc_list", f"""WITH {COMPUTED}, n AS (SELECT m.arc_id, count(*) AS story_count, CAST(max(s.generated_at) AS STRING) AS last_story_at
       FROM arcm m JOIN st s ON s.id = m.story_id GROUP BY 1),
     h AS (SELECT m.arc_id, arg_max(s.computed_arc_status, (s.generated_at, s.id)) AS a, max((s.generated_at, s.id)) AS k
-      FROM arcm m JOIN comp s ON s.id = m.story_id WHERE s.active GROUP BY 1)
+      FROM arcm m JOIN comp s ON s.id = m.story_id WHERE s.active AND len(string_split(trim(regexp_replace(s.content, '\\s+', ' ', 'g')), ' ')) >= 20 GROUP BY 1)
     SELECT a.id AS arc_id, a.slug, a.topic_id, c.computed_arc_status AS arc_status, n.story_count, n.last_story_at FROM arcs a
     LEFT JOIN n ON n.arc_id = a.id LEFT JOIN h ON h.arc_id = a.id LEFT JOIN comp c ON c.id = h.k[2]
     WHERE c.computed_arc_status = 'developing'""")
