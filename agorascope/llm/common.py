@@ -16,6 +16,10 @@ from agorascope.session import fresh_dir, shared_dir
 SPACES = "\t\n\x0b\f\r "
 
 
+#: Rows are worked on, and handed back, in slices of about so many bytes.
+SLICE_BYTES = 1 << 22
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
@@ -64,12 +68,13 @@ def sha256_hex(data: bytes) -> str:
 def in_batches(
     make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]],
 ) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """A function for mapInArrow: ``make`` runs once per task, what it returns once per batch."""
+    """A function for mapInArrow: ``make`` runs once per task, what it returns once per few MB of rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()
         for batch in batches:
-            if batch.num_rows:
-                yield step(batch)
+            rows = max(1, batch.num_rows * SLICE_BYTES // max(1, batch.nbytes))
+            for k in range(0, batch.num_rows, rows):
+                yield step(batch.slice(k, rows))
 
     return run
