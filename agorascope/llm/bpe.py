@@ -56,14 +56,17 @@ class Codec(dict):
         n = len(data)
         if n > 4 * LEAF_BYTES:
             return self._merge_long(data)
-        parts, none = [data[i : i + 1] for i in range(n)], len(self.parts)
-        while len(parts) > 1:
-            found = [ranks.get(a + b, none) for a, b in zip(parts, parts[1:])]
-            low = min(found)
-            if low == none:
-                break
-            i = found.index(low)
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        find, none = ranks.get, len(self.parts)
+        parts = [data[i : i + 1] for i in range(n)]
+        pairs = [find(data[i : i + 2], none) for i in range(n - 1)]
+        while pairs and (low := min(pairs)) != none:
+            i = pairs.index(low)
+            parts[i] = joined = parts[i] + parts.pop(i + 1)
+            del pairs[i]
+            if i < len(pairs):
+                pairs[i] = find(joined + parts[i + 1], none)
+            if i:
+                pairs[i - 1] = find(parts[i - 1] + joined, none)
         return [ranks[p] for p in parts]
 
     def _merge_long(self, data: bytes) -> list[int]:
@@ -130,7 +133,7 @@ class Codec(dict):
     def encode(self, text: str) -> array:
         ids = array("i")
         for leaf in self.leaves(text):
-            ids.extend(chain.from_iterable(map(self.__getitem__, self.matches(leaf))))
+            ids.extend(array("i", list(chain.from_iterable(map(self.__getitem__, self.matches(leaf))))))
         return ids
 
     def count(self, text: str) -> int:
@@ -161,24 +164,33 @@ def _with_column(batch: pa.RecordBatch, name: str, values: pa.Array) -> pa.Recor
     return pa.RecordBatch.from_arrays([*batch.columns, values], [*batch.schema.names, name])
 
 
+def _id_lists(coder: Codec, texts: pa.Array) -> pa.ListArray:
+    found = [coder.encode(t or "") for t in texts.to_pylist()]
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.frombuffer(x, np.int32) for x in found])))
+
+
+def _byte_strings(coder: Codec, ids: pa.ListArray) -> pa.Array:
+    return pa.array([coder.decode(x.values.to_numpy().tolist() if x.is_valid else []) for x in ids], pa.binary())
+
+
 def _encode(lines: bytes, pattern: str):
     coder = codec(lines, pattern)
+    return lambda batch: _with_column(batch, "token_ids", _id_lists(coder, batch.column("text")))
 
-    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [coder.encode(t or "") for t in batch.column("text").to_pylist()]
-        offsets = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
-        flat = np.concatenate([np.frombuffer(x, np.int32) for x in found])
-        return _with_column(batch, "token_ids", pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)))
 
-    return step
+def _decode(lines: bytes, pattern: str):
+    coder = codec(lines, pattern)
+    return lambda batch: _with_column(batch, "decoded", _byte_strings(coder, batch.column("token_ids")))
 
 
-def _decode(lines: bytes, pattern: str):
+def _both(lines: bytes, pattern: str):
+    """Encoding, and decoding of the ids it gave, in one worker."""
     coder = codec(lines, pattern)
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        data = [coder.decode(x or []) for x in batch.column("token_ids").to_pylist()]
-        return _with_column(batch, "decoded", pa.array(data, pa.binary()))
+        ids = _id_lists(coder, batch.column("text"))
+        return _with_column(_with_column(batch, "token_ids", ids), "decoded", _byte_strings(coder, ids))
 
     return step
 
@@ -201,9 +213,16 @@ def decode(frame: DataFrame, vocab: tuple[bytes, str]) -> DataFrame:
     return rows.mapInArrow(in_batches(functools.partial(_decode, *vocab)), out)
 
 
+def round_trip(docs: DataFrame, vocab: tuple[bytes, str]) -> DataFrame:
+    """``docs``, ``token_ids`` of its ``text`` and ``decoded``, the bytes of these ids: encode and decode in one pass."""
+    rows = docs.drop("token_ids", "decoded")
+    out = with_fields(rows.schema, "token_ids array<int>, decoded binary")
+    return rows.mapInArrow(in_batches(functools.partial(_both, *vocab)), out)
+
+
 def digests(docs: DataFrame, vocab: tuple[bytes, str], keep: list[str]) -> DataFrame:
     """``keep``, n_tokens, ids_sha256 and decoded_sha256 of every row of ``docs``."""
-    coded = decode(encode(docs.select(*keep, F.col("text").cast("string")), vocab).drop("text"), vocab)
+    coded = round_trip(docs.select(*keep, F.col("text").cast("string").alias("text")), vocab)
     listed = F.array_join(F.col("token_ids").cast("array<string>"), " ")
     return coded.select(
         *keep, F.size("token_ids").cast("long").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"),
