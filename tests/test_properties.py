@@ -214,3 +214,37 @@ def test_recent_lists_keep_order_per_group(spark):
     out = paging.top_per_group(rows, ["g"], [F.desc("v")], 3)
     hot = sorted(r.v for r in out.filter("g = 'hot'").collect())
     assert hot == [1992, 1995, 1998] and out.count() == out.select("g").distinct().count() * 3
+
+
+def test_refresh_takes_one_row_of_repeats(spark):
+    old = spark.createDataFrame([("a", 1), ("b", 1)], "k string, v int")
+    new = spark.createDataFrame([("a", 2), ("a", 3), ("c", 5)], "k string, v int")
+    got = {tuple(r) for r in dedup.keyed_refresh(old, new, ["k"], [F.desc("v")]).collect()}
+    assert got == {("a", 3), ("b", 1), ("c", 5)}
+    live = old.withColumn("is_active", F.lit(True))
+    rows = {tuple(r) for r in dedup.active_refresh(live, new, ["k"], [F.desc("v")]).collect()}
+    assert rows == {("a", 1, False), ("a", 3, True), ("b", 1, True), ("c", 5, True)}
+
+
+def test_several_drafts_of_a_slug_follow_each_other(spark):
+    kept = spark.createDataFrame([("s", "1", 1, None, True)], "slug string, id string, version int, previous_version_id string, active boolean")
+    drafts = spark.createDataFrame([("s", "2"), ("s", "3"), ("t", "9")], "slug string, id string")
+    after = {r.id: r for r in stories.supersede_story(kept, drafts).collect()}
+    assert [(after[i].version, after[i].previous_version_id, after[i].active) for i in "1239"] == [
+        (1, None, False), (2, "1", False), (3, "2", True), (1, None, True),
+    ]
+
+
+def test_offsets_count_characters_of_the_stored_text(spark):
+    texts = spark.createDataFrame([(1, "\u0130\u0130\u0130 Ann, ann")], "record_id long, text string")
+    names = spark.createDataFrame([(7, "ann")], "entity_id long, name string")
+    got = sorted(tuple(r) for r in textual.extract_mentions(texts, names).collect())
+    assert got == [(1, 7, 4, 7), (1, 7, 9, 12)]
+
+
+def test_evidence_weights_survive_many_rows(spark):
+    rows = spark.range(30_000).select(F.lit("k").alias("s"), F.col("id").alias("t"), (1 + F.col("id") % 3).alias("w"))
+    out = signals.assemble_evidence([signals.evidence_part(rows, F.col("s"), "record", F.col("t"), F.col("w"))])
+    top = out.orderBy("rank").limit(3).collect()
+    assert [r.target_id for r in top] == [2, 5, 8] and top[0].weight > 0
+    assert abs(out.agg(F.sum("weight")).first()[0] - 1) < 1e-6
