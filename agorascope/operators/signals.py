@@ -36,7 +36,7 @@ def _two_windows(rows: DataFrame, as_of: Column, recent_days: int, prior_days: i
 # ---- detectors ------------------------------------------------------------------------------
 def velocity(
     daily: DataFrame, first_day: str, last_day: str, days: int = P.baseline_days, ratio: float = P.velocity_ratio,
-    run: int = P.velocity_run,
+    run: int = P.velocity_run, min_evidence: int = P.min_evidence,
 ) -> DataFrame:
     """Runs of at least ``run`` consecutive days on which a topic exceeds its rolling baseline.
 
@@ -49,17 +49,19 @@ def velocity(
     island = F.datediff("day", F.lit(first_day).cast("date")) - F.row_number().over(order)
     return above.withColumn("_island", island).groupBy("topic_id", "_island").agg(
         F.min("day").alias("start_day"), F.max("day").alias("end_day"), n_rows().alias("run_days"),
-        F.round(F.max("_rate"), 6).alias("score"),
-    ).filter(F.col("run_days") >= run).drop("_island").withColumn("kind", F.lit("velocity"))
+        F.round(F.max("_rate"), 6).alias("score"), F.sum("n").cast("long").alias("evidence"),
+    ).filter((F.col("run_days") >= run) & (F.col("evidence") >= min_evidence)).drop("_island").withColumn("kind", F.lit("velocity"))
 
 
 def volume_anomaly(
-    daily: DataFrame, key: str, first_day: str, last_day: str, days: int = P.baseline_days, z: float = P.volume_z
+    daily: DataFrame, key: str, first_day: str, last_day: str, days: int = P.baseline_days, z: float = P.volume_z,
+    min_evidence: int = P.min_evidence,
 ) -> DataFrame:
-    """Days far above or below the key's own baseline, in deviations."""
+    """Days far above or below the key's own baseline, in deviations; the day or its baseline has rows enough."""
     base = rolling_baseline(daily, key, first_day, last_day, days)
     score = (F.col("n") - F.col("baseline")) / F.nullif("deviation", F.lit(0.0))
-    return base.filter(F.col("baseline_n") == days).withColumn("score", F.round(score, 6)).filter(
+    enough = F.greatest(F.col("n").cast("double"), F.col("baseline")) >= min_evidence
+    return base.filter((F.col("baseline_n") == days) & enough).withColumn("score", F.round(score, 6)).filter(
         F.abs(F.col("score")) >= z
     ).select(key, "day", "n", "score", F.when(F.col("score") > 0, "above").otherwise("below").alias("direction"),
              F.lit("volume_anomaly").alias("signal_kind"))
@@ -130,7 +132,8 @@ def entity_surge(
 
 
 def register_shift(
-    rows: DataFrame, as_of: Column, recent_days: int, prior_days: int, min_shift: float = P.register_shift_min
+    rows: DataFrame, as_of: Column, recent_days: int, prior_days: int, min_shift: float = P.register_shift_min,
+    min_evidence: int = P.min_evidence,
 ) -> DataFrame:
     """Topics whose mix of emotional registers moved: total variation between two windows."""
     inside, recent = _two_windows(rows.filter(F.col("emotional_register").isNotNull()), as_of, recent_days, prior_days)
@@ -143,7 +146,7 @@ def register_shift(
     return both.groupBy("topic_id").agg(
         F.round(F.sum(moved) / 2, 6).alias("score"), F.max("_tr").alias("evidence"),
         F.max_by("emotional_register", F.struct(moved, "emotional_register")).alias("most_changed"),
-    ).filter(F.col("score") >= min_shift).withColumn("kind", F.lit("emotional_register_shift"))
+    ).filter((F.col("score") >= min_shift) & (F.col("evidence") >= min_evidence)).withColumn("kind", F.lit("emotional_register_shift"))
 
 
 def key_phrase(deltas: DataFrame, min_ratio: float, min_count: int, recent_days: int = 7, baseline_days: int = 21) -> DataFrame:
@@ -179,7 +182,9 @@ def cross_topic(
     ).withColumn("kind", F.lit("cross_topic_correlation"))
 
 
-def trend(daily: DataFrame, first_day: str, last_day: str, min_slope: float = P.trend_min_slope) -> DataFrame:
+def trend(
+    daily: DataFrame, first_day: str, last_day: str, min_slope: float = P.trend_min_slope, min_evidence: int = P.min_evidence
+) -> DataFrame:
     """Topics with rising daily counts: slope of the zero-filled series."""
     grid = daily.select("topic_id").distinct().withColumn(
         "day", F.explode(F.sequence(F.lit(first_day).cast("date"), F.lit(last_day).cast("date")))
@@ -188,7 +193,7 @@ def trend(daily: DataFrame, first_day: str, last_day: str, min_slope: float = P.
         "topic_id", F.coalesce("n", F.lit(0)).cast("double").alias("y"), F.datediff("day", F.lit(first_day).cast("date")).cast("double").alias("x")
     )
     return series.groupBy("topic_id").agg(F.round(F.regr_slope("y", "x"), 6).alias("score"), F.sum("y").cast("long").alias("evidence")).filter(
-        F.col("score") > min_slope
+        (F.col("score") > min_slope) & (F.col("evidence") >= min_evidence)
     ).withColumn("kind", F.lit("trend"))
 
 
@@ -229,6 +234,27 @@ def with_severity(signals: DataFrame, key: Column, window_day: Column) -> DataFr
     )
 
 
+def as_signals(found: DataFrame, kind: str, subject: Column, window: Column, evidence: Column, topic: Column | None = None) -> DataFrame:
+    """A detector's rows in the common shape: kind, topic_id, subject, window, score, evidence."""
+    return found.select(
+        F.lit(kind).alias("kind"), (F.lit(None) if topic is None else topic).cast("long").alias("topic_id"), subject.cast("string").alias("subject"),
+        window.cast("string").alias("window"), F.col("score").cast("double"), evidence.cast("long").alias("evidence"),
+    )
+
+
+def signal_flow(parts: list[DataFrame], existing: DataFrame | None = None, min_evidence: int = P.min_evidence) -> DataFrame:
+    """All detectors' findings as new signals: gated by evidence, with strength, severity, dedup key and rank in their kind.
+
+    ``existing`` holds stored signals (kind, topic_id, dedup_key); what is there already is left out. Ranks run over
+    signals, which are aggregates, not over records.
+    """
+    enough = reduce(DataFrame.unionByName, parts).filter(F.col("evidence") >= min_evidence)
+    rated = with_severity(enough, F.col("subject"), F.col("window"))
+    fresh = rated if existing is None else absent(rated, existing, ["kind", "topic_id", "dedup_key"])
+    order = W.partitionBy("kind").orderBy(F.desc("strength"), F.asc("dedup_key"), F.asc_nulls_first("topic_id"))
+    return fresh.withColumn("rank", F.row_number().over(order))
+
+
 # ---- guards and gates -----------------------------------------------------------------------
 def signal_guards(
     arrivals: DataFrame, assignments: DataFrame, embedded: DataFrame, as_of: Column, window_days: int,

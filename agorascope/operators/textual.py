@@ -150,11 +150,18 @@ def saturated_candidates(stories: DataFrame, run: DataFrame, min_jaccard: float,
     return rows.select("topic_id", "candidate_id", "id", F.round(score, 6).alias("jaccard")).filter(F.col("jaccard") >= min_jaccard)
 
 
-def assign_topics_keyword(texts: DataFrame, topics: DataFrame) -> DataFrame:
-    """(record, topic) where a keyword of the topic occurs as a word; confidence NULL."""
+def assign_topics_keyword(texts: DataFrame, topics: DataFrame, owners: DataFrame | None = None) -> DataFrame:
+    """(record, topic) where a keyword of the topic occurs as a word; confidence NULL.
+
+    With ``owners`` (record_id, text_id) the ids of ``texts`` are text ids: each text is cut into words once and
+    its topics go to all records that have it.
+    """
     keywords = topics.select(F.col("id").alias("topic_id"), F.explode("keywords").alias("word"))
     words = texts.select("record_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("word"))
-    return words.join(keywords, "word").select("record_id", "topic_id").distinct().select(
+    found = words.join(keywords, "word").select("record_id", "topic_id").distinct()
+    if owners is not None:
+        found = owners.join(found.withColumnRenamed("record_id", "text_id"), "text_id")
+    return found.select(
         "record_id", "topic_id", F.lit("keyword").alias("method"), F.lit(None).cast("double").alias("confidence")
     )
 

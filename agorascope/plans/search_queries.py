@@ -157,8 +157,8 @@ def _(c):
     FROM (SELECT doc_id, unnest(list_distinct({tokens('text')})) AS w FROM documents) d JOIN core r ON r.doc_id = d.doc_id
     JOIN (SELECT id AS topic_id, unnest(keywords) AS w FROM topics) t ON t.w = d.w""")
 def _(c):
-    texts = c.records_text.select(F.col("id").alias("record_id"), F.col("content_text").alias("text"))
-    return textual.assign_topics_keyword(texts, c.topics)
+    texts = c.documents.select(F.col("doc_id").alias("record_id"), "text")
+    return textual.assign_topics_keyword(texts, c.topics, c.core.select(F.col("id").alias("record_id"), F.col("doc_id").alias("text_id")))
 
 
 @query("extract_mentions", f"""WITH dict AS (SELECT id * 2 + i - 1 AS entity_id, keywords[i] AS name FROM topics, (VALUES (1), (2)) v(i)),

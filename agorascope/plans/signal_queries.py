@@ -9,7 +9,7 @@ from agorascope.operators import rollups, signals, textual, vectorial
 from agorascope.operators.alerts import signal_notify
 from agorascope.plans.bindings import T_AS_OF, tokens
 from agorascope.plans.read_queries import S_TIME, s_as_of
-from agorascope.plans.registry import query
+from agorascope.plans.registry import _ORACLES, query
 from agorascope.plans.rollup_queries import DAYS, FIRST, GROWTH, GROWTH_RATE, LAST, TOPIC_PAIRS
 from agorascope.plans.search_queries import DELTA, RECORD_TEXTS, grams, record_texts
 
@@ -28,7 +28,7 @@ def topic_daily(c):
     a AS (SELECT *, n / greatest(base, 1.0) AS rate, date_diff('day', DATE '{FIRST}', d) - row_number() OVER (PARTITION BY topic_id ORDER BY d) AS isl
       FROM b WHERE bn = 7 AND n / greatest(base, 1.0) >= 1.02)
     SELECT topic_id, CAST(min(d) AS STRING) AS start_day, CAST(max(d) AS STRING) AS end_day, count(*) AS run_days, round(max(rate), 6) AS score,
-      'velocity' AS kind FROM a GROUP BY topic_id, isl HAVING count(*) >= 2""")
+      CAST(sum(n) AS BIGINT) AS evidence, 'velocity' AS kind FROM a GROUP BY topic_id, isl HAVING count(*) >= 2 AND sum(n) >= 3""")
 def _(c):
     return signals.velocity(topic_daily(c), FIRST, LAST, ratio=1.02)
 
@@ -39,7 +39,7 @@ VOLUME = f"""v0 AS (SELECT kind, CAST(captured_at AS DATE) AS d, count(*) AS n F
     v2 AS (SELECT *, avg(n) OVER w AS base, stddev_pop(n) OVER w AS dev, count(*) OVER w AS bn FROM v1
       WINDOW w AS (PARTITION BY kind ORDER BY d ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING)),
     vol AS (SELECT kind, CAST(d AS STRING) AS day, n, round((n - base) / nullif(dev, 0), 6) AS score FROM v2 WHERE bn = 7
-      AND abs(round((n - base) / nullif(dev, 0), 6)) >= 1.5)"""
+      AND greatest(n, base) >= 3 AND abs(round((n - base) / nullif(dev, 0), 6)) >= 1.5)"""
 
 
 def volume(c):
@@ -126,7 +126,7 @@ def _(c):
     t AS (SELECT *, sum(r) OVER (PARTITION BY topic_id) AS tr_, sum(p) OVER (PARTITION BY topic_id) AS tp FROM p),
     m AS (SELECT *, abs(r / CAST(tr_ AS DOUBLE) - p / CAST(tp AS DOUBLE)) AS mv FROM t WHERE tr_ > 0 AND tp > 0)
     SELECT topic_id, round(sum(mv) / 2, 6) AS score, CAST(max(tr_) AS BIGINT) AS evidence, arg_max(e, (mv, e)) AS most_changed, 'emotional_register_shift' AS kind
-    FROM m GROUP BY topic_id HAVING round(sum(mv) / 2, 6) >= 0.05""")
+    FROM m GROUP BY topic_id HAVING round(sum(mv) / 2, 6) >= 0.05 AND max(tr_) >= 3""")
 def _(c):
     return signals.register_shift(sentiment_rows(c), c.as_of, 7, 7)
 
@@ -149,7 +149,7 @@ def _(c):
 
 @query("signal_trend", f"""WITH {TOPIC_DAYS} SELECT topic_id, round(regr_slope(CAST(n AS DOUBLE), CAST(date_diff('day', DATE '{FIRST}', d) AS DOUBLE)), 6) AS score,
     CAST(sum(n) AS BIGINT) AS evidence, 'trend' AS kind FROM tg GROUP BY topic_id
-    HAVING round(regr_slope(CAST(n AS DOUBLE), CAST(date_diff('day', DATE '{FIRST}', d) AS DOUBLE)), 6) > 0""")
+    HAVING round(regr_slope(CAST(n AS DOUBLE), CAST(date_diff('day', DATE '{FIRST}', d) AS DOUBLE)), 6) > 0 AND sum(n) >= 3""")
 def _(c):
     return signals.trend(topic_daily(c), FIRST, LAST)
 
@@ -181,6 +181,55 @@ def _(c):
     return signals.with_severity(volume(c), F.col("kind"), F.col("day")).select("kind", "day", "score", "strength", "severity", "dedup_key")
 
 
+def _found(key: str, kind: str, subject: str, window: str, evidence: str, topic: str = "NULL", extra: str = "") -> str:
+    return f"""SELECT '{kind}' AS kind, CAST({topic} AS BIGINT) AS topic_id, CAST({subject} AS STRING) AS subject, CAST({window} AS STRING) AS win, score,
+        CAST({evidence} AS BIGINT) AS evidence FROM ({_ORACLES[key]}) {extra}"""
+
+
+_DAY = f"'{LAST}'"
+_FLOW = " UNION ALL ".join([
+    _found("signal_velocity", "velocity", "topic_id", "end_day", "evidence", "topic_id"),
+    _found("signal_volume_anomaly", "volume_anomaly", "kind", "day", "n"),
+    _found("signal_novelty", "novelty", "topic_id", _DAY, "evidence", "topic_id"),
+    _found("signal_divergence", "divergence", "topic_id", _DAY, "evidence", "topic_id"),
+    _found("divergence_aligned", "platform_divergence", "topic_id", _DAY, "evidence", "topic_id"),
+    _found("signal_sentiment_shift", "sentiment_shift", "topic_id", _DAY, "evidence", "topic_id"),
+    _found("signal_entity_surge", "entity_surge", "entity_id", _DAY, "recent_mentions"),
+    _found("signal_register_shift", "emotional_register_shift", "topic_id", _DAY, "evidence", "topic_id"),
+    _found("signal_key_phrase", "key_phrase_trending", "ngram", _DAY, "recent_n"),
+    _found("signal_cross_topic", "cross_topic_correlation", "concat(topic_a, '-', topic_b)", _DAY, "shared_records", "topic_a"),
+    _found("signal_trend", "trend", "topic_id", _DAY, "evidence", "topic_id"),
+])
+
+
+@query("signal_flow", f"""WITH f AS ({_FLOW}), g AS (SELECT *, round(abs(score) / (abs(score) + 1), 6) AS strength, concat(subject, '|', win) AS dedup_key FROM f
+      WHERE evidence >= 3 AND NOT (kind = 'trend' AND topic_id % 2 = 0))
+    SELECT kind, topic_id, score, evidence, strength, CASE WHEN strength >= 0.8 THEN 'high' WHEN strength >= 0.5 THEN 'medium' ELSE 'low' END AS severity,
+      dedup_key, row_number() OVER (PARTITION BY kind ORDER BY strength DESC, dedup_key, topic_id NULLS FIRST) AS rank FROM g""")
+def _(c):
+    daily, rows, day, topic = topic_daily(c), sentiment_rows(c), F.lit(LAST), F.col("topic_id")
+    deltas = textual.ngram_delta(record_texts(c), 2, 2, min_delta=0.000002)
+    shape, evidence = signals.as_signals, F.col("evidence")
+    trends = shape(signals.trend(daily, FIRST, LAST), "trend", topic, day, evidence, topic)
+    stored = trends.filter("topic_id % 2 = 0").select("kind", "topic_id", F.concat_ws("|", "subject", "window").alias("dedup_key"))
+    return signals.signal_flow([
+        shape(signals.velocity(daily, FIRST, LAST, ratio=1.02), "velocity", topic, F.col("end_day"), evidence, topic),
+        shape(volume(c), "volume_anomaly", F.col("kind"), F.col("day"), F.col("n")),
+        shape(signals.novelty_signals(distances(c)), "novelty", topic, day, evidence, topic),
+        shape(signals.divergence(rows), "divergence", topic, day, evidence, topic),
+        shape(signals.divergence_aligned(rows), "platform_divergence", topic, day, evidence, topic),
+        shape(signals.sentiment_shift(rows, c.as_of, 7, 7), "sentiment_shift", topic, day, evidence, topic),
+        shape(signals.entity_surge(c.mentions, c.as_of), "entity_surge", F.col("entity_id"), day, F.col("recent_mentions")),
+        shape(signals.register_shift(rows, c.as_of, 7, 7), "emotional_register_shift", topic, day, evidence, topic),
+        shape(signals.key_phrase(deltas, 1.08, 5), "key_phrase_trending", F.col("ngram"), day, F.col("recent_n")),
+        shape(
+            signals.cross_topic(c.assignments, daily, FIRST, LAST), "cross_topic_correlation", F.concat_ws("-", "topic_a", "topic_b"), day,
+            F.col("shared_records"), F.col("topic_a"),
+        ),
+        trends,
+    ], stored).select("kind", "topic_id", "score", "evidence", "strength", "severity", "dedup_key", "rank")
+
+
 @query("signal_guards", """WITH w AS (SELECT p.topic_id, a.id, epoch(a.ingested_at) - epoch(a.captured_at) <= 86400 AS live, v.vec_id IS NOT NULL AS emb
       FROM (SELECT DISTINCT topic_id, record_id FROM ta) p JOIN arrivals a ON a.id = p.record_id LEFT JOIN embeddings v ON v.vec_id = a.id
       WHERE a.captured_at > TIMESTAMP '2024-01-01 00:00:00' AND a.captured_at <= TIMESTAMP '2024-01-03 00:00:00'),
