@@ -15,8 +15,8 @@ the group is reported, not just neighbours.
 Groups of copies. A whole text is handled once: tasks skip texts they have seen, and further copies are known to
 be covered. Anchors that repeat at a short distance within a text (periodic text) are compared in place and only
 the first one travels. An anchor hash with more than MOST_GROUP occurrences isn't sorted in one task: equal
-contexts are counted as one class, and what is left is counted string by string, by 128-bit hashes dealt
-evenly, with the same result.
+contexts are counted as one class, and what is left is compared by 128-bit hashes dealt evenly, in blocks of
+strings first and string by string only where a block is neither unique nor repeated as a whole. The result is the same.
 """
 
 from __future__ import annotations
@@ -34,26 +34,26 @@ from agorascope.llm.common import digest, in_batches, landed, utf8
 
 LEAST, GRAM = 400, 80
 MOST_GROUP = 256
+BLOCKS = (64, 8, 1)  # strings compared at once under frequent anchors
 SEGMENT = 1 << 20  # starts handled at once in a long text
-_TABLES = np.random.default_rng(20).integers(1, 1 << 63, (2, 256), np.uint64) * np.uint64(2) + np.uint64(1)
-_BASES = (0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1)
+_TABLE = np.random.default_rng(20).integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
+_BASE = 0x9E3779B97F4A7C15
 
 
 @functools.lru_cache(maxsize=4)
-def _powers(n: int, which: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of a base and of its inverse, modulo 2**64."""
-    base = _BASES[which]
-    both = [np.full(n, b, np.uint64) for b in (base, pow(base, -1, 1 << 64))]
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of the base and of its inverse, modulo 2**64."""
+    both = [np.full(n, b, np.uint64) for b in (_BASE, pow(_BASE, -1, 1 << 64))]
     for x in both:
         x[0] = 1
     return np.cumprod(both[0]), np.cumprod(both[1])
 
 
-def rolling(data: np.ndarray, size: int, which: int = 0) -> np.ndarray:
+def rolling(data: np.ndarray, size: int) -> np.ndarray:
     """A 64-bit hash of every run of ``size`` bytes."""
     n = len(data)
-    power, inverse = _powers(max(n, SEGMENT + LEAST), which)
-    summed = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_TABLES[which][data] * power[:n], dtype=np.uint64)])
+    power, inverse = _powers(max(n, SEGMENT + LEAST))
+    summed = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_TABLE[data] * power[:n], dtype=np.uint64)])
     m = n - size + 1
     found = (summed[size:] - summed[:m]) * inverse[:m]  # every run brought to the same power
     found ^= found >> np.uint64(29)
@@ -220,43 +220,79 @@ def _scan_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch_of()
 
 
-_HOT = "id binary, first long, n int, whole binary, keys array<binary>"
+_HOT = "id binary, h long, first long, back int, n int, whole binary, text binary"
 
 
-def _hot_strings():
-    """Contexts with their hash; the hashes of their strings only where this task meets the context first."""
+def _hot_contexts():
+    """Contexts with their hash, and with their bytes only where this task meets the context first."""
     seen: set[bytes] = set()
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = []
-        columns = [batch.column(c).to_pylist() for c in ("id", "first", "ahead", "behind")]
-        for key, first, ahead, behind in zip(*columns, strict=True):
+        columns = [batch.column(c).to_pylist() for c in ("id", "h", "first", "ahead", "behind")]
+        for key, h, first, ahead, behind in zip(*columns, strict=True):
             text = behind[::-1] + ahead
-            n, whole, keys = len(text) - LEAST + 1, hashlib.blake2b(text, digest_size=16).digest(), None
-            if whole not in seen:
-                seen.add(whole)
-                data = np.frombuffer(text, np.uint8)
-                pair = np.stack([rolling(data, LEAST, 0), rolling(data, LEAST, 1)], 1)
-                keys = [pair[i].tobytes() for i in range(n)]
-            out.append((key, first, n, whole, keys))
-        kinds = [pa.binary(), pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.binary())]
-        columns = list(zip(*out, strict=True)) or [()] * 5
-        return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], ["id", "first", "n", "whole", "keys"])
+            whole = hashlib.blake2b(text, digest_size=16, salt=len(behind).to_bytes(8, "big")).digest()
+            out.append((key, h, first, len(behind), len(text) - LEAST + 1, whole, None if whole in seen else text))
+            seen.add(whole)
+        kinds = [pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+        columns = list(zip(*out, strict=True)) or [()] * 7
+        return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], ["id", "h", "first", "back", "n", "whole", "text"])
+
+    return step
+
+
+_BLOCK = "whole binary, c long, back int, block int, core binary, span binary"
+
+
+def _block_keys(size: int, parent: int):
+    """Hashes of each block of ``size`` offsets from the anchor: of the bytes all its strings share, and of all its bytes.
+
+    The latter is null for a block that the context's own strings fill only in part.
+    """
+
+    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+        out = []
+        columns = [batch.column(c).to_pylist() for c in ("whole", "c", "h", "back", "n", "text", "blocks")]
+        for whole, c, h, back, n, text, parents in zip(*columns, strict=True):
+            low = back - n + 1
+            wanted = range(low // size, back // size + 1)
+            if parents is not None:
+                wanted = [b for p in parents for b in range(p * parent // size, (p + 1) * parent // size) if low // size <= b <= back // size]
+            for b in wanted:
+                near, far = b * size, b * size + size - 1
+                place = h.to_bytes(8, "big", signed=True) + near.to_bytes(8, "big")
+                core = hashlib.blake2b(text[back - near : back - far + LEAST], digest_size=16, salt=place).digest()
+                full = near >= low and far <= back
+                span = hashlib.blake2b(text[back - far : back - near + LEAST], digest_size=16, salt=place).digest() if full else None
+                out.append((whole, c, back, b, core, span))
+        kinds = [pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+        columns = list(zip(*out, strict=True)) or [()] * 6
+        return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], ["whole", "c", "back", "block", "core", "span"])
 
     return step
 
 
 def _hot_spans(contexts: DataFrame) -> DataFrame:
     """(id, start, stop) of the strings of frequent anchors that occur twice or more."""
-    rows = landed(contexts.mapInArrow(in_batches(_hot_strings), _HOT), "hot")
-    classes = rows.groupBy("whole").agg(F.count(F.lit(1)).alias("c"))
-    strings = rows.where("keys is not null").select("whole", F.posexplode("keys").alias("k", "string")).distinct()
-    counted = strings.join(classes, "whole").groupBy("string").agg(F.sum("c").alias("c")).where("c > 1")
-    single = rows.join(classes.where("c = 1"), "whole", "left_semi").select("id", "first", "whole")
-    several = rows.join(classes.where("c > 1"), "whole", "left_semi").select("id", F.col("first").alias("start"), (F.col("first") + F.col("n") - 1 + LEAST).alias("stop"))
-    met = strings.join(counted, "string", "left_semi").join(single, "whole").groupBy("id", "whole", "first")
-    # each run of starts belongs to one anchor: its strings overlap, so the outermost ones bound what is covered
-    return several.union(met.agg(F.min("k").alias("a"), F.max("k").alias("b")).select("id", F.col("first") + F.col("a"), F.col("first") + F.col("b") + LEAST))
+    rows = landed(contexts.mapInArrow(in_batches(_hot_contexts), _HOT), "hot")
+    counts = rows.groupBy("whole").agg(F.count(F.lit(1)).alias("c"))
+    texts = rows.where("text is not null").dropDuplicates(["whole"]).select("whole", "h", "back", "n", "text")
+    classes = landed(texts.join(counts, "whole"), "classes")
+    asked, parent, found = classes.withColumn("blocks", F.lit(None).cast("array<int>")), 0, []
+    for size in BLOCKS:
+        keys = landed(asked.mapInArrow(in_batches(functools.partial(_block_keys, size, parent)), _BLOCK), "blocks")
+        same = keys.where("span is not null").groupBy("span").agg(F.sum("c").alias("spans")).where("spans > 1")
+        told = keys.join(same, "span", "left").withColumn("sure", F.col("spans").isNotNull())
+        found.append(told.where("sure").select("whole", (F.col("back") - (F.col("block") + 1) * size + 1).alias("a"), (F.col("back") - F.col("block") * size).alias("b")))
+        shared = told.groupBy("core").agg(F.sum("c").alias("cores"), F.bool_and("sure").alias("done")).where("cores > 1 and not done")
+        left = keys.join(shared, "core", "left_semi").groupBy("whole").agg(F.collect_list("block").alias("blocks"))
+        asked, parent = classes.join(left, "whole"), size
+    several = rows.join(counts.where("c > 1"), "whole", "left_semi").select("id", F.col("first").alias("start"), (F.col("first") + F.col("n") - 1 + LEAST).alias("stop"))
+    # the strings of one anchor overlap, so the outermost repeated ones bound what is covered
+    bounds = functools.reduce(DataFrame.union, found).groupBy("whole").agg(F.min("a").alias("a"), F.max("b").alias("b"))
+    inside = rows.join(bounds, "whole").select("id", (F.col("first") + F.col("a")).alias("start"), (F.col("first") + F.col("b") + LEAST).alias("stop"))
+    return several.union(inside)
 
 
 def repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -274,7 +310,7 @@ def repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     parts = around.where("not hot").select("h", "id", "at", "ahead", "behind").repartition("h").sortWithinPartitions("h", "ahead")
     groups = parts.mapInArrow(_scan_sorted, _REPEAT)
     spans = groups.select("id", "start", (F.col("start") + F.col("length")).alias("stop")).distinct()
-    return texts, spans.union(near).union(_hot_spans(around.where("hot").select("id", "first", "ahead", "behind")))
+    return texts, spans.union(near).union(_hot_spans(around.where("hot").select("id", "h", "first", "ahead", "behind")))
 
 
 def _strip():
