@@ -88,7 +88,9 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
 
 def ratios(docs: DataFrame, labels: DataFrame) -> list[float]:
     """Per bucket, the log ratio of its count among trusted documents and that expected from all, each plus PRIOR."""
-    marked = docs.select("doc_id", text_or_empty().alias("text")).join(trusted_ids(labels).withColumn("good", F.lit(1)), "doc_id", "left")
+    # labels grow with the documents: the join is a shuffle at every size, never a broadcast
+    good = trusted_ids(labels).withColumn("good", F.lit(1)).hint("merge")
+    marked = docs.select("doc_id", text_or_empty().alias("text")).join(good, "doc_id", "left")
     cut = marked.select(words(F.col("text")).alias("w"), "good")
     each = cut.select("good", F.explode(grams(F.col("w"))).alias("bucket"))
     counts = each.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.count("good").alias("target")).collect()
