@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from agorascope.llm.bpe import codec
-from agorascope.llm.common import in_batches
+from agorascope.llm.common import in_batches, stable
 
 WIDTH = 1024  # lengths summed within one group; the groups' totals are summed after that
 
@@ -44,7 +44,7 @@ def histogram(counted: DataFrame) -> DataFrame:
     truncated_total is the sum of min(length, n_tokens) over all documents; total_docs and total_tokens are
     of the whole table. An empty table has no rows.
     """
-    sizes = counted.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n_docs"))
+    sizes = stable(counted.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n_docs")))  # texts are encoded once
     sizes = sizes.withColumn("_g", F.floor(F.col("n_tokens") / WIDTH)).withColumn("_t", F.col("n_docs") * F.col("n_tokens"))
     groups = sizes.groupBy("_g").agg(F.sum("n_docs").alias("_gd"), F.sum("_t").alias("_gt"))
     later = Window.orderBy(F.col("_g").desc()).rowsBetween(Window.unboundedPreceding, -1)  # a row per WIDTH lengths
