@@ -38,8 +38,8 @@ class Setup:
     """Training parameters. At most about ``toxic`` + ``clean`` labelled rows are sampled, by a hash of doc_id;
     of these only texts of up to ``most_chars`` characters train."""
 
-    toxic: int = 2500
-    clean: int = 5000
+    toxic: int = 1500
+    clean: int = 3500
     most_chars: int = 200_000
     bits: int = 18
     width: int = 16
