@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from agorascope.llm import bpe, decontaminate, pii, quality, sharding, simhash, suffix_dedup, token_counts, toxicity, url_rules
+from agorascope.llm import bpe, decontaminate, filter_audit, line_dedup, pii, quality, sharding, simhash, suffix_dedup, token_counts, toxicity, url_rules
 from agorascope.llm.common import table
 
 
@@ -51,6 +51,14 @@ def op10_pii(spark: SparkSession, folder: str) -> DataFrame:
     return pii.report(table(spark, folder, "documents"))
 
 
+def op11_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return line_dedup.report(table(spark, folder, "documents"))
+
+
+def op13_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return filter_audit.report(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_decontaminate": op2_decontaminate,
@@ -62,5 +70,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_rules": op8_url_rules,
     "op9_token_counts": op9_token_counts,
     "op10_pii": op10_pii,
+    "op11_line_dedup": op11_line_dedup,
+    "op13_filter_audit": op13_filter_audit,
+}
+ORACLES: dict[str, str] = {
+    "op2_decontaminate": decontaminate.ORACLE,
+    "op11_line_dedup": line_dedup.ORACLE,
+    "op13_filter_audit": filter_audit.ORACLE,
 }
-ORACLES: dict[str, str] = {"op2_decontaminate": decontaminate.ORACLE}
