@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from agorascope.llm import bpe, decontaminate, filter_audit, line_dedup, pii, quality, sharding, simhash, suffix_dedup, token_counts, toxicity, url_rules
+from agorascope.llm import bpe, decontaminate, filter_audit, line_dedup, pii, prefix_trie, quality, sharding, simhash, suffix_dedup, token_counts, toxicity, url_rules
 from agorascope.llm.common import table
 
 
@@ -55,6 +55,10 @@ def op11_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return line_dedup.report(table(spark, folder, "documents"))
 
 
+def op12_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_trie.report(table(spark, folder, "conversations"))
+
+
 def op13_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
     return filter_audit.report(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
@@ -71,10 +75,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_counts": op9_token_counts,
     "op10_pii": op10_pii,
     "op11_line_dedup": op11_line_dedup,
+    "op12_prefix_trie": op12_prefix_trie,
     "op13_filter_audit": op13_filter_audit,
 }
 ORACLES: dict[str, str] = {
     "op2_decontaminate": decontaminate.ORACLE,
     "op11_line_dedup": line_dedup.ORACLE,
+    "op12_prefix_trie": prefix_trie.ORACLE,
     "op13_filter_audit": filter_audit.ORACLE,
 }
