@@ -48,7 +48,8 @@ class Codec(dict):
         white = r"\p{White_Space}"
         exact = pattern.replace(r"[^\s", f"[^{white}").replace(r"\S", rf"\P{{White_Space}}").replace(r"\s", white)
         self.matches = regex.compile(exact).findall
-        self.border = regex.compile(rf"(?<=\P{{White_Space}}) (?=\P{{White_Space}})")
+        border = rf"(?<=\P{{White_Space}}) (?=\P{{White_Space}})"
+        self.border_after, self.border_before = regex.compile(border), regex.compile(f"(?r){border}")
 
     def merge(self, data: bytes) -> list[int]:
         """Lowest rank first, leftmost first among equals."""
@@ -121,14 +122,23 @@ class Codec(dict):
         return ids
 
     def leaves(self, text: str) -> Iterator[str]:
-        """The text in parts whose encodings concatenate to its own, halved until they are short."""
-        if len(text) > LEAF_CHARS:
-            cut = self.border.search(text, len(text) // 2) or self.border.search(text)
-            if cut:
-                yield from self.leaves(text[: cut.start()])
-                yield from self.leaves(text[cut.start() :])
-                return
-        yield text
+        """The text in parts whose encodings concatenate to its own, halved until they are short.
+
+        A part is cut at its border nearest to the middle. With all borders on one side of the middle, the other side is
+        a leaf at once, so parts with borders halve each time.
+        """
+        waiting = [(0, len(text))]
+        while waiting:
+            start, end = waiting.pop()
+            if end - start > LEAF_CHARS:
+                middle = (start + end) // 2
+                around = [self.border_after.search(text, middle, end), self.border_before.search(text, start, middle)]
+                cuts = [m.start() for m in around if m and start < m.start()]
+                if cuts:
+                    cut = min(cuts, key=lambda c: abs(c - middle))
+                    waiting += [(cut, end), (start, cut)]
+                    continue
+            yield text[start:end]
 
     def encode(self, text: str) -> array:
         ids = array("i")
@@ -221,10 +231,16 @@ def round_trip(docs: DataFrame, vocab: tuple[bytes, str]) -> DataFrame:
 
 
 def digests(docs: DataFrame, vocab: tuple[bytes, str], keep: list[str]) -> DataFrame:
-    """``keep``, n_tokens, ids_sha256 and decoded_sha256 of every row of ``docs``."""
-    coded = round_trip(docs.select(*keep, F.col("text").cast("string").alias("text")), vocab)
+    """``keep``, n_tokens, ids_sha256 and decoded_sha256 of every row of ``docs``.
+
+    Kept columns may have any name; one named like a new column is replaced by it.
+    """
+    new = ("n_tokens", "ids_sha256", "decoded_sha256")
+    kept = [c for c in keep if c.lower() not in new]
+    packed = F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row")
+    coded = round_trip(docs.select(packed, F.col("text").cast("string").alias("text")), vocab)
     listed = F.array_join(F.col("token_ids").cast("array<string>"), " ")
     return coded.select(
-        *keep, F.size("token_ids").cast("long").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
+        *[F.col("row").getField(c).alias(c) for c in kept], F.size("token_ids").cast("long").alias("n_tokens"),
+        F.sha2(listed, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
     )

@@ -105,3 +105,23 @@ def test_edges(spark):
     assert empty.count() == 0
     assert token_counts.truncated_totals(empty, [5]).first().truncated_total == 0
     assert token_counts.quantiles(empty, [0.5]).first().n_tokens is None
+
+
+def test_borders_on_one_side(coder, library):
+    """10 MB whose borders all stand at one end: no deep recursion, no quadratic work."""
+    text = "a " * 20_000 + "b" * 10_000_000
+    assert len(list(coder.leaves(text))) <= 2 + len(text) // bpe.LEAF_CHARS
+    assert "".join(coder.leaves(text)) == text and "".join(coder.leaves(text[::-1])) == text[::-1]
+    short = "a " * 100_000 + "b" * 70_000
+    for t in (short, short[::-1]):
+        ids = coder.encode(t)
+        assert coder.decode(ids.tolist()) == t.encode()
+    assert coder.encode("a " * 200_000 + "b").tolist() == library.encode_ordinary("a " * 200_000 + "b")
+
+
+def test_kept_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(1, "one two", "x", "y", "z", "u")], "doc_id long, text string, n_tokens string, token_ids string, `a.b` string, decoded string")
+    got = bpe.digests(docs, bpe.vocabulary(), [c for c in docs.columns if c != "text"])
+    assert got.columns == ["doc_id", "token_ids", "a.b", "decoded", "n_tokens", "ids_sha256", "decoded_sha256"]
+    row = got.first()
+    assert (row["token_ids"], row["a.b"], row["decoded"], row["n_tokens"]) == ("y", "z", "u", 2)
