@@ -14,15 +14,19 @@ the group is reported, not just neighbours.
 
 Groups of copies. A whole text is handled once: tasks skip texts they have seen, and further copies are known to
 be covered. Anchors that repeat at a short distance within a text (periodic text) are compared in place and only
-the first one travels. An anchor hash with more than MOST_GROUP occurrences isn't sorted in one task: equal
-contexts are counted as one class, and what is left is compared by 128-bit hashes dealt evenly, in blocks of
-strings first and string by string only where a block is neither unique nor repeated as a whole. The result is the same.
+the first one travels. In an interval tree of more than MOST_GROUP suffixes the nested intervals are not sorted anew
+each: the tree is walked from its leaves, and where two intervals merge, the smaller one's suffixes look up the
+larger one in the order of the bytes to the left; that gives each suffix the furthest bytes on either side that some repeat
+covers, in about n log(n)**2 steps (``reaches``). An anchor hash with more than MOST_SORTED occurrences isn't sorted in one
+task: equal contexts are counted as one class, and what is left is compared by 128-bit hashes dealt evenly, in blocks
+of strings first and string by string only where a block is neither unique nor repeated as a whole. The result is the same.
 """
 
 from __future__ import annotations
 
 import functools
 import hashlib
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +37,8 @@ from pyspark.sql import functions as F
 from agorascope.llm.common import digest, in_batches, landed, utf8
 
 LEAST, GRAM = 400, 80
-MOST_GROUP = 256
+MOST_GROUP = 256  # suffixes whose maximal repeats are listed group by group
+MOST_SORTED = 1 << 16  # suffixes of one anchor sorted in a task, some 50 MB
 BLOCKS = (64, 8, 1)  # strings compared at once under frequent anchors
 SEGMENT = 1 << 20  # starts handled at once in a long text
 _TABLE = np.random.default_rng(20).integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -188,15 +193,93 @@ def repeat_groups(ahead: list[bytes], behind: list[bytes], least: int = LEAST) -
                 yield left, right, members
 
 
+def reaches(ahead: list[bytes], behind: list[bytes], least: int = LEAST) -> list[int]:
+    """For each context the most bytes of ``ahead`` that it shares with another one which shares, with the bytes behind,
+    ``least`` in all; zero if there is none. ``ahead`` is sorted.
+
+    Intervals of the common-prefix tree merge in descending depth. Each knows its members' places in the order of
+    ``behind``; contexts that share enough behind them stand side by side there. A context is settled at its first,
+    deepest, merge with a partner, and is not looked at again.
+    """
+    n, longest = len(ahead), max(map(len, behind))
+    order = sorted(range(n), key=behind.__getitem__)
+    place = [0] * n
+    for k, i in enumerate(order):
+        place[i] = k
+    shared = [common(a, b) for a, b in zip(ahead, ahead[1:])]
+    levels = [[common(behind[i], behind[j]) for i, j in zip(order, order[1:])]]
+    while len(levels[-1]) > 1 << len(levels) - 1:  # minima of 2**level neighbours
+        low, step = levels[-1], 1 << len(levels) - 1
+        levels.append([min(x, y) for x, y in zip(low, low[step:])])
+    steps = [(1 << k, level) for k, level in enumerate(levels)][::-1]
+
+    def stretch(k: int, need: int) -> tuple[int, int]:
+        first = last = k
+        for step, level in steps:
+            if first >= step and level[first - step] >= need:
+                first -= step
+            if last + step < n and level[last] >= need:
+                last += step
+        return first, last
+
+    group, members, unsettled = list(range(n)), [[k] for k in place], [[k] for k in place]
+    best = [0] * n
+
+    def find(i: int) -> int:
+        while group[i] != i:
+            group[i] = group[group[i]]
+            i = group[i]
+        return i
+
+    for edge in sorted(range(n - 1), key=lambda i: -shared[i]):
+        depth = shared[edge]
+        if least - depth > longest:
+            break
+        small, large = sorted((find(edge), find(edge + 1)), key=lambda g: len(members[g]))
+        others, waiting = members[large], unsettled[large]
+        for k in members[small]:
+            first, last = stretch(k, least - depth)
+            at = bisect_left(others, first)
+            if at < len(others) and others[at] <= last:
+                best[order[k]] = best[order[k]] or depth
+                a, b = bisect_left(waiting, first), bisect_right(waiting, last)
+                for other in waiting[a:b]:
+                    best[order[other]] = depth
+                del waiting[a:b]
+        left = [k for k in unsettled[small] if not best[order[k]]]
+        for mine, theirs in ((members[small], others), (left, waiting)):
+            if 8 * len(mine) < len(theirs):
+                for k in mine:
+                    insort(theirs, k)
+            else:
+                theirs += mine
+                theirs.sort()
+        group[small], members[small], unsettled[small] = large, [], []
+    return best
+
+
+def covered(ahead: list[bytes], behind: list[bytes], least: int = LEAST) -> Iterator[tuple[int, int, int]]:
+    """(bytes to the left, bytes to the right, context) that repeats cover, of those contexts that have one."""
+    right = reaches(ahead, behind, least)
+    order = sorted(range(len(ahead)), key=behind.__getitem__)
+    left = reaches([behind[i] for i in order], [ahead[i] for i in order], least)
+    for i, reach in zip(order, left, strict=True):
+        if reach or right[i]:
+            yield reach, right[i], i
+
+
 _REPEAT = "h long, number int, length long, id binary, start long"
 
 
-def _scan_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _scan_sorted(most_group: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Streams over the sorted suffixes, one anchor hash at a time."""
     now, rows, out = None, [], []
 
     def close() -> None:
-        if len(rows) > 1:
+        if len(rows) > most_group:
+            found = covered([r[2] for r in rows], [r[3] for r in rows])
+            out.extend((now, k, left + right, rows[i][0], rows[i][1] - left) for k, (left, right, i) in enumerate(found))
+        elif len(rows) > 1:
             for k, (left, right, members) in enumerate(repeat_groups([r[2] for r in rows], [r[3] for r in rows])):
                 out.extend((now, k, left + right, rows[i][0], rows[i][1] - left) for i in members)
 
@@ -304,11 +387,11 @@ def repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     near = found.where("h is null").select("id", F.col("first").alias("start"), F.col("last").alias("stop")).distinct()
     marks = found.where("h is not null").groupBy("h", "id", "at").agg(F.first("first").alias("first"), F.first("last").alias("last"))
     often = marks.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    wanted = marks.join(often, "h").groupBy("id").agg(F.collect_list(F.struct("h", "at", "first", "last", (F.col("c") > MOST_GROUP).alias("hot"))).alias("rows"))
+    wanted = marks.join(often, "h").groupBy("id").agg(F.collect_list(F.struct("h", "at", "first", "last", (F.col("c") > MOST_SORTED).alias("hot"))).alias("rows"))
     around = landed(texts.join(wanted, "id").select("id", "text", "rows").mapInArrow(in_batches(_contexts), _CONTEXT), "contexts")
 
     parts = around.where("not hot").select("h", "id", "at", "ahead", "behind").repartition("h").sortWithinPartitions("h", "ahead")
-    groups = parts.mapInArrow(_scan_sorted, _REPEAT)
+    groups = parts.mapInArrow(functools.partial(_scan_sorted, MOST_GROUP), _REPEAT)
     spans = groups.select("id", "start", (F.col("start") + F.col("length")).alias("stop")).distinct()
     return texts, spans.union(near).union(_hot_spans(around.where("hot").select("id", "h", "first", "ahead", "behind")))
 

@@ -61,16 +61,18 @@ def test_planted(spark):
 def test_frequent_anchors_and_segments(spark):
     rows = list(enumerate(planted(random.Random(8))))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    kept = S.MOST_GROUP, S.SEGMENT
+    kept = S.MOST_GROUP, S.MOST_SORTED, S.SEGMENT
     try:
         S.MOST_GROUP = 3
         assert got(docs) == by_force(rows)
+        S.MOST_SORTED = 3
+        assert got(docs) == by_force(rows)
         S.SEGMENT = 700
         whole = [S.anchors((t or "").encode()) for _, t in rows]
         S.SEGMENT = 1 << 20
         assert whole == [S.anchors((t or "").encode()) for _, t in rows]
     finally:
-        S.MOST_GROUP, S.SEGMENT = kept
+        S.MOST_GROUP, S.MOST_SORTED, S.SEGMENT = kept
 
 
 def test_groups_are_maximal_and_whole():
@@ -93,3 +95,39 @@ def test_groups_are_maximal_and_whole():
                     if len(m) > 1 and a + b >= 2 and ends:
                         expected.add((a, b, tuple(m)))
         assert found == expected
+
+
+def test_reaches_against_all_pairs():
+    rng = random.Random(7)
+    for _ in range(300):
+        n, least = rng.randrange(2, 40), rng.randrange(1, 12)
+        letters = rng.choice((b"a", b"ab", b"abc"))
+        base = bytes(rng.choice(letters) for _ in range(16))
+        pairs = []
+        for _ in range(n):  # near copies of one context, or random ones
+            x = bytearray(base if rng.random() < 0.6 else bytes(rng.choice(letters) for _ in range(16)))
+            x[rng.randrange(16)] = rng.choice(letters)
+            pairs.append((bytes(x[8 : rng.randrange(8, 17)]), bytes(x[rng.randrange(9) : 8][::-1])))
+        pairs.sort()
+        ahead, behind = [p[0] for p in pairs], [p[1] for p in pairs]
+        expected = {}
+        for i in range(n):
+            for j in range(n):
+                right, left = S.common(ahead[i], ahead[j]), S.common(behind[i], behind[j])
+                if i != j and left + right >= least:
+                    a, b = expected.get(i, (0, 0))
+                    expected[i] = (max(a, left), max(b, right))
+        assert {i: (a, b) for a, b, i in S.covered(ahead, behind, least)} == expected
+
+
+def test_large_groups_of_near_copies_take_little_time():
+    rng = random.Random(9)
+    base = [bytes(rng.choice(b"abcdefgh ") for _ in range(800)) for _ in range(20)]
+    pairs = []
+    for k in range(20_000):
+        x = bytearray(base[k % 20])
+        for _ in range(rng.randrange(4)):
+            x[rng.randrange(800)] = rng.randrange(65, 90)
+        pairs.append((bytes(x[400:]), bytes(x[:400][::-1])))
+    pairs.sort()
+    assert len(list(S.covered([p[0] for p in pairs], [p[1] for p in pairs]))) > 15_000
