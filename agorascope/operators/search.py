@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 
 from agorascope.functions.rules import iso_ms
 from agorascope.functions.text import slug
+from agorascope.functions.vectors import cosine
 from agorascope.params import P
 from agorascope.schemas import SEARCH_KINDS
+from agorascope.session import stored
 
 PROJECTION_COLUMNS = (
     "kind", "entity_id", "title", "topic_id", "topic_name", "story_type", "url", "published_at", "slug", "story_id",
@@ -99,6 +101,22 @@ def ranked(frame: DataFrame, key: str, score: str, depth: int, name: str) -> Dat
     return top.select(key, F.row_number().over(W.orderBy(F.desc(score), key)).alias(name))
 
 
+def true_ranks(scored: DataFrame, seeds: DataFrame, key: str, score: str, name: str) -> DataFrame:
+    """(key, rank in all of ``scored``) of those few ``seeds`` that are in it, without sorting the list.
+
+    The seeds' own order is an array; each row tells how many seeds precede it, rows are counted by that number, and a
+    seed's rank is the sum of the counts up to its own place. ``scored`` has one row a key.
+    """
+    mine = F.struct((-F.col(score)).alias("s"), F.col(key).alias("k"))
+    packed = scored.join(F.broadcast(seeds.select(key)), key).agg(F.sort_array(F.collect_list(mine)).alias("p"))  # as many as seeds
+    order = packed.scalar()
+    place = scored.select(mine.alias("m")).withColumn("o", order).select(F.size(F.filter("o", lambda x: x < F.col("m"))).alias("at"))
+    counts = place.groupBy("at").agg(F.count(F.lit(1)).alias("n")).agg(F.collect_list(F.struct("at", "n"))).scalar()
+    seen = packed.select(F.posexplode("p").alias("at", "m")).withColumn("c", counts)
+    up_to = F.aggregate(F.filter("c", lambda x: x["at"] <= F.col("at")), F.lit(0).cast("long"), lambda s, x: s + x["n"])
+    return seen.select(F.col("m.k").alias(key), up_to.alias(name))
+
+
 def fuse(keyword: DataFrame, vector: DataFrame, key: str, k: int, top: int) -> DataFrame:
     """Reciprocal-rank fusion of two ranked lists (``keyword_rank``, ``vector_rank``)."""
 
@@ -111,25 +129,30 @@ def fuse(keyword: DataFrame, vector: DataFrame, key: str, k: int, top: int) -> D
 
 def hybrid_search(
     documents: DataFrame, text: str, query: str, vectors: DataFrame, query_vector: Column, top: int = 10,
-    depth: int | None = None, mode: str = "hybrid", rrf_k: int = P.rrf_k,
+    mode: str = "hybrid", rrf_k: int = P.rrf_k,
 ) -> DataFrame:
     """Keyword, vector or fused ranking of already filtered ``documents`` (``record_id`` and a text).
 
-    ``depth`` rows of each ranking enter the fusion: by default ten times ``top``, and 100 at least.
+    The fusion is that of the whole lists. A row outside the first ``d`` of both scores less than ``2 / (rrf_k + d + 1)``, and
+    ``top`` rows of either list score ``1 / (rrf_k + top)`` or more; with ``d = rrf_k + 2 * top`` the former is below the
+    latter, so the rows of these two heads, with their true ranks in both lists, hold the answer. (Lists shorter than
+    ``top`` are in the heads as a whole.)
     """
-    depth = depth or max(100, 10 * top)
     from agorascope.operators.textual import fulltext_search
-    from agorascope.operators.vectorial import nearest
 
-    words = fulltext_search(documents, F.col(text), query).withColumn("score", F.round("score", 9))
-    keyword = ranked(words, "record_id", "score", depth, "keyword_rank")
+    words = fulltext_search(documents, F.col(text), query).select("record_id", F.round("score", 9).alias("score"))
     if mode == "keyword":
-        return keyword.orderBy("keyword_rank").limit(top)
-    allowed = vectors.join(documents.select("record_id"), "record_id", "left_semi")
-    close = nearest(allowed, query_vector, depth).withColumn("similarity", F.round("similarity", 9))
-    vector = ranked(close, "record_id", "similarity", depth, "vector_rank")
+        return ranked(words, "record_id", "score", top, "keyword_rank").orderBy("keyword_rank")
+    allowed = vectors.join(documents.select("record_id"), "record_id", "left_semi").withColumn("_q", query_vector)
+    close = allowed.select("record_id", F.round(cosine(F.col("vector"), F.col("_q")), 9).alias("similarity")).filter(F.col("similarity").isNotNull())
     if mode == "vector":
-        return vector.orderBy("vector_rank").limit(top)
+        return ranked(close, "record_id", "similarity", top, "vector_rank").orderBy("vector_rank")
+    words, close = stored(words, "keyword-scores"), stored(close, "vector-scores")  # an id and a number a row, read thrice
+    depth = rrf_k + 2 * top
+    heads = ranked(words, "record_id", "score", depth, "r").union(ranked(close, "record_id", "similarity", depth, "r"))
+    seeds = stored(heads.select("record_id").distinct(), "heads")  # 2 * depth rows at most
+    keyword = true_ranks(words, seeds, "record_id", "score", "keyword_rank")
+    vector = true_ranks(close, seeds, "record_id", "similarity", "vector_rank")
     return fuse(keyword, vector, "record_id", rrf_k, top)
 
 

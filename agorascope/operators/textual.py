@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from agorascope.functions.text import fingerprint, ngrams, tail, tokens
-from agorascope.operators.positions import salted_join
 from agorascope.operators.rollups import n_rows
 from agorascope.params import P
+from agorascope.session import stored
 
 # Function words kept by the analyser's stop list and by sentence shapes (our own list).
 STOP_WORDS = (
@@ -135,19 +136,36 @@ def shapes(stories: DataFrame, length: int = P.fingerprint_length, words: tuple[
 def saturated_candidates(stories: DataFrame, run: DataFrame, min_jaccard: float, days: int = 14) -> DataFrame:
     """Every candidate of this ``run`` (column ``id``) against the active stories of its topic, by word-set Jaccard.
 
-    Stories count from ``days`` before the candidate up to it. Candidates ask once each; a topic's stories are
-    dealt over several tasks.
+    Stories count from ``days`` before the candidate up to it. A set-similarity join: words are ordered by rarity among
+    all live stories, and two sets of n words that reach ``min_jaccard`` share one of their first
+    ``n - ceil(min_jaccard * n) + 1``. Only stories that share such a word, lie in the same or the preceding period of
+    ``days``, and have sizes that allow the similarity are compared. ``min_jaccard`` is above zero.
     """
+    if min_jaccard <= 0:
+        raise ValueError("min_jaccard must be positive: stories without a common word are never compared")
+    least = F.lit(min_jaccard - 5e-7)  # scores are rounded to six digits
     words = F.array_distinct(tokens(F.col("content")))
-    live = stories.filter("active AND topic_id IS NOT NULL").select("topic_id", "id", "generated_at", words.alias("_w"))
-    candidate = live.join(run.select("id").distinct(), "id", "left_semi").select(
-        "topic_id", F.col("id").alias("candidate_id"), F.col("generated_at").alias("_g"), F.col("_w").alias("_c")
+    live = stories.filter("active AND topic_id IS NOT NULL").select("topic_id", "id", "generated_at", words.alias("_w")).filter(F.size("_w") > 0)
+    live = stored(live, "story-words")
+    each = live.select("topic_id", "id", "generated_at", F.size("_w").alias("_n"), F.explode("_w").alias("word"))
+    rarity = each.groupBy("word").agg(n_rows().alias("_df"))
+    ordered = each.join(rarity, "word").groupBy("topic_id", "id", "generated_at", "_n").agg(F.sort_array(F.collect_list(F.struct("_df", "word"))).alias("_o"))
+    first = F.slice("_o", F.lit(1), (F.col("_n") - F.ceil(least * F.col("_n")) + 1).cast("int"))
+    period = F.floor(F.unix_seconds("generated_at") / (86_400 * days))
+    prefix = ordered.select("topic_id", "id", "generated_at", "_n", period.alias("_b"), F.explode(F.transform(first, lambda x: x["word"])).alias("word"))
+    prefix = stored(prefix, "story-prefixes")
+    asked = prefix.join(run.select("id").distinct(), "id", "left_semi").select(
+        "topic_id", "word", F.col("id").alias("candidate_id"), F.col("generated_at").alias("_g"), F.col("_n").alias("_m"),
+        F.explode(F.array(F.col("_b"), F.col("_b") - 1)).alias("_b"),
     )
     recent = (F.col("generated_at") <= F.col("_g")) & (F.col("generated_at") > F.col("_g") - F.make_dt_interval(days=F.lit(days)))
-    rows = salted_join(live, candidate, ["topic_id"], ["id"]).filter((F.col("id") != F.col("candidate_id")) & recent)
+    sized = (F.col("_n") >= least * F.col("_m")) & (F.col("_m") >= least * F.col("_n"))
+    met = prefix.join(asked, ["topic_id", "word", "_b"]).filter((F.col("id") != F.col("candidate_id")) & recent & sized)
+    pairs = met.select("topic_id", "candidate_id", "id").distinct()
+    both = pairs.join(live.select("id", "_w"), "id").join(live.select(F.col("id").alias("candidate_id"), F.col("_w").alias("_c")), "candidate_id")
     common = F.size(F.array_intersect("_w", "_c"))
     score = common / (F.size("_w") + F.size("_c") - common)
-    return rows.select("topic_id", "candidate_id", "id", F.round(score, 6).alias("jaccard")).filter(F.col("jaccard") >= min_jaccard)
+    return both.select("topic_id", "candidate_id", "id", F.round(score, 6).alias("jaccard")).filter(F.col("jaccard") >= min_jaccard)
 
 
 def assign_topics_keyword(texts: DataFrame, topics: DataFrame, owners: DataFrame | None = None) -> DataFrame:
@@ -166,10 +184,88 @@ def assign_topics_keyword(texts: DataFrame, topics: DataFrame, owners: DataFrame
     )
 
 
-def extract_mentions(texts: DataFrame, dictionary: DataFrame) -> DataFrame:
+class NameTrie:
+    """Dictionary names by their words; ``found`` reads a text once, however many names there are."""
+
+    def __init__(self, names: list[tuple[int, str]]):
+        import regex
+
+        self.words = regex.compile(r"[\p{L}\p{N}]+").finditer
+        self.root: dict = {}
+        for entity, name in dict.fromkeys(names):
+            low = name.lower()
+            spans = [m.span() for m in self.words(low)]
+            if spans:
+                node = self.root
+                for a, b in spans:
+                    node = node.setdefault(low[a:b], {})
+                node.setdefault(None, []).append((entity, low, spans[0][0]))
+
+    def found(self, text: str, longest: bool = False) -> list[tuple[int, int, int]]:
+        """(entity, start, end) in order of start: whole words only; occurrences of one name do not overlap.
+
+        With ``longest``, only the longest name at a place counts, and no name inside it.
+        """
+        spans = [m.span() for m in self.words(text)]
+        low = [text[a:b].lower() for a, b in spans]
+        out, ends, free = [], {}, 0
+        for i, (at, _) in enumerate(spans):
+            node, hits = self.root, []
+            for j in range(i, len(low)):
+                node = node.get(low[j])
+                if node is None:
+                    break
+                for entity, name, lead in node.get(None, ()):
+                    start = at - lead
+                    end = start + len(name)
+                    if start >= max(0, ends.get((entity, name), 0)) and text[start:end].lower() == name and not self._word(text, start - 1) and not self._word(text, end):
+                        hits.append((entity, start, end, name))
+            if longest:
+                hits = [h for h in hits if h[1] >= free]
+                hits = [h for h in hits if h[2] - h[1] == max(x[2] - x[1] for x in hits)]
+                free = max([free, *(h[2] for h in hits)])
+            for entity, start, end, name in hits:
+                ends[entity, name] = end
+                out.append((entity, start, end))
+        return out
+
+    def _word(self, text: str, at: int) -> bool:
+        return 0 <= at < len(text) and next(self.words(text[at]), None) is not None
+
+
+def extract_mentions(texts: DataFrame, dictionary: DataFrame, longest: bool = False, most_names: int = P.trie_names) -> DataFrame:
     """Every occurrence of a dictionary name in a text, as whole words, with character offsets.
 
-    Candidates come from an equi-join on the name's first word; offsets are computed only for
+    A dictionary of up to ``most_names`` names goes to each task as a trie of words, and each text is read once, in time
+    linear in its words and hits. A larger one is joined on the names' first words instead; the rows are the same.
+    ``longest`` keeps only the longest of overlapping names (tries only).
+    """
+    names = dictionary.select("entity_id", "name").filter("entity_id IS NOT NULL AND name IS NOT NULL")
+    if names.limit(most_names + 1).count() > most_names:
+        if longest:
+            raise ValueError("longest matches need a dictionary of at most most_names names")
+        return _mentions_by_join(texts, names)
+    shared = texts.sparkSession.sparkContext.broadcast([tuple(r) for r in names.collect()])
+
+    def scan(batches):
+        import pyarrow as pa
+
+        trie = NameTrie(shared.value)
+        for batch in batches:
+            rows = [(r, *m) for r, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for m in trie.found(text or "", longest)]
+            columns = list(zip(*rows)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, pa_kinds)], ["record_id", "entity_id", "start_offset", "end_offset"])
+
+    kinds = [texts.schema["record_id"].dataType, dictionary.schema["entity_id"].dataType, T.IntegerType(), T.IntegerType()]
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    pa_kinds = [to_arrow_type(k) for k in kinds]
+    schema = T.StructType([T.StructField(n, k) for n, k in zip(["record_id", "entity_id", "start_offset", "end_offset"], kinds)])
+    return texts.select("record_id", F.col("text").cast("string").alias("text")).mapInArrow(scan, schema)
+
+
+def _mentions_by_join(texts: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """The same by joins alone: candidates come from an equi-join on the name's first word; offsets are computed only for
     texts that have a hit, in characters of the text as it stands.
     """
     names = dictionary.select(

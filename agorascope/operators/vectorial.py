@@ -38,7 +38,7 @@ def similar_records(vectors: DataFrame, record_id: int, k: int) -> DataFrame:
 
 
 def build_cells(vectors: DataFrame, lists: int = P.ann_lists, seed: int = 7, iterations: int = 10):
-    """Cells for approximate search: rows with ``cell``, and the (at most ``lists``) centres.
+    """K-means cells: rows with ``cell``, and the (at most ``lists``) centres.
 
     Training and assignment run on Spark; only the centres come to the driver.
     """
@@ -47,20 +47,6 @@ def build_cells(vectors: DataFrame, lists: int = P.ann_lists, seed: int = 7, ite
     return model.transform(features).drop("features"), np.array(model.clusterCenters())
 
 
-def similar_records_ann(
-    cells: DataFrame, centres: np.ndarray, query: list[float], k: int, probes: int = P.ann_probes, exclude: int | None = None
-) -> DataFrame:
-    """Neighbours of one vector among the ``probes`` nearest cells.
-
-    With cells written partitioned by ``cell`` the filter prunes the scan to those cells.
-    """
-    q = np.asarray(query, dtype=float)
-    order = np.argsort(-(centres @ q) / (np.linalg.norm(centres, axis=1) + 1e-12), kind="stable")[:probes]
-    near = cells.filter(F.col("cell").isin([int(i) for i in order]))
-    constant = F.array(*[F.lit(float(x)) for x in q])
-    return nearest(near, constant, k, exclude).select("record_id", "similarity")
-
-
 def topic_centroids(vectors: DataFrame, topic: str = "topic_id") -> DataFrame:
     """Mean vector and size of each topic."""
     return vectors.groupBy(topic).agg(mean_vector("vector").alias("centroid"), F.count(F.lit(1)).alias("n"))

@@ -62,7 +62,7 @@ class Params:
     bm25_k1: float = 1.2
     bm25_b: float = 0.75
     ann_lists: int = 100
-    ann_probes: int = 10
+    trie_names: int = 200_000
     backfill_hours: int = 24
 
 

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from agorascope.operators import search, textual, vectorial
+from agorascope.operators import postings, search, textual, vector_index, vectorial
 from agorascope.plans.bindings import cosine, slug, tokens
 from agorascope.plans.join_queries import matches
 from agorascope.plans.read_queries import S_TIME, s_as_of
 from agorascope.plans.registry import query
+from agorascope.session import stored
 
 QUERY = "the er CH"  # analysed to two terms; "the" is on the stop list
 BM25 = """tk AS (SELECT id, {tokens} AS w FROM {frame}), tf AS (SELECT id, len(w) AS n, len(list_filter(w, lambda x: x = 'er')) AS a,
@@ -27,6 +28,29 @@ def _(c):
     return rows.select("id", F.round("score", 6).alias("score"))
 
 
+def _postings(c):
+    return postings.write(c.documents.select(F.col("doc_id").alias("id"), "text"), F.col("text"), block_docs=256)
+
+
+DOC_BM25 = BM25.format(tokens=tokens("coalesce(text, '')"), frame="(SELECT doc_id AS id, text FROM documents)")
+
+
+@query("postings_search", f"WITH {DOC_BM25} SELECT id, round(score, 6) AS score FROM hits")
+def _(c):
+    return postings.search(_postings(c), QUERY).withColumn("score", F.round("score", 6))
+
+
+@query("postings_top", f"WITH {DOC_BM25} SELECT id, round(score, 6) AS score FROM hits ORDER BY hits.score DESC, id LIMIT 10")
+def _(c):
+    return postings.top(_postings(c), QUERY, 10).withColumn("score", F.round("score", 6))
+
+
+@query("postings_phrase", f"""WITH w AS (SELECT doc_id AS id, {tokens("coalesce(text, '')")} AS w FROM documents),
+    p AS (SELECT id, w, unnest(range(1, len(w))) AS i FROM w) SELECT id, i - 1 AS start FROM p WHERE w[i] = 'er' AND w[i + 1] = 'ch'""")
+def _(c):
+    return postings.phrase(_postings(c), ["er", "ch"])
+
+
 _HYBRID_ROWS = """(SELECT id, content_text FROM rec WHERE category = 'discourse' AND captured_at >= TIMESTAMP '2024-01-01 06:00:00'
     AND id IN (SELECT record_id FROM ta))"""
 
@@ -38,7 +62,7 @@ _HYBRID_ROWS = """(SELECT id, content_text FROM rec WHERE category = 'discourse'
     ve AS (SELECT id, row_number() OVER (ORDER BY sim DESC, id) AS r FROM vq),
     f AS (SELECT coalesce(k.id, v.id) AS record_id, k.r AS keyword_rank, v.r AS vector_rank,
       coalesce(1.0 / CAST(60 + k.r AS DOUBLE), 0) + coalesce(1.0 / CAST(60 + v.r AS DOUBLE), 0) AS score
-      FROM (SELECT * FROM kw WHERE r <= 100) k FULL JOIN (SELECT * FROM ve WHERE r <= 100) v ON k.id = v.id)
+      FROM kw k FULL JOIN ve v ON k.id = v.id)
     SELECT record_id, keyword_rank, vector_rank, round(score, 9) AS score FROM f ORDER BY f.score DESC, record_id LIMIT 10""")
 def _(c):
     rows = c.records_text.filter(
@@ -281,15 +305,26 @@ def _(c):
     return vectorial.similar_records(c.vectors, 7, 20).withColumn("similarity", F.round("similarity", 6))
 
 
-@query("similar_records_ann")
+NEIGHBOURS = f"""SELECT q.vec_id AS query_id, v.vec_id AS record_id, round({cosine('v.embedding', 'q.embedding')}, 9) AS similarity
+    FROM embeddings q JOIN embeddings v ON v.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0"""
+
+
+@query("similar_records_exact", f"""SELECT query_id, record_id, round(similarity, 6) AS similarity, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id
+    ORDER BY similarity DESC, record_id) AS rank FROM ({NEIGHBOURS})) WHERE rank <= 10""")
 def _(c):
-    cells, centres = vectorial.build_cells(c.vectors, 16, iterations=5)
-    asked = c.vectors.filter("record_id = 7").first()["vector"]
-    found = vectorial.similar_records_ann(cells, centres, list(asked), 20, probes=6, exclude=7)
-    exact = vectorial.similar_records(c.vectors, 7, 20).select("record_id", F.lit(True).alias("_e"))
-    return found.join(exact, "record_id", "left").select(
-        "record_id", F.round("similarity", 6).alias("similarity"), F.col("_e").isNotNull().alias("in_exact")
-    )
+    asked = c.vectors.filter("record_id % 20 = 0").select(F.col("record_id").alias("query_id"), "vector")
+    return vector_index.search_exact(c.vectors, asked, 10).withColumn("similarity", F.round("similarity", 6))
+
+
+@query("similar_records_ann", f"""SELECT query_id, record_id, round(similarity, 6) AS similarity, rank, true AS recall_reached FROM (SELECT *,
+    row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, record_id) AS rank FROM ({NEIGHBOURS})) WHERE rank <= 10""")
+def _(c):
+    """The exact neighbours of every id divisible by 20, and whether the index found at least nine in ten of them."""
+    asked = c.vectors.filter("record_id % 20 = 0").select(F.col("record_id").alias("query_id"), "vector")
+    index = vector_index.build(c.vectors)
+    found = stored(vector_index.search(index, asked, 10, vector_index.tune(index, c.vectors, asked, 10)), "found")
+    exact = stored(vector_index.search_exact(c.vectors, asked, 10), "exact")
+    return exact.withColumn("similarity", F.round("similarity", 6)).withColumn("recall_reached", vector_index.recall(found, exact) >= 0.9)
 
 
 TOPIC_VECTORS = "(SELECT vec_id, label AS topic_id, embedding FROM embeddings)"

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from agorascope.functions import text
+from agorascope.operators import chains
 from agorascope.operators import stories as ops
 from agorascope.plans.bindings import slug
 from agorascope.plans.read_queries import COMPUTED, computed
@@ -28,6 +29,38 @@ def _(c):
     return ops.version_chain(c.stories).select("id", "slug", "version", "root_id", "steps", "next_version_id")
 
 
+#: Links of some conversations bent into cycles, forks, links to other slugs and to nothing.
+BENT = """CASE WHEN conv_id % 7 = 0 AND turn = 0 THEN CAST(conv_id * 100 + 2 AS STRING) WHEN conv_id % 7 = 1 AND turn = 1 THEN CAST((conv_id + 1) * 100 AS STRING)
+    WHEN conv_id % 7 = 2 AND turn = 3 THEN CAST(conv_id * 100 + 1 AS STRING) WHEN conv_id % 7 = 3 AND turn = 1 THEN concat('gone-', CAST(conv_id AS STRING))
+    WHEN conv_id % 7 = 4 AND turn = 0 THEN CAST(conv_id * 100 AS STRING) ELSE previous_version_id END"""
+AUDIT = f"""RECURSIVE bent AS (SELECT id, slug, version, {BENT} AS prev FROM st), link AS (SELECT b.*, p.id AS up, p.slug AS pslug, p.version AS pversion FROM bent b LEFT JOIN bent p ON p.id = b.prev),
+    walk AS (SELECT id, id AS cur, [id] AS path, up AS nxt FROM link
+      UNION ALL SELECT w.id, l.id, list_append(w.path, l.id), l.up FROM walk w JOIN link l ON l.id = w.nxt WHERE NOT list_contains(w.path, w.nxt)),
+    fin AS (SELECT id, cur, len(path) - 1 AS steps, path, nxt FROM walk WHERE nxt IS NULL OR list_contains(path, nxt)),
+    after AS (SELECT up, count(*) AS n FROM link WHERE up IS NOT NULL GROUP BY up),
+    audit AS (SELECT l.id, l.slug, l.version, CASE WHEN f.nxt IS NULL THEN f.cur END AS root_id, CASE WHEN f.nxt IS NULL THEN f.steps END AS steps,
+      CASE WHEN f.nxt IS NOT NULL THEN list_min(f.path[list_position(f.path, f.nxt):]) END AS cycle_id,
+      coalesce(list_position(f.path, f.nxt) = 1, false) AS in_cycle, coalesce(a.n, 0) AS successors, l.up IS NULL AND l.prev IS NOT NULL AS dangling,
+      l.up IS NOT NULL AND l.pslug <> l.slug AS cross_slug, l.up IS NOT NULL AND l.pversion + 1 <> l.version AS wrong_version
+      FROM link l JOIN fin f ON f.id = l.id LEFT JOIN after a ON a.up = l.id)"""
+
+
+def bent(c):
+    return c.stories.withColumn("previous_version_id", F.expr(BENT))
+
+
+@query("chain_audit", f"WITH {AUDIT} SELECT * FROM audit")
+def _(c):
+    return chains.chain_audit(bent(c))
+
+
+@query("faulty_chains", f"""WITH {AUDIT} SELECT slug, count(*) AS versions, count(cycle_id) AS rootless, count_if(in_cycle) AS in_cycles, count_if(successors > 1) AS forks,
+    count_if(dangling) AS dangling, count_if(cross_slug) AS cross_slug, count_if(wrong_version) AS wrong_version FROM audit GROUP BY slug
+    HAVING count(cycle_id) + count_if(successors > 1 OR dangling OR cross_slug OR wrong_version) > 0""")
+def _(c):
+    return chains.faulty_chains(bent(c))
+
+
 @query("version_diff", f"""SELECT s.id, s.slug, s.version, {WORDS.format('s.content')} - {WORDS.format('p.content')} AS word_delta,
     coalesce(array_to_string(list_sort(list_filter(s.source_record_ids, lambda x: NOT list_contains(p.source_record_ids, x))), ','), '') AS sources_added,
     coalesce(array_to_string(list_sort(list_filter(p.source_record_ids, lambda x: NOT list_contains(s.source_record_ids, x))), ','), '') AS sources_removed

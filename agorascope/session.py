@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -51,3 +51,21 @@ def shared_dir(spark: SparkSession) -> str:
 def fresh_dir(spark: SparkSession, label: str) -> str:
     """A new, never reused path below the shared folder."""
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def stored(frame: DataFrame, label: str, *by: str) -> DataFrame:
+    """``frame`` written once below the shared folder (partitioned ``by`` columns) and read from there."""
+    path = fresh_dir(frame.sparkSession, label)
+    writer = frame.write.partitionBy(*by) if by else frame.write
+    writer.parquet(path)
+    schema = frame.schema if not by else None
+    reader = frame.sparkSession.read
+    return (reader.schema(schema) if schema else reader).parquet(path)
+
+
+def checkpointed(frame: DataFrame) -> DataFrame:
+    """``frame`` with its lineage cut by a checkpoint in the shared folder."""
+    context = frame.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_dir(frame.sparkSession))
+    return frame.checkpoint()

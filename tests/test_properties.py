@@ -6,7 +6,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from agorascope.operators import asof, dedup, ingest, links, paging, positions, reads, search, signals, stories, textual, vectorial
+from agorascope.operators import asof, dedup, ingest, links, paging, positions, reads, search, signals, stories, textual, vector_index, vectorial
 
 
 def test_replay_adds_nothing(spark, corpus):
@@ -193,13 +193,50 @@ def test_novelty_mean_equals_all_pairs(spark, corpus):
             assert got[r.record_id] == pytest.approx(1 - np.mean(others), abs=2e-6)
 
 
-def test_ann_recall(corpus):
-    cells, centres = vectorial.build_cells(corpus.vectors, 16, iterations=5)
-    query = list(corpus.vectors.filter("record_id = 7").first()["vector"])
-    exact = {r.record_id for r in vectorial.similar_records(corpus.vectors, 7, 20).collect()}
-    all_cells = {r.record_id for r in vectorial.similar_records_ann(cells, centres, query, 20, probes=16, exclude=7).collect()}
-    some = {r.record_id for r in vectorial.similar_records_ann(cells, centres, query, 20, probes=8, exclude=7).collect()}
-    assert all_cells == exact and len(some & exact) >= 10
+def test_vector_index(corpus):
+    asked = corpus.vectors.filter("record_id % 20 = 0").select(F.col("record_id").alias("query_id"), "vector")
+    exact = {tuple(r) for r in vector_index.search_exact(corpus.vectors, asked, 10, block=7, rows_per_task=90).collect()}
+    assert len(exact) == 250
+    index = vector_index.build(corpus.vectors, bucket_rows=10)
+    filed = index.rows.groupBy("record_id").agg(F.count("*").alias("n"), F.max(F.col("home") == F.col("cell")).alias("at_home")).collect()
+    assert len(filed) == 500 and all(r.at_home for r in filed) and any(r.n > 1 for r in filed)
+    assert index.cells.agg(F.max("buckets")).first()[0] > 1
+    every = {tuple(r) for r in vector_index.search(index, asked, 10, probes=index.lists).collect()}
+    assert every == exact  # all cells probed: no neighbour lost, none twice
+    probes = vector_index.tune(index, corpus.vectors, asked, 10)
+    some = {tuple(r)[:2] for r in vector_index.search(index, asked, 10, probes).collect()}
+    assert probes < index.lists and len(some & {r[:2] for r in exact}) >= 0.95 * len(exact)
+
+
+def test_vector_index_leaves_out_rows_without_a_cosine(spark):
+    rows = [(0, [1.0, 0.0]), (1, [0.9, 0.1]), (2, [0.0, 0.0]), (3, None), (4, [-1.0, 0.2]), (5, [1.0, 0.0])]
+    vectors = spark.createDataFrame(rows, "record_id long, vector array<float>")
+    asked = vectors.withColumnRenamed("record_id", "query_id")
+    index = vector_index.build(vectors, lists=2)
+    got = [tuple(r)[:2] for r in vector_index.search(index, asked, 1, probes=2).orderBy("query_id").collect()]
+    assert got == [(0, 5), (1, 0), (4, 1), (5, 0)]
+    assert got == [tuple(r)[:2] for r in vector_index.search_exact(vectors, asked, 1).orderBy("query_id").collect()]
+
+
+def test_hybrid_search_fuses_whole_lists(spark):
+    """Against plain fusion of complete rankings, with lists of many lengths."""
+    import random
+
+    rng = random.Random(12)
+    for n, top, k in ((400, 5, 60), (400, 3, 2), (12, 10, 60), (60, 1, 1)):
+        docs = [(i, " ".join(rng.choices(["a1", "b1", "c1", "d1"], k=rng.randrange(1, 12)))) for i in range(n)]
+        vecs = [(i, [rng.gauss(0, 1), rng.gauss(0, 1), 1.0]) for i in range(n) if rng.random() < 0.9]
+        d = spark.createDataFrame(docs, "record_id long, content string")
+        v = spark.createDataFrame(vecs, "record_id long, vector array<double>")
+        q = F.array(F.lit(1.0), F.lit(0.5), F.lit(0.2))
+        words = {r.record_id: round(r.score, 9) for r in textual.fulltext_search(d, F.col("content"), "a1 b1").collect()}
+        close = {r.record_id: round(r.similarity, 9) for r in vectorial.nearest(v, q, n).collect()}
+        ranks = [{r: i + 1 for i, r in enumerate(sorted(x, key=lambda r: (-x[r], r)))} for x in (words, close)]
+        score = {r: sum(1 / (k + x[r]) for x in ranks if r in x) for r in {*words, *close}}
+        expected = sorted(score, key=lambda r: (-score[r], r))[:top]
+        got = search.hybrid_search(d, "content", "a1 b1", v, q, top, rrf_k=k).collect()
+        assert [r.record_id for r in got] == expected
+        assert [(r.keyword_rank, r.vector_rank) for r in got] == [tuple(x.get(r) for x in ranks) for r in expected]
 
 
 def test_centroid_blocks_do_not_change_the_result(corpus):
