@@ -1,9 +1,11 @@
 """URL filters: given rules first, then association rules mined from labelled URLs.
 
-FP-growth finds combinations of URL tokens that come with a bad label. A combination becomes a rule if enough
+FP-growth finds combinations of URL tokens that come with a bad label. Tokens that stand in exactly the same labelled
+URLs (the segments of one long path, say) are one item: apart they would multiply into 2**k equal combinations. A URL
+has an item if it has any of its tokens, which is what the rules over single tokens would say. A combination becomes a rule if enough
 labelled URLs have it (support) and nearly all of them are bad (confidence), and if no part of it does as well.
-Rules are matched by an inverted index: each rule is filed under its rarest token, a URL looks up its own tokens,
-and the rest of the rule is checked on the URL's token array. Verdicts depend on the URL alone, so each distinct
+Rules are matched by an inverted index: each rule is filed under the tokens of its rarest item, a URL looks up its own
+tokens, and the rest of the rule is checked on the URL's token array. Verdicts depend on the URL alone, so each distinct
 URL is judged once.
 """
 
@@ -66,23 +68,37 @@ def tokens(url: Column) -> Column:
     return F.array_distinct(every)
 
 
+def _items(baskets: DataFrame, least: float) -> DataFrame:
+    """(token, item, members): each token that ``least`` baskets (row, items) have, with the smallest token of those in the same ones."""
+    each = baskets.select("row", F.explode("items").alias("token")).where(F.col("token") != BAD)
+    place = [F.bit_xor(F.xxhash64("row", F.lit(i))).alias(f"s{i}") for i in (0, 1)]
+    marks = each.groupBy("token").agg(F.count(F.lit(1)).alias("n"), *place).where(F.col("n") >= least)
+    groups = marks.groupBy("n", "s0", "s1").agg(F.array_sort(F.collect_list("token")).alias("members"))
+    return groups.select(F.explode("members").alias("token"), F.get("members", F.lit(0)).alias("item"), "members")
+
+
 def mine(pages: DataFrame, labels: DataFrame, setup: Setup = Setup()) -> DataFrame:
-    """(rule_id, antecedent, token): pruned rules for bad URLs, filed under their rarest token.
+    """(rule_id, antecedent, members, token): pruned rules for bad URLs, a row for each token of their rarest item.
 
-    A label belongs to the page whose page_id is its doc_id; quality 0 is bad. Null ids, urls and labels are left out.
+    ``antecedent`` lists items, ``members`` the tokens of each. A label belongs to the page whose page_id is its doc_id;
+    quality 0 is bad. Null ids, urls and labels are left out.
     """
     spark = pages.sparkSession
     named = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull())
     named = named.groupBy(F.col("doc_id").alias("page_id")).agg(F.min("quality").alias("quality"))
     known = pages.where("url is not null").select("page_id", "url").join(named, "page_id")
     bad = F.when(F.col("quality") == 0, F.array(F.lit(BAD))).otherwise(F.array().cast("array<string>"))
-    baskets = landed(known.select(F.concat(tokens(F.col("url")), bad).alias("items")), "baskets")
-    n = baskets.count()
-    empty = spark.createDataFrame([], "rule_id long, antecedent array<string>, token string")
+    whole = landed(known.select(F.monotonically_increasing_id().alias("row"), F.concat(tokens(F.col("url")), bad).alias("items")), "baskets")
+    n = whole.count()
+    empty = spark.createDataFrame([], "rule_id long, antecedent array<string>, members array<array<string>>, token string")
     if not n:
         return empty
     support = max(setup.support, setup.fewest / n)
-    miner = FPGrowth(itemsCol="items", minSupport=min(1.0, support), minConfidence=setup.confidence, numPartitions=task_count(spark))
+    items = landed(_items(whole, support * n), "items")
+    held = whole.select("row", F.explode("items").alias("token"))
+    held = held.join(items.select("token", "item"), "token").select("row", "item").union(held.where(F.col("token") == BAD))
+    baskets = landed(held.groupBy("row").agg(F.collect_set("item").alias("items")).select("items"), "projected")
+    miner = FPGrowth(itemsCol="items", minSupport=min(1.0, support * n / max(1, baskets.count())), minConfidence=setup.confidence, numPartitions=task_count(spark))
     model = miner.fit(baskets)
     sets = landed(model.freqItemsets, "itemsets")
     rules = model.associationRules.where(F.array_contains("consequent", BAD) & (F.size("antecedent") <= setup.longest))
@@ -92,17 +108,20 @@ def mine(pages: DataFrame, labels: DataFrame, setup: Setup = Setup()) -> DataFra
     each = rules.select("rule_id", "antecedent", "confidence", F.explode("antecedent").alias("t"))
     inside = (F.size("a") < F.size("antecedent")) & (F.size(F.array_except("a", "antecedent")) == 0) & (F.col("c") >= F.col("confidence"))
     implied = each.join(smaller, "t").where(inside).select("rule_id").distinct()
-    kept = rules.join(implied, "rule_id", "left_anti").select("rule_id", "antecedent", F.explode("antecedent").alias("token"))
-    single = sets.where(F.size("items") == 1).select(F.get("items", F.lit(0)).alias("token"), "freq")
-    rarest = kept.join(single, "token").groupBy("rule_id", "antecedent").agg(F.min(F.struct("freq", "token")).alias("m"))
-    return rarest.select("rule_id", "antecedent", "m.token")
+    kept = rules.join(implied, "rule_id", "left_anti").select("rule_id", "antecedent", F.explode("antecedent").alias("item"))
+    single = sets.where(F.size("items") == 1).select(F.get("items", F.lit(0)).alias("item"), "freq")
+    groups = items.select("item", "members").distinct()
+    rarest = kept.join(single, "item").join(groups, "item").groupBy("rule_id", "antecedent").agg(
+        F.min(F.struct("freq", "item", "members")).alias("m"), F.sort_array(F.collect_list(F.struct("item", "members"))).alias("every")
+    )
+    return rarest.select("rule_id", "antecedent", F.transform("every", lambda x: x["members"]).alias("members"), F.explode("m.members").alias("token"))
 
 
 def matched(pages: DataFrame, rules: DataFrame) -> DataFrame:
-    """(url): the distinct urls of ``pages`` that have all tokens of some rule."""
+    """(url): the distinct urls of ``pages`` that have all items of some rule."""
     urls = pages.where("url is not null").select("url").distinct().withColumn("own", tokens(F.col("url")))
     met = urls.select("url", "own", F.explode("own").alias("token")).join(rules, "token")
-    return met.where(F.size(F.array_except("antecedent", "own")) == 0).select("url").distinct()
+    return met.where(F.forall("members", lambda m: F.arrays_overlap(m, F.col("own")))).select("url").distinct()
 
 
 def report(pages: DataFrame, labels: DataFrame, setup: Setup = Setup(), rules=RULES) -> DataFrame:

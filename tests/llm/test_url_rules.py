@@ -66,3 +66,15 @@ def test_edges(spark):
     assert sorted(str((r.host, r.path, r.rule)) for r in got) == expected
     assert U.report(pages.limit(0), labels).count() == 0
     assert U.report(pages, labels.limit(0)).count() == len(urls)
+
+
+def test_shared_segments_do_not_multiply(spark):
+    """Thirty segments that always come together: one item, and one rule that any of them answers to."""
+    deep = "/".join(f"s{k}" for k in range(30))
+    rows = [(i, f"http://a.example.com/{deep}/{i}" if i % 2 else f"http://b.example.com/x/{i}") for i in range(100)]
+    pages = spark.createDataFrame([*rows, (900, "http://c.example.com/s7/other"), (901, "http://b.example.com/y")], "page_id long, url string")
+    labels = spark.createDataFrame([(i, 0 if i % 2 else 1) for i in range(100)], "doc_id long, quality int")
+    rules = U.mine(pages, labels, U.Setup(support=0.05, fewest=4, confidence=0.9)).select("rule_id", "antecedent", "members").distinct().collect()
+    assert len(rules) == 1 and len(rules[0].antecedent) == 1 and len(rules[0].members[0]) == 31
+    got = {r.page_id: r.verdict for r in U.report(pages, labels, U.Setup(support=0.05, fewest=4, confidence=0.9), rules=()).collect()}
+    assert {p for p, v in got.items() if v == "block"} == {i for i in range(100) if i % 2} | {900}
