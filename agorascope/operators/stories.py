@@ -265,8 +265,22 @@ def entity_arcs(references: DataFrame, entities: DataFrame, membership: DataFram
 
 
 # ---- citations, references, related ---------------------------------------------------------
+def story_citations(stories: DataFrame, citations: DataFrame) -> DataFrame:
+    """One row a story: its ``citations`` as structs in order of position (then marker), and counts by type; uncited stories stay.
+
+    A story's citations are its own footnotes, so the array is as long as its text allows.
+    """
+    internal = F.col("citation_type") == "internal"
+    order = [F.coalesce("position", F.lit(2**31 - 1)).alias("position"), F.coalesce("marker", F.lit(2**31 - 1)).alias("marker")]
+    listed = citations.groupBy(F.col("story_id").alias("id")).agg(
+        F.sort_array(F.collect_list(F.struct(*order, "citation_type", "record_id", "external_url"))).alias("citations"),
+        F.count_if(internal).alias("internal_count"), F.count_if(~internal).alias("external_count"),
+    )
+    return stories.join(listed, "id", "left").fillna(0, ["internal_count", "external_count"])
+
+
 def story_with_citations(stories: DataFrame, citations: DataFrame) -> DataFrame:
-    """Stories with their citations in position order and counts by type; uncited stories stay."""
+    """Stories beside each of their citations, with counts by type; uncited stories stay. ``story_citations`` lists them in order."""
     internal = F.col("citation_type") == "internal"
     counts = citations.groupBy("story_id").agg(
         F.count_if(internal).alias("internal_count"), F.count_if(~internal).alias("external_count")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from agorascope.functions import rules, text, vectors
@@ -79,17 +81,52 @@ def _(c):
 
 @query("scan_corpus", """SELECT CAST(CAST(captured_at AS DATE) AS STRING) AS captured_date, kind, count(*) AS n,
     CAST(count(content_text) AS BIGINT) AS with_text, CAST(sum(length(content_text)) AS BIGINT) AS chars
-    FROM rec WHERE captured_at >= TIMESTAMP '2024-01-08 00:00:00' GROUP BY 1, 2""")
+    FROM rec GROUP BY 1, 2""")
 def _(c):
     path = fresh_dir(c.spark, "records")
-    store.write_records(c.records, path, files_per_day=1)
-    back = store.read_records(c.spark, path).filter(F.col("captured_date") >= F.lit("2024-01-08").cast("date"))
+    store.write_records(c.records, path)
+    back = store.read_records(c.spark, path)
     return back.groupBy("captured_date", "kind").agg(
         F.count(F.lit(1)).alias("n"), F.count("content_text").alias("with_text"),
         F.sum(F.length("content_text")).alias("chars"),
     )
 
 
+TYPED = {
+    "records": ("core", ["captured_at"]), "entities": ("entities", None), "entity_mentions": ("mentions", ["record_id"]), "topics": ("topics", None),
+    "topic_assignments": ("assignments", ["record_id"]), "signals": ("signals", ["detected_at"]), "signal_evidence": ("evidence", ["signal_id"]),
+    "stories": ("stories", ["generated_at"]), "story_citations": ("citations", ["story_id"]), "story_arcs": ("arcs", None),
+    "story_arc_membership": ("membership", None), "story_content_variants": ("variants", None), "story_references": ("references", None),
+    "story_related": ("related", None), "seo_metadata": ("seo", None), "embeddings": ("embeddings", ["record_id"]),
+}
+
+
+@query("scan_tables", """SELECT 'records' AS name, count(*) AS n, count(DISTINCT kind) AS detail FROM core UNION ALL SELECT 'entities', count(*), count(DISTINCT name) FROM ent
+    UNION ALL SELECT 'entity_mentions', count(*), count(start_offset) FROM ment UNION ALL SELECT 'topics', count(*), count(DISTINCT name) FROM topics
+    UNION ALL SELECT 'topic_assignments', count(*), count(confidence) FROM ta UNION ALL SELECT 'signals', count(*), count(topic_id) FROM sig
+    UNION ALL SELECT 'signal_evidence', count(*), count(entity_id) FROM sigev UNION ALL SELECT 'stories', count(*), count(publish_at) FROM st
+    UNION ALL SELECT 'story_citations', count(*), count(external_url) FROM cit UNION ALL SELECT 'story_arcs', count(*), count(DISTINCT slug) FROM arcs
+    UNION ALL SELECT 'story_arc_membership', count(*), count(DISTINCT arc_id) FROM arcm UNION ALL SELECT 'story_content_variants', count(*), count(DISTINCT variant_type) FROM vars
+    UNION ALL SELECT 'story_references', count(*), count(DISTINCT ref_slug) FROM refs UNION ALL SELECT 'story_related', count(*), count(DISTINCT related_id) FROM rel
+    UNION ALL SELECT 'seo_metadata', count(*), count(DISTINCT page_type) FROM seo UNION ALL SELECT 'embeddings', count(*), sum(len(vector)) FROM emb""")
+def _(c):
+    """Typed tables written in their layout and read back with their declared columns."""
+    details = {
+        "records": F.count_distinct("kind"), "entities": F.count_distinct("name"), "entity_mentions": F.count("start_offset"), "topics": F.count_distinct("name"),
+        "topic_assignments": F.count("confidence"), "signals": F.count("topic_id"), "signal_evidence": F.count("entity_id"), "stories": F.count("publish_at"),
+        "story_citations": F.count("external_url"), "story_arcs": F.count_distinct("slug"), "story_arc_membership": F.count_distinct("arc_id"),
+        "story_content_variants": F.count_distinct("variant_type"), "story_references": F.count_distinct("ref_slug"),
+        "story_related": F.count_distinct("related_id"), "seo_metadata": F.count_distinct("page_type"), "embeddings": F.sum(F.size("vector")),
+    }
+    parts = []
+    for name, (frame, order) in TYPED.items():
+        path = fresh_dir(c.spark, name)
+        store.write_table(getattr(c, frame), name, path, order)
+        back = store.read_table(c.spark, name, path)
+        parts.append(back.agg(F.count(F.lit(1)).alias("n"), details[name].cast("long").alias("detail")).select(F.lit(name).alias("name"), "n", "detail"))
+    return reduce(lambda a, b: a.union(b), parts)
+
+
 @query("ingest_lag", f"""SELECT kind, CAST(max(captured_at) AS STRING) AS last_captured_at,
     CAST(floor(epoch({T_AS_OF})) - floor(epoch(max(captured_at))) AS BIGINT) AS lag_seconds,
     CAST(floor(epoch({T_AS_OF})) - floor(epoch(max(captured_at))) AS BIGINT) > 43200 AS late FROM core GROUP BY kind""")

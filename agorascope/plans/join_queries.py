@@ -57,6 +57,16 @@ def _(c):
     )
 
 
+@query("story_citations", """SELECT s.id, coalesce(array_to_string(list(concat_ws(':', c.position, c.marker, c.citation_type, coalesce(CAST(c.record_id AS STRING), c.external_url, ''))
+      ORDER BY c.position, c.marker) FILTER (WHERE c.story_id IS NOT NULL), ','), '') AS citations, count_if(c.citation_type = 'internal') AS internal_count,
+      count_if(c.citation_type = 'external') AS external_count FROM st s LEFT JOIN cit c ON c.story_id = s.id GROUP BY s.id""")
+def _(c):
+    line = lambda x: F.concat_ws(":", x["position"], x["marker"], x["citation_type"], F.coalesce(x["record_id"].cast("string"), x["external_url"], F.lit("")))
+    return ops.story_citations(c.stories.select("id"), c.citations).select(
+        "id", F.coalesce(F.array_join(F.transform("citations", line), ","), F.lit("")).alias("citations"), "internal_count", "external_count"
+    )
+
+
 @query("story_sources", """SELECT c.story_id, CASE WHEN c.citation_type = 'internal' THEN 'sources' ELSE 'external' END AS section,
     c.record_id, r.kind, r.title, r.author AS byline, r.sentiment_score, c.external_url, c.inferred, c.credibility_score
     FROM cit c LEFT JOIN core r ON r.id = c.record_id""")

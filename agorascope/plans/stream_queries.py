@@ -13,7 +13,8 @@ from agorascope.plans.ingest_queries import ACCEPTED
 from agorascope.plans.read_queries import STATS
 from agorascope.plans.registry import query
 from agorascope.plans.rollup_queries import GROWTH, GROWTH_RATE
-from agorascope.streaming import flows
+from agorascope.session import fresh_dir
+from agorascope.streaming import envelopes, flows
 from agorascope.streaming.bound import StreamCorpus
 
 
@@ -37,6 +38,80 @@ def _(c):
     return flows.ingest_dedup(streaming(c).items, 3, c.as_of).select("kind", "external_id", "content_type")
 
 
+def _envelopes(c) -> DataFrame:
+    """The corpus's events as envelopes, some of them outside their type's domain, cut short, or of no known type."""
+
+    def packed(frame: DataFrame, event_type: str, **fields) -> DataFrame:
+        return frame.select(F.lit(event_type).alias("event_type"), F.to_json(F.struct(*[v.alias(k) for k, v in fields.items()])).alias("payload"))
+
+    col, text = F.col, lambda name: F.col(name).cast("string")
+    core, active = c.core.select("id", "kind", "content_type", "external_id", "captured_at"), c.stories
+    found = c.mentions.groupBy("record_id").agg(F.count(F.lit(1)).alias("n"), F.max("captured_at").alias("t"))
+    targets = c.evidence.groupBy(col("signal_id").alias("id")).agg(F.sort_array(F.collect_set("target")).alias("targets"))
+    arcs = c.membership.groupBy("arc_id").agg(F.count(F.lit(1)).alias("n"))
+    kinds = c.variants.groupBy("story_id").agg(F.sort_array(F.collect_set("variant_type")).alias("types"))
+    rows = [
+        packed(core, "record_ingested", recordId=text("id"), kind=F.when(col("id") % 97 == 0, "fax").otherwise(col("kind")), contentType=col("content_type"),
+               externalId=col("external_id"), capturedAt=col("captured_at")),
+        packed(found, "entities_extracted", recordId=text("record_id"), entityCount=col("n"), extractedAt=col("t")),
+        packed(c.embeddings, "embedding_ready", recordId=text("record_id"), modelName=col("model_name"), dimensions=F.when(col("record_id") % 50 == 0, 0).otherwise(col("dimensions")))
+        .withColumn("payload", F.when(F.get_json_object("payload", "$.recordId").cast("long") % 50 == 1, F.substring("payload", 1, 20)).otherwise(col("payload"))),
+        packed(c.assignments, "topic_assigned", recordId=text("record_id"), topicId=col("topic_id"), method=col("method"), confidence=col("confidence")),
+        packed(c.signals.join(targets, "id"), "signal_detected", signalId=col("id"), kind=col("kind"), severity=F.when(col("id") % 10 == 0, "extreme").otherwise(col("severity")),
+               topicId=col("topic_id"), detectedAt=col("detected_at"), evidenceTargets=col("targets")),
+        packed(active, "story_published", storyId=col("id"), type=col("type"), topicId=col("topic_id"), entityName=col("entity_name"), version=col("version"),
+               previousVersionId=col("previous_version_id"), publishAt=col("publish_at"), generatedAt=col("generated_at"), generationModel=col("generation_model")),
+        packed(active, "story_enriched", storyId=col("id"), enrichmentVersion=col("enrichment_version"), enrichedAt=col("enriched_at"), generationModel=col("generation_model"),
+               externalCitationCount=F.lit(1), variantCount=col("turn"), schemaOrgGenerated=F.lit(True)),
+        packed(arcs, "arc_updated", arcId=col("arc_id"), arcSlug=F.concat(F.lit("arc-"), text("arc_id")), arcStatus=F.lit("ongoing"), storyCount=col("n"), updatedAt=c.as_of),
+        packed(kinds, "variants_generated", storyId=col("story_id"), variantTypes=col("types"), generationModel=F.lit("m"), generatedAt=c.as_of),
+        packed(core.filter("id % 500 = 0"), "record_deleted", recordId=text("id")),
+    ]
+    return reduce(DataFrame.union, rows).withColumn("sent_at", c.as_of)
+
+
+def _routed(c) -> envelopes.Sinks:
+    landed = fresh_dir(c.spark, "sent")
+    sent = _envelopes(c)
+    sent.write.parquet(landed)
+    return envelopes.route(flows.read_stream(c.spark, landed, "*.parquet", sent.schema))
+
+
+_DEAD_SQL = f"""SELECT 'record_ingested' AS event_type, 'kind outside its domain' AS reason, count(*) AS n FROM core WHERE id % 97 = 0
+    UNION ALL SELECT 'embedding_ready', 'dimensions below 1', count(*) FROM emb WHERE record_id % 50 = 0
+    UNION ALL SELECT 'embedding_ready', 'payload does not parse', count(*) FROM emb WHERE record_id % 50 = 1
+    UNION ALL SELECT 'signal_detected', 'severity outside its domain', count(*) FROM sig WHERE id % 10 = 0
+    UNION ALL SELECT 'story_enriched', 'enrichedAt is missing', count(*) FROM st WHERE enrichment_version = 0
+    UNION ALL SELECT 'arc_updated', 'arcId below 1', count(DISTINCT arc_id) FROM arcm WHERE arc_id = 0
+    UNION ALL SELECT 'record_deleted', 'unknown type', count(*) FROM core WHERE id % 500 = 0"""
+
+
+@query("stream_events", f"""SELECT 'record_ingested' AS event_type, count(*) AS n, count(DISTINCT kind) AS detail FROM core WHERE id % 97 <> 0
+    UNION ALL SELECT 'entities_extracted', count(DISTINCT record_id), count(*) FROM ment
+    UNION ALL SELECT 'embedding_ready', count(*), sum(len(vector)) FROM emb WHERE record_id % 50 > 1
+    UNION ALL SELECT 'topic_assigned', count(*), count(confidence) FROM ta
+    UNION ALL SELECT 'signal_detected', count(*), (SELECT count(DISTINCT (signal_id, target)) FROM sigev WHERE signal_id % 10 <> 0) FROM sig WHERE id % 10 <> 0
+    UNION ALL SELECT 'story_published', count(*), sum(version) FROM st
+    UNION ALL SELECT 'story_enriched', count(*), sum(turn) FROM st WHERE enrichment_version > 0
+    UNION ALL SELECT 'arc_updated', count(DISTINCT arc_id), count(*) FROM arcm WHERE arc_id > 0
+    UNION ALL SELECT 'variants_generated', count(DISTINCT story_id), count(DISTINCT (story_id, variant_type)) FROM vars""")
+def _(c):
+    """Events in each typed sink, with a sum over one of the type's own fields."""
+    sinks = _routed(c)
+    detail = {
+        "record_ingested": F.count_distinct("kind"), "entities_extracted": F.sum("entityCount"), "embedding_ready": F.sum("dimensions"),
+        "topic_assigned": F.count("confidence"), "signal_detected": F.sum(F.size("evidenceTargets")), "story_published": F.sum("version"),
+        "story_enriched": F.sum("variantCount"), "arc_updated": F.sum("storyCount"), "variants_generated": F.sum(F.size("variantTypes")),
+    }
+    parts = [sinks.events(t).agg(F.count(F.lit(1)).alias("n"), d.cast("long").alias("detail")).select(F.lit(t).alias("event_type"), "n", "detail") for t, d in detail.items()]
+    return reduce(DataFrame.union, parts)
+
+
+@query("stream_dead_letters", f"SELECT * FROM ({_DEAD_SQL}) WHERE n > 0")
+def _(c):
+    return _routed(c).dead.groupBy("event_type", "reason").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("stream_daily_rollup", """SELECT CAST(CAST(captured_at AS DATE) AS STRING) AS bucket_date, kind, count(*) AS record_count FROM core GROUP BY 1, 2""")
 def _(c):
     return flows.daily_rollup(streaming(c).core.select("kind", "captured_at"))

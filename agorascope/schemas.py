@@ -34,9 +34,8 @@ WEBHOOK_EVENTS = (
     "story.published", "signal.detected", "entity.mentioned", "arc.updated", "saved_search.matched",
 )
 SIGNAL_KINDS = (
-    "novelty", "velocity", "divergence", "volume_anomaly", "sentiment_shift", "entity_surge",
-    "emotional_register_shift", "key_phrase_trending", "platform_divergence", "trend",
-    "cross_topic_correlation",
+    "volume_anomaly", "sentiment_shift", "platform_divergence", "entity_surge", "emotional_register_shift",
+    "key_phrase_trending", "cross_topic_correlation", "trend", "novelty", "velocity", "divergence",
 )
 # (tier, calls per day, calls per minute, daily cap is hard, history days kept, minimum seats); None = unlimited
 TIERS = (

@@ -69,3 +69,38 @@ def checkpointed(frame: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_dir(frame.sparkSession))
     return frame.checkpoint()
+
+
+class SharedFiles:
+    """Small text files of a shared folder, through the file system that Spark itself uses for it."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self._jvm = spark._jvm
+        self._folder = self._jvm.org.apache.hadoop.fs.Path(folder)
+        self._system = self._folder.getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def names(self) -> list[str]:
+        if not self._system.exists(self._folder):
+            return []
+        return sorted(s.getPath().getName() for s in self._system.listStatus(self._folder))
+
+    def read(self, name: str) -> str:
+        stream = self._system.open(self._jvm.org.apache.hadoop.fs.Path(self._folder, name))
+        try:
+            return bytes(stream.readAllBytes()).decode()
+        finally:
+            stream.close()
+
+    def write(self, name: str, text: str) -> None:
+        """Complete or not there: written under another name first, then renamed."""
+        path = self._jvm.org.apache.hadoop.fs.Path
+        part, final = path(self._folder, f".{name}"), path(self._folder, name)
+        stream = self._system.create(part, True)
+        try:
+            stream.write(bytearray(text.encode()))
+        finally:
+            stream.close()
+        self._system.delete(final, False)
+        if not self._system.rename(part, final):
+            raise OSError(f"could not rename {part} to {final}")
+

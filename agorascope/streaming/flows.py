@@ -19,6 +19,7 @@ from agorascope.operators.rollups import n_rows
 from agorascope.params import P
 from agorascope.schemas import CONTENT_TYPES, SOURCE_KINDS
 from agorascope.session import fresh_dir
+from agorascope.streaming.rollup_store import RollupStore
 
 
 def read_stream(spark: SparkSession, folder: str, pattern: str, schema: T.StructType, files_per_trigger: int | None = None) -> DataFrame:
@@ -29,7 +30,8 @@ def read_stream(spark: SparkSession, folder: str, pattern: str, schema: T.Struct
     return reader.parquet(folder)
 
 
-def _finish(writer) -> None:
+def finish(writer) -> None:
+    """Run a streaming write over everything available."""
     query = writer.trigger(availableNow=True).start()
     query.awaitTermination()
 
@@ -38,37 +40,13 @@ def append_to(frame: DataFrame, label: str) -> DataFrame:
     """Run an append-mode flow over everything available and return what it wrote."""
     spark = frame.sparkSession
     root = fresh_dir(spark, label)
-    _finish(
+    finish(
         frame.writeStream.format("parquet").outputMode("append")
         .option("checkpointLocation", f"{root}/checkpoint").option("path", f"{root}/data")
     )
     return spark.read.schema(frame.schema).parquet(f"{root}/data")
 
 
-def each_batch(frame: DataFrame, label: str, work: Callable[[DataFrame, DataFrame], DataFrame], schema: T.StructType) -> DataFrame:
-    """Run ``work(batch, stored so far)`` on every micro-batch and store what it returns.
-
-    "Stored so far" is what earlier batches wrote, read from the store; nothing is kept in the
-    driver, so a restart continues where the store and the checkpoint stand.
-    """
-    spark = frame.sparkSession
-    root = fresh_dir(spark, label)
-    data = f"{root}/data"
-    full = T.StructType([*schema.fields, T.StructField("batch", T.LongType())])
-
-    # an empty first part, so that the store can be read before the first batch
-    spark.createDataFrame([], schema).write.parquet(f"{data}/batch=-1")
-
-    def stored(before: int) -> DataFrame:
-        return spark.read.schema(full).parquet(data).filter(F.col("batch") < before).drop("batch")
-
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        work(batch, stored(batch_id)).write.mode("overwrite").parquet(f"{data}/batch={batch_id}")
-
-    _finish(frame.writeStream.foreachBatch(handle).option("checkpointLocation", f"{root}/checkpoint"))
-    return stored(2**62)
-
-
 # ---- flows ----------------------------------------------------------------------------------
 def record_ingested(stream: DataFrame) -> DataFrame:
     """RecordIngested events that keep to their domains."""
@@ -77,7 +55,7 @@ def record_ingested(stream: DataFrame) -> DataFrame:
 
 
 def keyed_store(frame: DataFrame, label: str, keys: list[str], work: Callable[[DataFrame, DataFrame], DataFrame], schema: T.StructType, buckets: int = 64) -> DataFrame:
-    """``each_batch`` over a store laid out by a hash of ``keys``: a batch reads only the buckets its own keys fall in.
+    """Run ``work`` on every micro-batch over a store laid out by a hash of ``keys``: a batch reads only the buckets its keys fall in.
 
     ``work(batch, stored rows of these buckets)`` returns the rows to add. Nothing is dropped for being late.
     """
@@ -97,7 +75,7 @@ def keyed_store(frame: DataFrame, label: str, keys: list[str], work: Callable[[D
         added.write.mode("overwrite").partitionBy("bucket").parquet(f"{data}/batch={batch_id}")
         batch.unpersist()
 
-    _finish(frame.writeStream.foreachBatch(handle).option("checkpointLocation", f"{root}/checkpoint"))
+    finish(frame.writeStream.foreachBatch(handle).option("checkpointLocation", f"{root}/checkpoint"))
     return stored(2**62).drop("batch", "bucket")
 
 
@@ -118,18 +96,20 @@ def ingest_dedup(items: DataFrame, source_id: int | None, ingested_at: Column) -
     return keyed_store(shaped, "ingest", keys, work, schema)
 
 
-def daily_rollup(records: DataFrame) -> DataFrame:
-    """Daily counts per kind kept incrementally: each batch stores its partial counts, reads sum them.
+def daily_rollup(records: DataFrame, every: int = 16) -> DataFrame:
+    """Daily counts per kind kept incrementally: each batch adds its partial counts, reads sum them.
 
-    Late rows land in their own day without reopening anything.
+    Late rows land in their own day without reopening anything. The store is compacted as it grows (``rollup_store``),
+    so a reader opens one file set a day and at most ``every`` partial batches, however many batches there were.
     """
-    partial = T.StructType.fromDDL("bucket_date date, kind string, record_count long")
+    spark = records.sparkSession
+    store = RollupStore(spark, fresh_dir(spark, "rollup"), every)
 
-    def work(batch: DataFrame, store: DataFrame) -> DataFrame:
-        return batch.groupBy(F.to_date("captured_at").alias("bucket_date"), "kind").agg(n_rows().alias("record_count"))
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        store.add(batch.groupBy(F.to_date("captured_at").alias("bucket_date"), "kind").agg(n_rows().alias("record_count")), batch_id)
 
-    parts = each_batch(records, "rollup", work, partial)
-    return parts.groupBy("bucket_date", "kind").agg(F.sum("record_count").alias("record_count"))
+    finish(records.writeStream.foreachBatch(handle).option("checkpointLocation", f"{store.root}/checkpoint"))
+    return store.read()
 
 
 def sliding_counts(records: DataFrame, delay: str = "1 hour", width: str = "24 hours", step: str = "1 hour") -> DataFrame:
@@ -146,7 +126,8 @@ def embedding_gate(records: DataFrame, ready: DataFrame, wait: str = "1 hour", d
 
     Time is that of the records: a record leaves as missing once a record captured ``wait`` and ``delay`` later has
     come, whether or not the stream of embeddings moves on. Each batch carries the open records and the unmatched
-    embeddings to the next one; the first embedding between capture and ``wait`` counts.
+    embeddings to the next one; the first embedding between capture and ``wait`` counts. An unmatched embedding is dropped once
+    the records' clock has passed it by ``wait`` and ``delay``: its record would leave as missing anyway.
     """
     spark, root = records.sparkSession, fresh_dir(records.sparkSession, "embedding-gate")
     open_path, out_path = f"{root}/open", f"{root}/out"
@@ -171,14 +152,16 @@ def embedding_gate(records: DataFrame, ready: DataFrame, wait: str = "1 hour", d
         judged.filter("leaves").select(*schema.names).write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
         newest = rows.filter("captured_at IS NOT NULL").agg(F.max("captured_at").alias("captured_at")).filter("captured_at IS NOT NULL")
         used = judged.filter("embedded").select(F.col("record_id").alias("ready_id"))
+        # an embedding that no record captured up to now can still fit is of no use to a later one
         rest = came.join(used, "ready_id", "left_anti").select(F.col("ready_id").alias("record_id"), none.alias("captured_at"), "ready_at")
+        rest = rest.withColumn("_clock", clock).filter(F.expr(f"_clock IS NULL OR ready_at + INTERVAL {wait} + INTERVAL {delay} >= _clock")).drop("_clock")
         still = judged.filter("NOT leaves").select("record_id", "captured_at", none.alias("ready_at"))
         mark = newest.select(F.lit(None).cast("long").alias("record_id"), "captured_at", none.alias("ready_at"))  # keeps the clock
         still.unionByName(rest).unionByName(mark).write.mode("overwrite").parquet(f"{open_path}/batch={batch_id}")
         judged.unpersist()
         rows.unpersist()
 
-    _finish(both.writeStream.foreachBatch(handle).option("checkpointLocation", f"{root}/checkpoint"))
+    finish(both.writeStream.foreachBatch(handle).option("checkpointLocation", f"{root}/checkpoint"))
     full = T.StructType([*schema.fields, T.StructField("batch", T.LongType())])
     return spark.read.schema(full).parquet(out_path).drop("batch").filter("record_id IS NOT NULL")
 

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from agorascope.operators import rollups
-from agorascope.session import fresh_dir
-from agorascope.streaming import flows
+from agorascope.session import SharedFiles, fresh_dir
+from agorascope.streaming import envelopes, flows
 from agorascope.streaming.bound import StreamCorpus
+from agorascope.streaming.rollup_store import RollupStore
 
 
 def parted(spark, corpus, n=4, repeat=()):
@@ -108,3 +109,86 @@ def test_cursor_walk(spark, corpus):
         moved = flows.advance(cursors, "t", done).first()
         cursors = spark.createDataFrame([(moved.task, moved.cursor)], "task string, cursor string")
     assert sorted(seen) == sorted(r.id for r in corpus.core.select("id").collect()) and len(seen) == len(set(seen))
+
+
+def test_rollup_store_opens_one_file_set_a_day(spark):
+    """After 100 batches a reader opens the days and fewer open batches than one compaction folds; retries add nothing."""
+    store = RollupStore(spark, fresh_dir(spark, "store"), every=10)
+    expected = {}
+    for i in range(100):
+        day, kind = f"2024-01-{1 + i % 4:02}", "ab"[i % 2]
+        expected[day, kind] = expected.get((day, kind), 0) + i
+        part = spark.createDataFrame([(day, kind, i)], "d string, kind string, record_count long").selectExpr("cast(d as date) as bucket_date", "kind", "record_count")
+        store.add(part, i)
+        if i % 33 == 0:
+            store.add(part, i)  # the same batch again
+            store = RollupStore(spark, store.root, every=10)  # a restart
+    assert {(str(r.bucket_date), r.kind): r.record_count for r in store.read().collect()} == expected
+    assert len(store.paths()) <= 4 + 9
+    before = dict(store.state["days"])
+    late = spark.createDataFrame([("2024-01-02", "z", 5), (None, "a", 2)], "d string, kind string, record_count long").selectExpr("cast(d as date) as bucket_date", "kind", "record_count")
+    store.add(late, 100)
+    store.compact()
+    assert {d for d in before if store.state["days"][d] != before[d]} == {"2024-01-02"} and "none" in store.state["days"]
+    assert store.read().count() == len(expected) + 2
+
+
+def test_a_crash_before_the_manifest_changes_nothing(spark):
+    store = RollupStore(spark, fresh_dir(spark, "store"), every=100)
+    one = spark.createDataFrame([("a", 3)], "kind string, record_count long").selectExpr("date'2024-01-01' as bucket_date", "kind", "record_count")
+    store.add(one, 0)
+
+    class Crash(Exception):
+        pass
+
+    def fail(**changes):
+        raise Crash
+
+    kept, store._commit = store._commit, fail
+    for broken in (lambda: store.add(one, 1), store.compact):
+        try:
+            broken()
+        except Crash:
+            pass
+    assert [r.record_count for r in RollupStore(spark, store.root).read().collect()] == [3]
+    again = RollupStore(spark, store.root)
+    again.add(one, 1)
+    again.compact()
+    assert [r.record_count for r in again.read().collect()] == [6]
+
+
+def test_open_embeddings_expire(spark, monkeypatch):
+    """What the gate carries on does not grow with embeddings that no record ever asks for."""
+    from datetime import timedelta
+
+    start, kept = datetime(2024, 1, 1), []
+    records = [[(i * 10 + k, start + timedelta(hours=3 * i)) for k in range(2)] for i in range(6)]
+    ready = [[(10_000 + i * 10 + k, start + timedelta(hours=3 * i)) for k in range(5)] + [(i * 10, start + timedelta(hours=3 * i, minutes=5))] for i in range(6)]
+    roots = []
+    monkeypatch.setattr(flows, "fresh_dir", lambda s, label: roots.append(fresh_dir(s, label)) or roots[-1])
+    out = flows.embedding_gate(stream_of(spark, "record_id long, captured_at timestamp", records), stream_of(spark, "ready_id long, ready_at timestamp", ready))
+    rows = {r.record_id: r.embedded for r in out.collect()}
+    assert all(rows[i * 10] for i in range(6)) and not any(rows.get(i * 10 + 1, False) for i in range(6))
+    for name in SharedFiles(spark, f"{roots[-1]}/open").names():
+        if name.startswith("batch=") and name != "batch=-1":
+            kept.append(spark.read.parquet(f"{roots[-1]}/open/{name}").filter("captured_at IS NULL").count())
+    assert kept and max(kept) <= 10
+
+
+def test_envelopes_go_to_their_sinks_once(spark):
+    schema = "event_type string, payload string, sent_at timestamp"
+    t = datetime(2024, 1, 1)
+    good = ("topic_assigned", '{"recordId":"1","topicId":2,"method":"keyword"}', t)
+    bad = [
+        ("topic_assigned", '{"recordId":"1","topicId":"two","method":"keyword"}', t), ("topic_assigned", '{"recordId":"1","method":"keyword"}', t),
+        ("variants_generated", '{"storyId":"1","variantTypes":[],"generationModel":"m","generatedAt":"2024-01-01T00:00:00Z"}', t),
+        ("embedding_ready", None, t), (None, "{}", t), ("other", "{}", t), ("arc_updated", "not json", t),
+    ]
+    sinks = envelopes.route(stream_of(spark, schema, [[good, bad[0]], bad[1:4], [good, *bad[4:]]]))
+    assert [tuple(r)[1:] for r in sinks.events("topic_assigned").collect()] == [("1", 2, "keyword", None)] * 2
+    assert all(sinks.events(kind).count() == 0 for kind in envelopes.STREAMS if kind != "topic_assigned")
+    reasons = sorted((str(r.event_type), r.reason) for r in sinks.dead.collect())
+    assert reasons == sorted([
+        ("topic_assigned", "payload does not parse"), ("topic_assigned", "topicId is missing"), ("variants_generated", "variantTypes empty or outside its domain"),
+        ("embedding_ready", "payload does not parse"), ("None", "unknown type"), ("other", "unknown type"), ("arc_updated", "payload does not parse"),
+    ])
