@@ -45,3 +45,16 @@ def test_edges(spark):
     assert sorted(base_of(got)) == sorted(map(by_force, texts))
     assert Q.report(docs.limit(0), labels).count() == 0
     assert sum(r.kept for r in Q.report(docs, labels.limit(0)).collect()) == sum(not by_force(t)[5] for t in texts)
+
+
+def test_threshold_is_exact_and_ignores_order(spark):
+    import random
+
+    rng = random.Random(1)
+    scores = [round(rng.gauss(0, 1), 6) for _ in range(3000)] + [None]
+    for parts in (1, 7):
+        rng.shuffle(scores)
+        frame = spark.createDataFrame([(s,) for s in scores], "score double").repartition(parts)
+        exact = sorted(round(s, 4) for s in scores if s is not None)[14]  # the 15th of 3000
+        assert abs(Q.threshold(frame) - exact) < 1e-9
+    assert Q.threshold(frame.limit(0)) == 0.0
