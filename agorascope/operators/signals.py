@@ -18,6 +18,7 @@ from agorascope.operators.dedup import absent
 from agorascope.operators.positions import bucketed_positions, salted_join
 from agorascope.operators.rollups import growth, n_rows, rolling_baseline, since
 from agorascope.params import P
+from agorascope.session import stored
 
 
 def topic_rows(assignments: DataFrame, records: DataFrame, *columns: str) -> DataFrame:
@@ -198,9 +199,10 @@ def trend(
 
 
 # ---- evidence, severity ---------------------------------------------------------------------
-def evidence_part(rows: DataFrame, signal: Column, target: str, target_id: Column, weight: Column) -> DataFrame:
+def evidence_part(rows: DataFrame, signal: Column, target: str, target_id: Column, weight: Column, ids: str = "long") -> DataFrame:
+    """Evidence rows of one target; ``ids`` is the type of the target ids, the same in all parts that are assembled."""
     return rows.select(
-        signal.cast("string").alias("signal_key"), F.lit(target).alias("target"), target_id.cast("long").alias("target_id"),
+        signal.cast("string").alias("signal_key"), F.lit(target).alias("target"), target_id.cast(ids).alias("target_id"),
         weight.cast("double").alias("raw_weight"),
     )
 
@@ -220,11 +222,35 @@ def assemble_evidence(parts: list[DataFrame], min_evidence: int = P.min_evidence
     weighted = salted_join(rows, totals, ["signal_key"], ["target", "target_id"]).withColumn("weight", F.round(share, 12)).withColumn(
         "_w", F.round(share * F.col("evidence_count"), 4)
     )
-    step = F.struct(-F.col("_w"), F.col("target"), F.floor(F.col("target_id") / 4096))
+    near = F.substring("target_id", 1, 4) if dict(rows.dtypes)["target_id"] == "string" else F.floor(F.col("target_id") / 4096)
+    step = F.struct(-F.col("_w"), F.col("target"), near)
     ranked = bucketed_positions(weighted, ["signal_key"], step, [F.desc("_w"), F.asc("target"), F.asc("target_id")], "_p")
     return ranked.withColumn("rank", F.col("_p") + 1).drop("_p", "_t", "_w", "raw_weight")
 
 
+def evidence_of_signals(
+    found: DataFrame, membership: DataFrame, mentions: DataFrame, assignments: DataFrame, stories: DataFrame, min_evidence: int = P.min_evidence,
+) -> DataFrame:
+    """The evidence behind signals of any kind, on all four targets: records, entities, topics and stories.
+
+    ``found`` has ``signal_key``, what the signal is about (``scope``: topic, kind, entity or phrase, and its ``value``; several
+    rows where it is about several) and the ``days`` up to ``last`` that it looks at. ``membership`` has the records of each
+    scope and value by ``day``; the join is on all three, so a hot topic is one key a day. A signal's records bring the
+    entities they mention, the topics they are assigned to and the active stories drawn from them. Weights: a record a half, a
+    mentioned entity or a story drawn from it a quarter, a topic an eighth, summed by target.
+    """
+    asked = found.select("signal_key", "scope", "value", F.explode(F.sequence(F.date_sub("last", F.col("days") - 1), F.col("last"))).alias("day"))
+    rows = stored(membership.join(asked, ["scope", "value", "day"]).select("signal_key", "record_id").distinct(), "signal-records")
+    drawn = stories.filter("active").select(F.col("id").alias("story_id"), F.explode("source_record_ids").alias("r")).select("story_id", F.col("r").cast("long").alias("record_id"))
+    key, parts = F.col("signal_key"), [evidence_part(rows, F.col("signal_key"), "record", F.col("record_id"), F.lit(0.5), "string")]
+    for target, links, column, weight in (
+        ("entity", mentions, "entity_id", 0.25), ("topic", assignments, "topic_id", 0.125), ("story", drawn, "story_id", 0.25),
+    ):
+        linked = rows.join(links.select("record_id", column).distinct(), "record_id")
+        parts.append(evidence_part(linked, key, target, F.col(column), F.lit(weight), "string"))
+    return assemble_evidence(parts, min_evidence)
+
+
 def with_severity(signals: DataFrame, key: Column, window_day: Column) -> DataFrame:
     """Score squashed to [0, 1), its band, and the dedup key of the window."""
     size = F.abs(F.col("score"))

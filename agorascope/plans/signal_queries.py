@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from agorascope.functions.text import ngrams
 from agorascope.functions.text import tokens as word_tokens
 from agorascope.operators import rollups, signals, textual, vectorial
 from agorascope.operators.alerts import signal_notify
@@ -12,6 +16,7 @@ from agorascope.plans.read_queries import S_TIME, s_as_of
 from agorascope.plans.registry import _ORACLES, query
 from agorascope.plans.rollup_queries import DAYS, FIRST, GROWTH, GROWTH_RATE, LAST, TOPIC_PAIRS
 from agorascope.plans.search_queries import DELTA, RECORD_TEXTS, grams, record_texts
+from agorascope.session import stored
 
 TR = f"tr AS (SELECT p.topic_id, r.* FROM {TOPIC_PAIRS} p JOIN core r ON r.id = p.record_id)"
 TOPIC_DAYS = f"""{TR}, td AS (SELECT topic_id, CAST(captured_at AS DATE) AS d, count(*) AS n FROM tr GROUP BY 1, 2),
@@ -207,12 +212,18 @@ _FLOW = " UNION ALL ".join([
     SELECT kind, topic_id, score, evidence, strength, CASE WHEN strength >= 0.8 THEN 'high' WHEN strength >= 0.5 THEN 'medium' ELSE 'low' END AS severity,
       dedup_key, row_number() OVER (PARTITION BY kind ORDER BY strength DESC, dedup_key, topic_id NULLS FIRST) AS rank FROM g""")
 def _(c):
+    parts, trends = _findings(c)
+    known = trends.filter("topic_id % 2 = 0").select("kind", "topic_id", F.concat_ws("|", "subject", "window").alias("dedup_key"))
+    return signals.signal_flow(parts, known).select("kind", "topic_id", "score", "evidence", "strength", "severity", "dedup_key", "rank")
+
+
+def _findings(c):
+    """The findings of all eleven detectors, and those of the trend detector on their own."""
     daily, rows, day, topic = topic_daily(c), sentiment_rows(c), F.lit(LAST), F.col("topic_id")
     deltas = textual.ngram_delta(record_texts(c), 2, 2, min_delta=0.000002)
     shape, evidence = signals.as_signals, F.col("evidence")
     trends = shape(signals.trend(daily, FIRST, LAST), "trend", topic, day, evidence, topic)
-    stored = trends.filter("topic_id % 2 = 0").select("kind", "topic_id", F.concat_ws("|", "subject", "window").alias("dedup_key"))
-    return signals.signal_flow([
+    return [
         shape(signals.velocity(daily, FIRST, LAST, ratio=1.02), "velocity", topic, F.col("end_day"), evidence, topic),
         shape(volume(c), "volume_anomaly", F.col("kind"), F.col("day"), F.col("n")),
         shape(signals.novelty_signals(distances(c)), "novelty", topic, day, evidence, topic),
@@ -227,7 +238,50 @@ def _(c):
             F.col("shared_records"), F.col("topic_a"),
         ),
         trends,
-    ], stored).select("kind", "topic_id", "score", "evidence", "strength", "severity", "dedup_key", "rank")
+    ], trends
+
+
+_SCOPES = """CASE kind WHEN 'volume_anomaly' THEN 'kind' WHEN 'entity_surge' THEN 'entity' WHEN 'key_phrase_trending' THEN 'phrase' ELSE 'topic' END"""
+
+
+@query("signal_evidence_all", f"""WITH f AS ({_FLOW}), a AS (SELECT concat(kind, '|', subject, '|', win) AS signal_key, {_SCOPES} AS scope,
+      unnest(CASE WHEN kind = 'cross_topic_correlation' THEN string_split(subject, '-') ELSE [subject] END) AS value, CAST(win AS DATE) AS last,
+      CASE WHEN kind = 'volume_anomaly' THEN 1 ELSE 7 END AS days FROM f WHERE evidence >= 3),
+    c AS (SELECT id, doc_id, kind, CAST(captured_at AS DATE) AS day FROM core), w AS (SELECT doc_id, {tokens('text')} AS w FROM documents),
+    b AS (SELECT DISTINCT doc_id, concat(w[i], ' ', w[i + 1]) AS value FROM (SELECT doc_id, w, unnest(range(1, len(w))) AS i FROM w)),
+    m AS (SELECT DISTINCT 'topic' AS scope, CAST(topic_id AS STRING) AS value, c.id AS record_id, day FROM ta JOIN c ON c.id = ta.record_id
+      UNION ALL SELECT 'kind', kind, id, day FROM c UNION ALL SELECT DISTINCT 'entity', CAST(entity_id AS STRING), c.id, day FROM ment JOIN c ON c.id = ment.record_id
+      UNION ALL SELECT 'phrase', b.value, c.id, day FROM b JOIN c ON c.doc_id = b.doc_id WHERE b.value IN (SELECT value FROM a WHERE scope = 'phrase')),
+    r AS (SELECT DISTINCT a.signal_key, m.record_id FROM a JOIN m ON m.scope = a.scope AND m.value = a.value AND m.day <= a.last AND m.day > a.last - a.days),
+    p AS (SELECT signal_key, 'record' AS target, CAST(record_id AS STRING) AS target_id, CAST(0.5 AS DOUBLE) AS w FROM r
+      UNION ALL SELECT signal_key, 'entity', CAST(entity_id AS STRING), 0.25 FROM r JOIN (SELECT DISTINCT record_id, entity_id FROM ment) x USING (record_id)
+      UNION ALL SELECT signal_key, 'topic', CAST(topic_id AS STRING), 0.125 FROM r JOIN (SELECT DISTINCT record_id, topic_id FROM ta) x USING (record_id)
+      UNION ALL SELECT signal_key, 'story', id, 0.25 FROM r JOIN (SELECT DISTINCT id, CAST(rid AS BIGINT) AS record_id FROM (SELECT id, unnest(source_record_ids) AS rid FROM st WHERE active)) x
+        USING (record_id)),
+    g AS (SELECT signal_key, target, target_id, sum(w) AS w FROM p GROUP BY 1, 2, 3),
+    t AS (SELECT *, sum(w) OVER (PARTITION BY signal_key) AS s, count(*) OVER (PARTITION BY signal_key) AS evidence_count FROM g),
+    x AS (SELECT signal_key, target, target_id, evidence_count, round(w / s, 12) AS weight, round(w / s * evidence_count, 4) AS r FROM t WHERE evidence_count >= 3)
+    SELECT * EXCLUDE (r), row_number() OVER (PARTITION BY signal_key ORDER BY r DESC, target, target_id) AS rank FROM x""")
+def _(c):
+    """Evidence of the signals of all eleven kinds, on records, entities, topics and stories."""
+    found = stored(reduce(DataFrame.unionByName, _findings(c)[0]).filter("evidence >= 3"), "found")
+    several = F.when(F.col("kind") == "cross_topic_correlation", F.split("subject", "-")).otherwise(F.array("subject"))
+    asked = found.select(
+        F.concat_ws("|", "kind", "subject", "window").alias("signal_key"), F.expr(_SCOPES).alias("scope"), F.explode(several).alias("value"),
+        F.col("window").cast("date").alias("last"), F.when(F.col("kind") == "volume_anomaly", 1).otherwise(7).alias("days"),
+    )
+    core = c.core.select("id", "doc_id", "kind", F.to_date("captured_at").alias("day"))
+
+    def linked(links, scope: str, column: str):
+        own = links.select(F.col(column).cast("string").alias("value"), F.col("record_id")).distinct()
+        return own.join(core.select(F.col("id").alias("record_id"), "day"), "record_id").select(F.lit(scope).alias("scope"), "value", "record_id", "day")
+
+    phrases = asked.filter("scope = 'phrase'").select("value").distinct()
+    pairs = c.documents.select("doc_id", F.explode(F.array_distinct(ngrams(word_tokens(F.col("text")), 2))).alias("value")).join(phrases, "value")
+    said = pairs.join(core, "doc_id").select(F.lit("phrase").alias("scope"), "value", F.col("id").alias("record_id"), "day")
+    kinds = core.select(F.lit("kind").alias("scope"), F.col("kind").alias("value"), F.col("id").alias("record_id"), "day")
+    membership = kinds.union(linked(c.assignments, "topic", "topic_id")).union(linked(c.mentions, "entity", "entity_id")).union(said)
+    return signals.evidence_of_signals(asked, membership, c.mentions, c.assignments, c.stories)
 
 
 @query("signal_guards", """WITH w AS (SELECT p.topic_id, a.id, epoch(a.ingested_at) - epoch(a.captured_at) <= 86400 AS live, v.vec_id IS NOT NULL AS emb

@@ -104,3 +104,17 @@ def test_saturation_join_against_all_pairs(spark):
                     if j >= least:
                         expected[x[0], y[0]] = j
         assert got == expected
+
+
+def test_evidence_of_all_kinds_and_targets(spark):
+    import __spark_entry__ as entry
+    from agorascope.schemas import EVIDENCE_TARGETS, SIGNAL_KINDS
+
+    rows = entry.queries()["signal_evidence_all"](spark, "/root/testdata/sf0.001").collect()
+    kinds = {r.signal_key.split("|")[0] for r in rows}
+    assert kinds <= set(SIGNAL_KINDS) and len(kinds) >= 9
+    assert {r.target for r in rows} == set(EVIDENCE_TARGETS)
+    total = {}
+    for r in rows:
+        total[r.signal_key] = total.get(r.signal_key, 0) + r.weight
+    assert all(abs(t - 1) < 1e-6 for t in total.values())
