@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from agorascope.llm import toxicity as T
@@ -62,3 +63,31 @@ def test_edges(spark):
     assert kept.columns == docs.columns and kept.where("doc_id = 4").count() == 2
     assert T.report(docs.limit(0), labels, SMALL).count() == 0
     assert T.report(docs, labels.limit(0), SMALL).where("predicted = 1").count() == 0
+
+
+def plain_score(text, model):
+    """One text by plain loops: subwords of each word, repeats silenced, the worst window."""
+    bits = len(model.weights).bit_length() - 1
+    words = T.words_of(text.encode())
+    each = []
+    for i, word in enumerate(words):
+        padded, weights = b" " + word + b" ", []
+        for n in T.GRAMS:
+            for k in range(len(padded) - n + 1):
+                h = padded[k]
+                for c in padded[k + 1 : k + n]:
+                    h = (h * 0x01000193 ^ c) & 0xFFFFFFFF
+                mixed = (h * 0x9E3779B1 + n) & 0xFFFFFFFF
+                mixed ^= mixed >> 15
+                weights.append(model.weights[(mixed * 0x85EBCA77 & 0xFFFFFFFF) >> (32 - bits)])
+        each.append(0.0 if word in words[max(0, i - T.WINDOW + 1) : i] else sum(weights) / max(1, len(weights)))
+    windows = [sum(each[k : k + T.WINDOW]) for k in range(max(1, len(each) - T.WINDOW + 1))] if each else [0.0]
+    return 1 / (1 + np.exp(-(max(windows) / T.WINDOW + model.bias)))
+
+
+def test_whole_table_by_plain_loops():
+    texts = pq.read_table("/root/testdata/sf0.001/documents.parquet").column("text").to_pylist()
+    model = T.Model(np.random.default_rng(5).normal(size=1 << 12), -3.0)
+    scored = T.score_texts([None if t is None else t.encode() for t in texts], model)
+    for text, score in zip(texts, scored, strict=True):
+        assert abs(score - plain_score(text or "", model)) < 1e-9
