@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from agorascope.session import checkpointed, stored
+from agorascope.session import stored
 
 
 def follow(links: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -13,24 +13,28 @@ def follow(links: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     ``links`` has one row an id, with ``up``, an id or NULL at an end. Each round joins the open ids with what they point
     to, so links are followed 1, 2, 4, ... steps; a round that settles nothing leaves only ids that lead into cycles.
-    These go on until no path is longer than what has been followed: then every id points into its cycle, the ids pointed to
-    are the cycle's own, and the smallest id seen on the way from one of them is the cycle's smallest.
+    These go on until a round neither narrows the ids pointed to nor lowers a smallest id: ids that are mapped onto themselves
+    are the cycles' own, and the smallest id seen on the way from one of them is its cycle's smallest. So rounds grow with the
+    logarithm of the longest path, not of the number of ids. Rounds are read back from files, whose sizes are known: the estimated
+    size of a join is a product, and over checkpoints these products would themselves fill the driver.
     """
     start = links.select(
         "id", F.col("up").alias("to"), F.when(F.col("up").isNull(), F.col("id")).alias("root_id"),
         F.when(F.col("up").isNull(), F.lit(0)).otherwise(F.lit(1)).cast("long").alias("steps"), F.least("id", F.coalesce("up", "id")).alias("low"),
     )
-    done = checkpointed(start.filter("root_id IS NOT NULL").select("id", "root_id", "steps"))
-    waiting = checkpointed(start.filter("root_id IS NULL").select("id", "to", "steps", "low"))
-    followed, left = 1, waiting.count()
+    start = stored(start, "links-start")
+    done = start.filter(F.col("to").isNull()).select("id", "root_id", "steps")
+    waiting = start.filter(F.col("to").isNotNull()).select("id", "to", "steps", "low")
+    left, pointed = _open(waiting)
     while left:
         ends = done.select(F.col("id").alias("to"), F.col("root_id").alias("_root"), F.col("steps").alias("_s"))
         ahead = waiting.select(F.col("id").alias("to"), F.col("to").alias("_to"), F.col("steps").alias("_n"), F.col("low").alias("_low"))
-        met = checkpointed(waiting.join(ends, "to", "left").join(ahead, "to", "left"))
-        done = checkpointed(done.union(met.filter("_root IS NOT NULL").select("id", "_root", F.col("steps") + F.col("_s"))))
-        waiting = checkpointed(met.filter("_root IS NULL").select("id", F.col("_to").alias("to"), (F.col("steps") + F.col("_n")).alias("steps"), F.least("low", "_low").alias("low")))
-        before, left, followed = left, waiting.count(), 2 * followed
-        if left == before and followed >= left:
+        met = stored(waiting.join(ends, "to", "left").join(ahead, "to", "left"), "links-met")
+        done = done.union(met.filter("_root IS NOT NULL").select("id", "_root", F.col("steps") + F.col("_s")))
+        still = met.filter("_root IS NULL")
+        waiting = still.select("id", F.col("_to").alias("to"), (F.col("steps") + F.col("_n")).alias("steps"), F.least("low", "_low").alias("low"))
+        before, (left, pointed) = (left, pointed), _open(waiting)
+        if before == (left, pointed) and still.filter("_low < low").isEmpty():
             break
     own = waiting.select(F.col("to").alias("id")).distinct()
     smallest = waiting.join(own, "id", "left_semi").select(F.col("id").alias("to"), F.col("low").alias("cycle_id"))
@@ -39,6 +43,12 @@ def follow(links: DataFrame) -> tuple[DataFrame, DataFrame]:
     return done, lost.join(members, "id", "left").select("id", "cycle_id", F.coalesce("in_cycle", F.lit(False)).alias("in_cycle"))
 
 
+def _open(waiting: DataFrame) -> tuple[int, int]:
+    """How many ids wait, and how many ids they point to."""
+    per = waiting.groupBy("to").agg(F.count(F.lit(1)).alias("n")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("to")).first()
+    return per.n or 0, per.to
+
+
 def chain_audit(stories: DataFrame) -> DataFrame:
     """Every version with where its links lead and what is wrong with its own link.
 

@@ -29,11 +29,27 @@ def test_links_of_any_shape(spark):
     assert got == expected
 
 
+def test_many_short_rings_take_few_rounds(spark):
+    rows = spark.range(600).select(F.col("id").cast("string").alias("id"), F.when(F.col("id") % 2 == 0, F.col("id") + 1).otherwise(F.col("id") - 1).cast("string").alias("up"))
+    _, lost = chains.follow(rows)
+    assert lost.filter("in_cycle").count() == 600
+    # estimated sizes of joins are products: over ever more rounds these numbers would themselves fill the driver
+    assert lost._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length() < 400
+
+
 def test_audit_of_no_versions(spark):
     none = spark.createDataFrame([], "id string, slug string, version int, previous_version_id string")
     assert chains.chain_audit(none).count() == 0 and chains.faulty_chains(none).count() == 0
 
 
+def test_phrases_are_found_with_one_cut_of_each_text(spark):
+    docs = spark.createDataFrame([(1, "One two, ONE two three"), (2, "two three"), (3, None), (4, "one")], "doc_id long, text string")
+    held = textual.phrase_holders(docs, spark.createDataFrame([("one two",), ("two three",)], "value string"), 2)
+    assert sorted((r.value, r.doc_id) for r in held.collect()) == [("one two", 1), ("two three", 1), ("two three", 2)]
+    runs = [line for line in held._jdf.queryExecution().optimizedPlan().toString().splitlines() if "explode(array_distinct" in line]
+    assert runs and not any("regexp_extract_all" in line for line in runs)
+
+
 def test_postings_score_as_the_scan_does(spark):
     rng = random.Random(5)
     rows = [(i, " ".join(rng.choices(["uno", "dos", "tres", "Ünder", "x", "of"], [1, 5, 20, 3, 40, 9], k=rng.randrange(0, 40)))) for i in range(600)] + [(900, None)]
