@@ -106,6 +106,15 @@ def ngram_delta(
     )
 
 
+def phrase_holders(documents: DataFrame, phrases: DataFrame, n: int) -> DataFrame:
+    """(value, doc_id): the documents that hold each phrase of ``n`` words (column ``value``).
+
+    Words are a column of their own: within ``ngrams`` the text would be cut into words again for each of its runs.
+    """
+    cut = documents.select("doc_id", tokens(F.col("text")).alias("_w"))
+    return cut.select("doc_id", F.explode(F.array_distinct(ngrams(F.col("_w"), n))).alias("value")).join(phrases, "value")
+
+
 def ngram_vs_source(output: DataFrame, source: DataFrame, n: int = 1, min_ratio: float = 2.0, min_count: int = 3) -> DataFrame:
     """N-grams of the output that are over-used against the sources it drew on.
 

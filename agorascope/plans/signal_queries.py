@@ -7,7 +7,6 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from agorascope.functions.text import ngrams
 from agorascope.functions.text import tokens as word_tokens
 from agorascope.operators import rollups, signals, textual, vectorial
 from agorascope.operators.alerts import signal_notify
@@ -277,7 +276,7 @@ def _(c):
         return own.join(core.select(F.col("id").alias("record_id"), "day"), "record_id").select(F.lit(scope).alias("scope"), "value", "record_id", "day")
 
     phrases = asked.filter("scope = 'phrase'").select("value").distinct()
-    pairs = c.documents.select("doc_id", F.explode(F.array_distinct(ngrams(word_tokens(F.col("text")), 2))).alias("value")).join(phrases, "value")
+    pairs = textual.phrase_holders(c.documents, phrases, 2)
     said = pairs.join(core, "doc_id").select(F.lit("phrase").alias("scope"), "value", F.col("id").alias("record_id"), "day")
     kinds = core.select(F.lit("kind").alias("scope"), F.col("kind").alias("value"), F.col("id").alias("record_id"), "day")
     membership = kinds.union(linked(c.assignments, "topic", "topic_id")).union(linked(c.mentions, "entity", "entity_id")).union(said)

@@ -46,7 +46,7 @@ def test_phrases_are_found_with_one_cut_of_each_text(spark):
     docs = spark.createDataFrame([(1, "One two, ONE two three"), (2, "two three"), (3, None), (4, "one")], "doc_id long, text string")
     held = textual.phrase_holders(docs, spark.createDataFrame([("one two",), ("two three",)], "value string"), 2)
     assert sorted((r.value, r.doc_id) for r in held.collect()) == [("one two", 1), ("two three", 1), ("two three", 2)]
-    runs = [line for line in held._jdf.queryExecution().optimizedPlan().toString().splitlines() if "explode(array_distinct" in line]
+    runs = [line for line in held._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Generate explode" in line]
     assert runs and not any("regexp_extract_all" in line for line in runs)
 
 
