@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from agorascope.functions.vectors import dot, unit
 from agorascope.operators.paging import top_per_group
+from agorascope.operators.vector_pairs import CELL_QUERIES, CELL_ROWS, best_of_cells, best_pairs
 from agorascope.session import stored
 
 MOST_LISTS = 4096  # centres travel with the tasks: at 512 dimensions 16 MB
@@ -107,33 +108,30 @@ def search(index: VectorIndex, queries: DataFrame, k: int, probes: int) -> DataF
     """(query_id, record_id, similarity, rank): the ``k`` nearest of each of many ``queries`` (query_id, vector) in the cells it probes.
 
     A record never answers itself. A spill row counts only where its home cell is not probed as well, so no pair comes twice.
+    The rows of a bucket are scored against the queries that probe it as matrices.
     """
     u = F.col("unit")
     asked = queries.select("query_id", unit(F.col("vector")).alias("unit")).filter(u.isNotNull())
     near = with_nearest_cells(asked, index.centres, probes)
     routed = near.select("query_id", u.alias("q"), F.transform("near", lambda c: -c["m"]).alias("probed")).withColumn("cell", F.explode("probed"))
     routed = routed.join(index.cells.select("cell", "buckets"), "cell").withColumn("bucket", F.explode(F.sequence(F.lit(0), F.col("buckets") - 1))).drop("buckets")
-    met = routed.join(index.rows, ["cell", "bucket"]).filter(F.col("record_id") != F.col("query_id"))
-    met = met.filter((F.col("home") == F.col("cell")) | ~F.array_contains("probed", F.col("home")))
-    scored = met.select("query_id", "record_id", F.round(dot(F.col("q"), u), 9).alias("similarity"))
+    rows = index.rows.select("record_id", "unit", "home", "cell", "bucket").filter("record_id IS NOT NULL")
+    asks = routed.select("query_id", "q", "probed", "cell", "bucket").filter("query_id IS NOT NULL")
+    kinds = dict(rows.dtypes)["record_id"], dict(asks.dtypes)["query_id"]
+    met = best_of_cells(rows, asks, k, ["cell", "bucket"], kinds, 9, False)
+    scored = met.select("query_id", "record_id", F.round("score", 9).alias("similarity"))
     return top_per_group(scored, ["query_id"], [F.desc("similarity"), F.asc("record_id")], k)
 
 
-def search_exact(vectors: DataFrame, queries: DataFrame, k: int, block: int = 64, rows_per_task: int = 200_000) -> DataFrame:
+def search_exact(vectors: DataFrame, queries: DataFrame, k: int, block: int = CELL_QUERIES, rows_per_task: int = CELL_ROWS) -> DataFrame:
     """The same over all rows: queries in blocks of about ``block``, each block against every row.
 
-    A row meets a block as one join row, and scores against the block's queries in place. Blocks are copied to one task
-    for each ``rows_per_task`` rows.
+    Blocks are copied to one cell for each ``rows_per_task`` rows, and scored there as matrices.
     """
-    units, asked = unit_vectors(vectors), queries.select("query_id", unit(F.col("vector")).alias("q")).filter(F.col("q").isNotNull())
-    blocks, tasks = max(1, math.ceil(asked.count() / block)), max(1, math.ceil(units.count() / rows_per_task))
-    packed = asked.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("b")).agg(F.collect_list(F.struct("query_id", "q")).alias("qs"))
-    packed = packed.withColumn("task", F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))))
-    rows = units.withColumn("task", F.pmod(F.xxhash64("record_id"), F.lit(tasks)).cast("int")).withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    u = F.col("unit")
-    scored = rows.join(packed, ["b", "task"]).select(
-        "record_id", F.inline(F.transform("qs", lambda x: F.struct(x["query_id"].alias("query_id"), F.round(dot(x["q"], u), 9).alias("similarity"))))
-    ).filter(F.col("record_id") != F.col("query_id")).select("query_id", "record_id", "similarity")
+    units = stored(unit_vectors(vectors), "units")
+    asked = queries.select("query_id", unit(F.col("vector")).alias("vector")).filter(F.col("vector").isNotNull())
+    pairs = best_pairs(units.withColumnRenamed("unit", "vector"), stored(asked, "asked"), k, 9, False, cell_rows=rows_per_task, cell_queries=block)
+    scored = pairs.select("query_id", "record_id", F.round("score", 9).alias("similarity"))
     return top_per_group(scored, ["query_id"], [F.desc("similarity"), F.asc("record_id")], k)
 
 

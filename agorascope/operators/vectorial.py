@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 from agorascope.functions.vectors import cosine, dot, norm, unit
 from agorascope.operators.paging import top_per_group
 from agorascope.operators.positions import salted_join
+from agorascope.operators.vector_pairs import best_pairs
 from agorascope.params import P
+from agorascope.session import stored
 
 
 def mean_vector(vector: str) -> Column:
@@ -96,13 +98,13 @@ def related_stories(stories: DataFrame, vectors: DataFrame, run: DataFrame, top:
     """Edges from every story of this ``run`` (column ``id``) to its ``top`` nearest in the topic.
 
     ``stories`` has ``id, topic_id`` and ``vector`` comes by ``id``. Only the run's stories ask, each once against the
-    stories of its topic, which are dealt over several tasks. The reverse edge is not implied.
+    stories of its topic, which are dealt over several cells and scored as matrices. The reverse edge is not implied.
     """
-    rows = stories.join(vectors, "id")
-    focal = rows.join(run.select("id").distinct(), "id", "left_semi").select("topic_id", F.col("id").alias("story_id"), F.col("vector").alias("_f"))
-    scored = salted_join(rows, focal, ["topic_id"], ["id"]).filter(F.col("id") != F.col("story_id")).select(
-        "story_id", F.col("id").alias("related_id"), F.round(cosine(F.col("vector"), F.col("_f")), 3).alias("similarity_score")
-    )
+    rows = stored(stories.join(vectors, "id").select("topic_id", F.col("id").alias("record_id"), "vector"), "story-vectors")
+    focal = rows.join(run.select(F.col("id").alias("record_id")).distinct(), "record_id", "left_semi")
+    focal = stored(focal.select("topic_id", F.col("record_id").alias("query_id"), "vector"), "run-vectors")
+    pairs = best_pairs(rows, focal, top, 3, True, group="topic_id", unmeasured=True)
+    scored = pairs.select(F.col("query_id").alias("story_id"), F.col("record_id").alias("related_id"), F.round("score", 3).alias("similarity_score"))
     return top_per_group(scored, ["story_id"], [F.desc("similarity_score"), F.asc("related_id")], top)
 
 
