@@ -13,14 +13,17 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from agorascope.functions.vectors import dot, unit
 from agorascope.operators.paging import top_per_group
-from agorascope.operators.vector_pairs import CELL_QUERIES, CELL_ROWS, best_of_cells, best_pairs
+from agorascope.operators.vector_pairs import CELL_QUERIES, CELL_ROWS, best_of_cells, best_pairs, by_length
 from agorascope.session import stored
 
 MOST_LISTS = 4096  # centres travel with the tasks: at 512 dimensions 16 MB
@@ -61,15 +64,34 @@ def train(units: DataFrame, lists: int, seed: int = 7, iterations: int = 8) -> D
 
 
 def with_nearest_cells(units: DataFrame, centres: DataFrame, n: int) -> DataFrame:
-    """``units`` and ``near``: the ``n`` cells nearest to ``unit``, best first, as structs (s, m) of cosine and negated cell."""
-    packed = centres.agg(F.collect_list(F.struct("cell", "centre"))).scalar()
-    scored = F.transform("_c", lambda c: F.struct(F.round(dot(F.col("unit"), c["centre"]), 12).alias("s"), (-c["cell"]).alias("m")))
-    return units.withColumn("_c", packed).withColumn("near", F.slice(F.sort_array(scored, asc=False), 1, n)).drop("_c")
+    """``units`` and ``near``: the ``n`` cells nearest to ``unit``, best first, as structs (s, m) of cosine and negated cell.
+
+    The centres, at most ``MOST_LISTS`` rows, go to the tasks, which score a slice of rows at once.
+    """
+    table = sorted((r.cell, r.centre) for r in centres.collect())
+    cells, matrix = np.array([c for c, _ in table], np.int32), np.array([v for _, v in table], np.float64)
+    schema = StructType([*units.schema.fields, *StructType.fromDDL("near array<struct<s: double, m: int>>").fields])
+    at, first = units.columns.index("unit"), min(n, len(cells))
+
+    def score(batches):
+        for batch in batches:
+            for k in range(0, batch.num_rows, 1024):
+                rows = batch.slice(k, 1024)
+                s = np.full((rows.num_rows, len(cells)), np.nan)
+                for d, (own, vectors, _) in by_length(pa.chunked_array([rows.column(at)]), False).items():
+                    if d == matrix.shape[-1]:
+                        s[own] = np.round(vectors @ matrix.T, 12)
+                order = np.argsort(-s, axis=1, kind="stable")[:, :first]  # equal ones by cell
+                best = pa.StructArray.from_arrays([pa.array(np.take_along_axis(s, order, 1).ravel(), from_pandas=True), pa.array(-cells[order].ravel())], ["s", "m"])
+                near = pa.ListArray.from_arrays(pa.array(np.arange(rows.num_rows + 1, dtype=np.int32) * first), best)
+                yield pa.RecordBatch.from_arrays([*rows.columns, near], [*rows.schema.names, "near"])
+
+    return units.mapInArrow(score, schema)
 
 
 def build(vectors: DataFrame, lists: int | None = None, spill: float = SPILL, bucket_rows: int = BUCKET_ROWS, seed: int = 7) -> VectorIndex:
     """The index of all ``vectors`` (record_id, vector), written below the shared folder."""
-    units = unit_vectors(vectors)
+    units = stored(unit_vectors(vectors), "units")
     lists = lists or lists_for(units.count())
     centres = train(units, lists, seed)
     near = with_nearest_cells(units, centres, 2).withColumn("home", -F.get("near", F.lit(0))["m"])

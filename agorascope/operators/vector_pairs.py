@@ -20,7 +20,7 @@ CELL_QUERIES = 16_384
 AT_ONCE = 256  # queries of one matrix product
 
 
-def _by_length(column: pa.ChunkedArray, scaled: bool) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def by_length(column: pa.ChunkedArray, scaled: bool) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Length to (positions, vectors, norms); vectors without a cosine (null, empty, zero, with a null or NaN in them) are left out."""
     lists = column.combine_chunks()
     lists = pa.concat_arrays(lists.chunks) if isinstance(lists, pa.ChunkedArray) else lists
@@ -62,7 +62,7 @@ def _scorer(k: int, digits: int, scaled: bool, unmeasured: bool, names: list[str
         rows, asked = rows.select([0, 1]), asked.select([0, 1])
         ids, queries = (t.column(0).to_numpy(zero_copy_only=False) for t in (rows, asked))
         rank = np.unique(ids, return_inverse=True)[1]  # ids in their order, as numbers
-        near, far, measured = _by_length(rows.column(1), scaled), _by_length(asked.column(1), scaled), np.zeros(len(queries), np.int64)
+        near, far, measured = by_length(rows.column(1), scaled), by_length(asked.column(1), scaled), np.zeros(len(queries), np.int64)
         qs, rs, ss = [], [], []
         for d, (q_at, q, q_norm) in far.items():
             r_at, m, m_norm = near.get(d, (np.zeros(0, np.int64), np.zeros((0, d)), np.zeros(0)))

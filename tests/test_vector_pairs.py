@@ -36,3 +36,13 @@ def test_related_stories_meet_in_cells_not_as_pairs(spark):
     got = vectorial.related_stories(stories, vectors, stories.filter("id IN ('s3', 's7')").select("id"), 2)
     assert got.groupBy("story_id").count().filter("count = 2").count() == 2
     assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_cells_are_scored_as_matrices(spark):
+    from agorascope.operators import vector_index
+
+    centres = spark.createDataFrame([(2, [0.0, 1.0]), (0, [1.0, 0.0]), (1, [1.0, 0.0])], "cell int, centre array<double>")
+    units = spark.createDataFrame([(5, [0.6, 0.8]), (6, [1.0, 0.0]), (7, [1.0])], "record_id long, unit array<double>")
+    near = vector_index.with_nearest_cells(units, centres, 2)
+    assert {r.record_id: [(c.s, -c.m) for c in r.near] for r in near.collect()} == {5: [(0.8, 2), (0.6, 0)], 6: [(1.0, 0), (1.0, 1)], 7: [(None, 0), (None, 1)]}
+    assert "MapInArrow" in near._jdf.queryExecution().optimizedPlan().toString()
