@@ -90,10 +90,10 @@ def _bitmap(hashes: DataFrame) -> tuple[bytes, int]:
     n = hashes.select(F.approx_count_distinct("h")).first()[0]
     bits = min(MOST_BITS, max(16, math.ceil(math.log2(32 * n + 1))))
     at = hashes.select(F.shiftrightunsigned("h", 64 - bits).alias("x"))
-    packed = at.select(F.shiftright("x", 5).alias("w"), F.expr("shiftleft(1L, cast(x & 31 as int))").alias("b"))
-    found = packed.groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
-    out = np.zeros(1 << (bits - 5), np.uint32)
-    out[found["w"].to_numpy(np.int64)] = found["b"].to_numpy(np.int64).astype(np.uint32)
+    parts = at.groupBy(F.shiftright("x", 15).alias("w")).agg(F.bitmap_construct_agg(F.col("x").bitwiseAND(F.lit(32767))).alias("b"))
+    out = np.zeros(1 << (bits - 3), np.uint8)
+    for w, b in parts.collect():  # parts of 32,768 bits: what comes to the driver is never more than the bitmap
+        out[w << 12 : (w + 1) << 12] = np.frombuffer(b, np.uint8)
     return out.tobytes(), bits
 
 

@@ -41,12 +41,16 @@ def fingerprint(text: bytes | None) -> int:
     starts = [0, *(ends[: n - 1] + 1).tolist()]
     stops = ends[-n:].tolist()
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(whole[i:j], SEED) for i, j in zip(starts, stops, strict=True)], np.uint64)
+    return majority(np.array([digest(whole[i:j], SEED) for i, j in zip(starts, stops, strict=True)], np.uint64))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The 64 bits that are set in over half of the hashes."""
     ones = np.zeros(64, np.int64)
-    for k in range(0, n, BLOCK):
+    for k in range(0, len(hashes), BLOCK):
         bits = np.unpackbits(hashes[k : k + BLOCK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         ones += bits.sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
 def _add_fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
