@@ -40,13 +40,21 @@ def write(documents: DataFrame, text: Column, block_docs: int = BLOCK_DOCS, buck
     total = words.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("w")).alias("mean")).first()
     n, blocks = total.n, max(1, math.ceil(total.n / block_docs))
     buckets = buckets or max(16, min(4096, math.ceil(n / 100_000)))
-    each = words.select("id", F.size("w").alias("len"), F.posexplode("w").alias("pos", "term"))
-    held = each.groupBy("term", "id", "len").agg(F.sort_array(F.collect_list("pos")).alias("positions")).withColumn("tf", F.size("positions"))
+    # a document's words are grouped where it lies; rows travel once, to the task that writes their bucket
+    placed = words.select("id", F.size("w").alias("len"), F.sort_array(F.transform("w", lambda t, i: F.struct(t.alias("t"), i.alias("p")))).alias("s"))
+    starts = F.filter(F.sequence(F.lit(0), F.col("len") - 1), lambda i: (i == 0) | (F.get("s", i)["t"] != F.get("s", i - 1)["t"]))
+    ruled = placed.where("len > 0").select("id", "len", "s", starts.alias("a")).withColumn("z", F.concat(F.slice("a", F.lit(2), F.size("a")), F.array("len")))
+    run = lambda a, z: F.struct(F.get("s", a)["t"].alias("term"), F.slice("s", a + 1, z - a)["p"].alias("positions"))
+    each = ruled.select("id", "len", F.inline(F.zip_with("a", "z", run)))
+    spots = each.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("bucket", F.pmod(F.crc32("term"), F.lit(buckets)).cast("int"))
+    spots = spots.withColumn("part", F.col("block") % 16).repartition("bucket", "part")
+    place = ["bucket", "part", "term", "block"]
+    held = spots.groupBy(*place, "id", "len").agg(F.sort_array(F.flatten(F.collect_list("positions"))).alias("positions")).withColumn("tf", F.size("positions"))
     entry = F.struct("id", "tf", "len", "positions")
-    rows = held.groupBy("term", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block")).agg(
+    rows = held.groupBy(*place).agg(
         F.count(F.lit(1)).alias("n"), F.max("tf").alias("max_tf"), F.min("len").alias("min_len"), F.sort_array(F.collect_list(entry)).alias("entries")
-    ).withColumn("bucket", F.pmod(F.crc32("term"), F.lit(buckets)).cast("int"))
-    laid = rows.repartition("bucket", F.col("block") % 16).sortWithinPartitions("bucket", "term", "block")
+    )
+    laid = rows.select("term", "block", "n", "max_tf", "min_len", "entries", "bucket").sortWithinPartitions("bucket", "term", "block")
     return Postings(stored(laid, "postings", "bucket"), n, float(total.mean or 0.0), buckets)
 
 

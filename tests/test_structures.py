@@ -134,3 +134,25 @@ def test_evidence_of_all_kinds_and_targets(spark):
     for r in rows:
         total[r.signal_key] = total.get(r.signal_key, 0) + r.weight
     assert all(abs(t - 1) < 1e-6 for t in total.values())
+
+
+def _plans_written(monkeypatch):
+    from pyspark.sql.readwriter import DataFrameWriter
+
+    plans, write = [], DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, *a, **k: plans.append(self._df._jdf.queryExecution().executedPlan().toString()) or write(self, *a, **k))
+    return plans
+
+
+def test_postings_travel_once(spark, monkeypatch):
+    """One shuffle from the words to the files; repeated ids of one length are one entry, as before."""
+    rows = [(1, "b a b"), (1, "c a a"), (2, "a"), (None, "a b"), (3, ""), (4, None), (5, "é Zz é")]
+    plans = _plans_written(monkeypatch)
+    index = postings.write(spark.createDataFrame(rows, "id long, text string"), F.col("text"), block_docs=2, buckets=4)
+    assert plans[0].split("== Initial Plan ==")[-1].count("Exchange hashpartitioning") == 1
+    got = {(r.term, r.id): (r.tf, r.len, r.positions) for r in index.rows.select("term", F.inline("entries")).collect()}
+    assert got == {
+        ("a", 1): (3, 3, [1, 1, 2]), ("b", 1): (2, 3, [0, 2]), ("c", 1): (1, 3, [0]), ("a", 2): (1, 1, [0]), ("a", None): (1, 2, [0]), ("b", None): (1, 2, [1]),
+        ("é", 5): (2, 3, [0, 2]), ("zz", 5): (1, 3, [1]),
+    }
+    assert index.documents == 7
