@@ -18,6 +18,10 @@ STOP_WORDS = (
 )
 
 
+LOW_JACCARD = 0.5  # below it stories are compared in cells, from it on through shared rare words
+CELL_STORIES = 512
+
+
 def query_terms(text: str) -> list[str]:
     """Analysed query: distinct lower-case words outside the stop list, in order."""
     import regex
@@ -145,7 +149,9 @@ def shapes(stories: DataFrame, length: int = P.fingerprint_length, words: tuple[
 def saturated_candidates(stories: DataFrame, run: DataFrame, min_jaccard: float, days: int = 14) -> DataFrame:
     """Every candidate of this ``run`` (column ``id``) against the active stories of its topic, by word-set Jaccard.
 
-    Stories count from ``days`` before the candidate up to it. A set-similarity join: words are ordered by rarity among
+    Stories count from ``days`` before the candidate up to it. Below ``LOW_JACCARD`` stories that share any few words are near,
+    nearly every pair of a topic and period is an answer, and each is compared once, in cells of about ``CELL_STORIES`` stories with
+    their words: what is shuffled is stories, not pairs or the words they share. From there on a set-similarity join: words are ordered by rarity among
     all live stories, and two sets of n words that reach ``min_jaccard`` share one of their first
     ``n - ceil(min_jaccard * n) + 1``. Only stories that share such a word, lie in the same or the preceding period of
     ``days``, and have sizes that allow the similarity are compared. ``min_jaccard`` is above zero.
@@ -156,25 +162,54 @@ def saturated_candidates(stories: DataFrame, run: DataFrame, min_jaccard: float,
     words = F.array_distinct(tokens(F.col("content")))
     live = stories.filter("active AND topic_id IS NOT NULL").select("topic_id", "id", "generated_at", words.alias("_w")).filter(F.size("_w") > 0)
     live = stored(live, "story-words")
+    length = 86_400 * days
+    if min_jaccard < LOW_JACCARD:
+        return _saturated_in_cells(live, run, min_jaccard, least, days)
     each = live.select("topic_id", "id", "generated_at", F.size("_w").alias("_n"), F.explode("_w").alias("word"))
     rarity = each.groupBy("word").agg(n_rows().alias("_df"))
     ordered = each.join(rarity, "word").groupBy("topic_id", "id", "generated_at", "_n").agg(F.sort_array(F.collect_list(F.struct("_df", "word"))).alias("_o"))
     first = F.slice("_o", F.lit(1), (F.col("_n") - F.ceil(least * F.col("_n")) + 1).cast("int"))
-    period = F.floor(F.unix_seconds("generated_at") / (86_400 * days))
+    period = F.floor(F.unix_seconds("generated_at") / length)
     prefix = ordered.select("topic_id", "id", "generated_at", "_n", period.alias("_b"), F.explode(F.transform(first, lambda x: x["word"])).alias("word"))
     prefix = stored(prefix, "story-prefixes")
     asked = prefix.join(run.select("id").distinct(), "id", "left_semi").select(
         "topic_id", "word", F.col("id").alias("candidate_id"), F.col("generated_at").alias("_g"), F.col("_n").alias("_m"),
         F.explode(F.array(F.col("_b"), F.col("_b") - 1)).alias("_b"),
     )
-    recent = (F.col("generated_at") <= F.col("_g")) & (F.col("generated_at") > F.col("_g") - F.make_dt_interval(days=F.lit(days)))
-    sized = (F.col("_n") >= least * F.col("_m")) & (F.col("_m") >= least * F.col("_n"))
+    recent, sized = _comparable(least, days)
     met = prefix.join(asked, ["topic_id", "word", "_b"]).filter((F.col("id") != F.col("candidate_id")) & recent & sized)
     pairs = met.select("topic_id", "candidate_id", "id").distinct()
     both = pairs.join(live.select("id", "_w"), "id").join(live.select(F.col("id").alias("candidate_id"), F.col("_w").alias("_c")), "candidate_id")
+    return _scored_pairs(both, min_jaccard)
+
+
+def _comparable(least: Column, days: int) -> tuple[Column, Column]:
+    """Whether a story (generated_at, _n words) lies in the window of a candidate (_g, _m words), and whether the sizes allow the similarity."""
+    recent = (F.col("generated_at") <= F.col("_g")) & (F.col("generated_at") > F.col("_g") - F.make_dt_interval(days=F.lit(days)))
+    return recent, (F.col("_n") >= least * F.col("_m")) & (F.col("_m") >= least * F.col("_n"))
+
+
+def _scored_pairs(both: DataFrame, min_jaccard: float) -> DataFrame:
     common = F.size(F.array_intersect("_w", "_c"))
-    score = common / (F.size("_w") + F.size("_c") - common)
-    return both.select("topic_id", "candidate_id", "id", F.round(score, 6).alias("jaccard")).filter(F.col("jaccard") >= min_jaccard)
+    scored = both.select("topic_id", "candidate_id", "id", common.alias("_i"), (F.size("_w") + F.size("_c")).alias("_s"))
+    scored = scored.select("topic_id", "candidate_id", "id", F.round(F.col("_i") / (F.col("_s") - F.col("_i")), 6).alias("jaccard"))
+    return scored.filter(F.col("jaccard") >= min_jaccard)
+
+
+def _saturated_in_cells(live: DataFrame, run: DataFrame, min_jaccard: float, least: Column, days: int) -> DataFrame:
+    """Stories of a topic and period are dealt over cells of bounded size; a candidate goes to those of its period and the one before."""
+    rows = live.withColumn("_b", F.floor(F.unix_seconds("generated_at") / (86_400 * days))).withColumn("_n", F.size("_w"))
+    cells = rows.groupBy("topic_id", "_b").agg(F.ceil(n_rows() / CELL_STORIES).cast("int").alias("_cells"))
+    cells = stored(cells, "story-cells")
+    dealt = rows.join(cells, ["topic_id", "_b"]).withColumn("_cell", F.pmod(F.xxhash64("id"), F.col("_cells")).cast("int")).drop("_cells")
+    asked = rows.join(run.select("id").distinct(), "id", "left_semi").select(
+        "topic_id", F.col("id").alias("candidate_id"), F.col("generated_at").alias("_g"), F.col("_n").alias("_m"), F.col("_w").alias("_c"),
+        F.explode(F.array(F.col("_b"), F.col("_b") - 1)).alias("_b"),
+    )
+    asked = asked.join(cells, ["topic_id", "_b"]).withColumn("_cell", F.explode(F.sequence(F.lit(0), F.col("_cells") - 1))).drop("_cells")
+    recent, sized = _comparable(least, days)
+    met = dealt.join(asked.hint("shuffle_hash"), ["topic_id", "_b", "_cell"]).filter((F.col("id") != F.col("candidate_id")) & recent & sized)
+    return _scored_pairs(met, min_jaccard)
 
 
 def assign_topics_keyword(texts: DataFrame, topics: DataFrame, owners: DataFrame | None = None) -> DataFrame:

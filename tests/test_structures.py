@@ -156,3 +156,19 @@ def test_postings_travel_once(spark, monkeypatch):
         ("é", 5): (2, 3, [0, 2]), ("zz", 5): (1, 3, [1]),
     }
     assert index.documents == 7
+
+
+def test_low_similarities_shuffle_stories_not_shared_words(spark, monkeypatch):
+    rows = [(str(i), 1, True, f"2024-01-{1 + i % 28:02} 00:00:00", " ".join(f"w{(i + k) % 40}" for k in range(30))) for i in range(120)]
+    stories = spark.createDataFrame(rows, "id string, topic_id int, active boolean, t string, content string").withColumn("generated_at", F.to_timestamp("t"))
+    run = stories.filter("cast(id as int) % 3 = 0").select("id")
+    whole = sorted(map(tuple, textual.saturated_candidates(stories, run, 0.05).collect()))
+    assert "Generate explode(_w" not in textual.saturated_candidates(stories, run, 0.05)._jdf.queryExecution().toString()
+    monkeypatch.setattr(textual, "CELL_STORIES", 7)
+    assert sorted(map(tuple, textual.saturated_candidates(stories, run, 0.05).collect())) == whole
+    plans = _plans_written(monkeypatch)
+    textual.saturated_candidates(stories, run, 0.05).collect()
+    assert len(plans) == 2 and len(whole) > 500
+    monkeypatch.setattr(textual, "LOW_JACCARD", 0.0)
+    assert sorted(map(tuple, textual.saturated_candidates(stories, run, 0.05).collect())) == whole
+
