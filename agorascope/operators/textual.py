@@ -100,8 +100,10 @@ def ngram_delta(
     min_count: int = P.phrase_min_count,
 ) -> DataFrame:
     """N-grams whose share of the recent window exceeds their baseline share by ``min_delta``."""
-    counts = ngram_counts(texts, n_min, n_max).filter(F.col("recent_n") >= min_count)
-    share = counts.join(F.broadcast(ngram_totals(texts, n_min, n_max)), "n")  # one row per n
+    every = ngram_counts(texts, n_min, n_max)
+    # one row per n, from the same counted shuffle: texts are joined and cut into words once
+    totals = every.groupBy("n").agg(F.sum("recent_n").alias("_tr"), F.sum("baseline_n").alias("_tb"))
+    share = every.filter(F.col("recent_n") >= min_count).join(F.broadcast(totals), "n")
     delta = F.col("recent_n") / F.col("_tr") - F.coalesce(F.col("baseline_n") / F.nullif("_tb", F.lit(0)), F.lit(0.0))
     return (
         share.withColumn("delta", delta)

@@ -172,3 +172,10 @@ def test_low_similarities_shuffle_stories_not_shared_words(spark, monkeypatch):
     monkeypatch.setattr(textual, "LOW_JACCARD", 0.0)
     assert sorted(map(tuple, textual.saturated_candidates(stories, run, 0.05).collect())) == whole
 
+
+def test_ngram_totals_come_from_the_counts(spark):
+    texts = spark.createDataFrame([("a b a b", 2, 1), ("a b", 3, 0), ("c", 5, 5), (None, 1, 1), ("b c d", 0, 4)], "text string, recent long, baseline long")
+    delta = textual.ngram_delta(texts, 1, 2, min_delta=-1.0, min_count=1)
+    assert delta._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") <= 2  # once a use of the one shuffle, never for word counts
+    got = {(r.n, r.ngram): (r.recent_n, r.baseline_n, round(r.delta, 6)) for r in delta.collect()}
+    assert got[2, "a b"] == (7, 2, round(7 / 9 - 2 / 11, 6)) and got[1, "c"] == (5, 9, round(5 / 19 - 9 / 21, 6))
