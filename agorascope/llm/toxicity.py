@@ -15,6 +15,7 @@ the logits are linear, scoring needs one number per bucket, which is what tasks
 from __future__ import annotations
 
 import functools
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,6 +31,8 @@ SPACE = 0x20
 #: ASCII letters (in lower case), digits and all bytes of other characters are word bytes.
 WORD_BYTES = bytes(b if b >= 0x80 or chr(b).isalnum() else SPACE for b in range(256))
 CHUNK_BYTES = 1 << 20  # bytes scored at once
+CHUNK_WORDS = 1 << 14  # words whose subwords are held at once
+BATCH_DOCS, BATCH_BYTES = 256, 1 << 21  # sampled texts whose worst windows are sought at once
 PART_WORDS = 1 << 16  # words of a long text scored at once
 
 
@@ -88,9 +91,13 @@ def subwords(words: list[bytes], bits: int) -> tuple[np.ndarray, np.ndarray]:
 
 def word_scores(words: list[bytes], model: Model) -> np.ndarray:
     bits = len(model.weights).bit_length() - 1
-    bucket, owner = subwords(words, bits)
-    total = np.bincount(owner, model.weights[bucket], len(words))
-    return total / np.maximum(1, np.bincount(owner, minlength=len(words)))
+    found = np.zeros(len(words))
+    for k in range(0, len(words), CHUNK_WORDS):
+        some = words[k : k + CHUNK_WORDS]
+        bucket, owner = subwords(some, bits)
+        total = np.bincount(owner, model.weights[bucket], len(some))
+        found[k : k + CHUNK_WORDS] = total / np.maximum(1, np.bincount(owner, minlength=len(some)))
+    return found
 
 
 def repeats(words: list) -> np.ndarray:
@@ -150,11 +157,28 @@ def score_texts(texts: list[bytes | None], model: Model) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(logit, -60, 60)))
 
 
-def train(texts: list[bytes | None], labels: list[int], setup: Setup = Setup()) -> Model:
-    """Bucket vectors and softmax weights, jointly. Without both labels every text scores the prior."""
+def worst_starts(docs: list[bytes], model: Model) -> np.ndarray:
+    """The first word of each text's worst window. Texts are given as joined words and cut a batch at a time."""
+    found, batch, held = [], [], 0
+    for i, doc in enumerate(docs, 1):
+        batch.append(doc.split())
+        held += len(doc)
+        if i == len(docs) or len(batch) == BATCH_DOCS or held >= BATCH_BYTES:
+            found.append(worst_windows(batch, model)[1])
+            batch, held = [], 0
+    return np.concatenate(found)
+
+
+def train(texts: Iterable[bytes | None], labels: list[int], setup: Setup = Setup()) -> Model:
+    """Bucket vectors and softmax weights, jointly. Without both labels every text scores the prior.
+
+    Texts are held as joined words, not as lists of words, which take some ten times the memory.
+    """
     rng = np.random.default_rng(setup.seed)
-    docs, truth = [words_of(t) for t in texts], np.array(labels, np.int64)
-    vectors = rng.uniform(-1, 1, (1 << setup.bits, setup.width)) / setup.width
+    docs, truth = [b" ".join(words_of(t)) for t in texts], np.array(labels, np.int64)
+    n_words = [d.count(b" ") + 1 if d else 0 for d in docs]
+    vectors = rng.uniform(-1, 1, (1 << setup.bits, setup.width))
+    vectors /= setup.width
     softmax, bias = rng.normal(0, 0.1, (setup.width, 2)), np.array([-setup.prior, setup.prior]) / 2
     seen, seen_softmax = np.full(len(vectors), 1e-8), np.full(softmax.shape, 1e-8)
     model = Model(np.zeros(len(vectors)), setup.prior)
@@ -162,14 +186,14 @@ def train(texts: list[bytes | None], labels: list[int], setup: Setup = Setup())
     epochs = max(setup.epochs, setup.least_steps * setup.batch // max(1, len(docs)))
     for epoch in range(epochs if len(set(labels)) == 2 else 0):
         if epoch < epochs // 2:
-            first = np.array([rng.integers(0, max(1, len(d) - WINDOW + 1)) for d in docs])
+            first = np.array([rng.integers(0, max(1, n - WINDOW + 1)) for n in n_words])
         else:
-            first = np.concatenate([worst_windows(docs[k : k + 256], model)[1] for k in range(0, len(docs), 256)])
+            first = worst_starts(docs, model)
         order = rng.permutation(len(docs))
         rate = setup.rate * (1 - epoch / epochs)
         for k in range(0, len(order), setup.batch):
             some = order[k : k + setup.batch]
-            taken = [[*dict.fromkeys(docs[i][first[i] : first[i] + WINDOW])] for i in some]
+            taken = [[*dict.fromkeys(docs[i].split(None, first[i] + WINDOW)[first[i] : first[i] + WINDOW])] for i in some]
             sizes = np.array([len(t) for t in taken])
             bucket, owner = subwords([w for t in taken for w in t], setup.bits)
             share = 1 / (WINDOW * np.maximum(1, np.bincount(owner, minlength=sizes.sum())))[owner]
@@ -208,7 +232,7 @@ def fit(docs: DataFrame, labels: DataFrame, setup: Setup = Setup()) -> Model:
     some = F.broadcast(named.where(place < limit))  # about setup.toxic + setup.clean rows
     short = docs.select("doc_id", F.col("text").cast("string").alias("text")).where(F.length("text") <= setup.most_chars)
     rows = short.join(some, "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).orderBy("doc_id").toArrow()
-    return train(utf8(rows.column("text")), rows.column("toxic").to_pylist(), setup)
+    return train((t for c in rows.column("text").chunks for t in utf8(c)), rows.column("toxic").to_pylist(), setup)
 
 
 def _score(model: Model):

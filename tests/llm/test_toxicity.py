@@ -1,3 +1,4 @@
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -91,3 +92,14 @@ def test_whole_table_by_plain_loops():
     scored = T.score_texts([None if t is None else t.encode() for t in texts], model)
     for text, score in zip(texts, scored, strict=True):
         assert abs(score - plain_score(text or "", model)) < 1e-9
+
+
+def test_training_holds_no_lists_of_all_words():
+    texts = [b" ".join(b"%x" % (k * i % 251) for k in range(18_000)) for i in range(1, 161)]
+    tracemalloc.start()
+    try:
+        T.train(texts, [i % 2 for i in range(160)], T.Setup(bits=10, width=2, epochs=2, least_steps=1))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 25 * sum(map(len, texts))
