@@ -8,7 +8,8 @@ whole fingerprint. No link is lost; nothing is sampled or capped.
 
 Groups of copies are handled before that join. Equal fingerprints are one node. Fingerprints one bit apart
 are linked through the value they share once that bit is wiped: such a value has two owners at most, so
-this step is linear however dense a group is. The join then only emits pairs of different one-bit
+this step is linear however dense a group is. Only fingerprints that share two segments with another one are
+wiped, in the third. The join then only emits pairs of different one-bit
 components, one row per pair of components.
 """
 
@@ -73,18 +74,30 @@ def _signed(value: int) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
+def wiped(prints: DataFrame) -> DataFrame:
+    """(p, bit, rest): distinct long column ``p`` with one bit wiped, where another value may give the same rest.
+
+    Values one bit apart are equal outside the segment of that bit, so only values that share the two other
+    segments with another one are wiped, and only in this segment.
+    """
+    outside = [
+        F.struct(F.lit(first).alias("first"), F.lit(first + width - 1).alias("last"), F.col("p").bitwiseAND(F.lit(_signed(~(((1 << width) - 1) << first) % (1 << 64)))).alias("same"))
+        for first, width in SEGMENTS
+    ]
+    keys = prints.select("p", F.inline(F.array(*outside)))
+    several = keys.groupBy("first", "same").agg(F.min("p").alias("a"), F.max("p").alias("b")).where("a <> b").select("first", "same")
+    bits = keys.join(several, ["first", "same"], "left_semi").select("p", F.explode(F.sequence("first", "last")).alias("bit"))
+    return bits.select("p", "bit", F.col("p").bitwiseAND(F.bitwise_not(F.expr("shiftleft(1L, bit)"))).alias("rest"))
+
+
 def links(prints: DataFrame) -> DataFrame:
     """(a, b): for distinct long column ``p``, pairs whose components are those of all links of at most 4 bits."""
-    bit = F.explode(F.sequence(F.lit(0), F.lit(63))).alias("bit")
-    flag = F.expr("shiftleft(1L, bit)")
-    wiped = prints.select("p", bit).select("p", "bit", F.col("p").bitwiseAND(F.bitwise_not(flag)).alias("rest"))
-    near = (
-        wiped.groupBy("bit", "rest").agg(F.min("p").alias("a"), F.max("p").alias("b")).where("a <> b").select("a", "b")
-    )
+    near = wiped(prints).groupBy("bit", "rest").agg(F.min("p").alias("a"), F.max("p").alias("b")).where("a <> b").select("a", "b")
     one_bit = stable(connected_components(near))
     nodes = stable(prints.join(one_bit, prints.p == one_bit.node, "left").select("p", F.coalesce("root", "p").alias("c")))
     nodes = nodes.repartition(task_count(prints.sparkSession), "p")  # small until the variants are made
 
+    bit, flag = F.explode(F.sequence(F.lit(0), F.lit(63))).alias("bit"), F.expr("shiftleft(1L, bit)")
     masks = [_signed(((1 << width) - 1) << first) for first, width in SEGMENTS]
     mask = F.lit(masks[2])
     for (first, width), m in zip(SEGMENTS[:2][::-1], masks[:2][::-1], strict=True):

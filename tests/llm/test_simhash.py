@@ -69,3 +69,15 @@ def test_edges(spark):
     assert kept.count() == 4
     assert simhash.components(docs.limit(0)).count() == 0
     assert simhash.keep_one(docs.limit(0)).count() == 0
+
+
+def test_only_values_that_share_two_segments_are_wiped(spark):
+    """Values far apart are not wiped 64 times each; of two that are one bit apart, the bits of one segment."""
+    rng = random.Random(9)
+    values = [rng.getrandbits(64) for _ in range(200)]
+    values += [values[0] ^ 1 << 30, values[1] ^ 1 << 63, values[1] ^ 3 << 5]
+    frame = spark.createDataFrame([(simhash._signed(v),) for v in values], "p long")
+    wiped = {(r.p % (1 << 64), r.bit): r.rest % (1 << 64) for r in simhash.wiped(frame).collect()}
+    assert all(rest == p & ~(1 << bit) for (p, bit), rest in wiped.items())
+    asked = [(values[0], 21, 42), (values[200], 21, 42), (values[1], 42, 64), (values[201], 42, 64), (values[1], 0, 21), (values[202], 0, 21)]
+    assert set(wiped) == {(p, bit) for p, low, high in asked for bit in range(low, high)}
