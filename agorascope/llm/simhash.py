@@ -116,7 +116,8 @@ def links(prints: DataFrame) -> DataFrame:
             here &= earlier > 1
         once |= here & F.col("bit").between(first, first + width - 1)
     close = (F.col("c1") > F.col("c2")) & (F.bit_count(both) <= MAX_BITS) & once
-    met = left.join(right, ["bit", "v"]).where(close)
+    # sizes are estimated without the variants, so by size either side may be taken for one to broadcast
+    met = left.hint("merge").join(right, ["bit", "v"]).where(close)
     across = met.select(F.col("c1").alias("a"), F.col("c2").alias("b")).distinct()
     return across.union(one_bit.select(F.col("node").alias("a"), F.col("root").alias("b")))
 

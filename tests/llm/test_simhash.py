@@ -81,3 +81,14 @@ def test_only_values_that_share_two_segments_are_wiped(spark):
     assert all(rest == p & ~(1 << bit) for (p, bit), rest in wiped.items())
     asked = [(values[0], 21, 42), (values[200], 21, 42), (values[1], 42, 64), (values[201], 42, 64), (values[1], 0, 21), (values[202], 0, 21)]
     assert set(wiped) == {(p, bit) for p, low, high in asked for bit in range(low, high)}
+
+
+def test_variants_are_dealt_not_broadcast(spark):
+    """64 variants a fingerprint are not in Spark's estimate of their size: up to 10 MB of fingerprints would be broadcast as 64 times that."""
+    rng = random.Random(4)
+    values = [rng.getrandbits(64) for _ in range(500)]
+    frame = spark.createDataFrame([(simhash._signed(v),) for v in [*values, *(v ^ 0x8000100001 for v in values)]], "p long")
+    found = simhash.links(frame)
+    assert found.count() == 500 and len(found.collect()) == 500
+    plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "SortMergeJoin [bit#" in plan and "BroadcastHashJoin [bit#" not in plan
