@@ -107,14 +107,13 @@ def links(prints: DataFrame) -> DataFrame:
     right = variants.select("bit", "v", F.col("p").alias("p2"), F.col("c").alias("c2"))
     both = F.col("p1").bitwiseXOR(F.col("p2"))
     apart = [F.bit_count(both.bitwiseAND(F.lit(m))) for m in masks]
-    # of the variants that a pair shares only the first one counts: earlier segments share none, and the wiped
-    # bit is the one that differs or, in equal segments, the first
-    once = F.lit(False)
-    for i, (first, width) in enumerate(SEGMENTS):
-        here = (F.col("bit") == first) | ((apart[i] == 1) & F.col("bit").between(first + 1, first + width - 1))
-        for earlier in apart[:i]:
-            here &= earlier > 1
-        once |= here & F.col("bit").between(first, first + width - 1)
+    # of the variants that a pair shares only the first one counts: that of the first segment that differs in one bit at most, at the wiped
+    # bit that differs or, in equal segments, the first. No part of this is about one side alone, so both sides are the same and are dealt once
+    (second, _), (third, _) = SEGMENTS[1:]
+    segment = F.when(F.col("bit") < second, 0).when(F.col("bit") < third, second).otherwise(third)
+    first_near = F.when(apart[0] <= 1, 0).when(apart[1] <= 1, second).otherwise(third)
+    own = F.when(F.col("bit") < second, apart[0]).when(F.col("bit") < third, apart[1]).otherwise(apart[2])
+    once = (segment == first_near) & ((F.col("bit") == segment) | (own == 1))
     close = (F.col("c1") > F.col("c2")) & (F.bit_count(both) <= MAX_BITS) & once
     # sizes are estimated without the variants, so by size either side may be taken for one to broadcast
     met = left.hint("merge").join(right, ["bit", "v"]).where(close)

@@ -92,3 +92,14 @@ def test_variants_are_dealt_not_broadcast(spark):
     assert found.count() == 500 and len(found.collect()) == 500
     plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     assert "SortMergeJoin [bit#" in plan and "BroadcastHashJoin [bit#" not in plan
+
+
+def test_variants_are_dealt_once(spark):
+    """Both sides of the join on variants are the same rows: one shuffle, read twice."""
+    rng = random.Random(4)
+    values = [rng.getrandbits(64) for _ in range(500)]
+    frame = spark.createDataFrame([(simhash._signed(v),) for v in [*values, *(v ^ 0x8000100001 for v in values)]], "p long")
+    found = simhash.links(frame)
+    assert found.count() == 500 and len(found.collect()) == 500
+    plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("+- Exchange hashpartitioning(bit#") == 1 and plan.count("+- ReusedExchange [bit#") == 1
