@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from agorascope.functions.text import fingerprint, ngrams, tail, tokens
 from agorascope.operators.rollups import n_rows
+from agorascope.operators.set_pairs import in_cell
 from agorascope.params import P
 from agorascope.session import stored
 
@@ -19,7 +20,7 @@ STOP_WORDS = (
 
 
 LOW_JACCARD = 0.5  # below it stories are compared in cells, from it on through shared rare words
-CELL_STORIES = 512
+CELL_STORIES = 1024  # and as many candidates
 
 
 def query_terms(text: str) -> list[str]:
@@ -152,8 +153,9 @@ def saturated_candidates(stories: DataFrame, run: DataFrame, min_jaccard: float,
     """Every candidate of this ``run`` (column ``id``) against the active stories of its topic, by word-set Jaccard.
 
     Stories count from ``days`` before the candidate up to it. Below ``LOW_JACCARD`` stories that share any few words are near,
-    nearly every pair of a topic and period is an answer, and each is compared once, in cells of about ``CELL_STORIES`` stories with
-    their words: what is shuffled is stories, not pairs or the words they share. From there on a set-similarity join: words are ordered by rarity among
+    nearly every pair of a topic and period is an answer, and each is compared once, in cells of about ``CELL_STORIES`` stories and as many
+    candidates with their words, whose shared words are counted by a matrix product: what is shuffled is stories, not pairs or the words
+    they share. From there on a set-similarity join: words are ordered by rarity among
     all live stories, and two sets of n words that reach ``min_jaccard`` share one of their first
     ``n - ceil(min_jaccard * n) + 1``. Only stories that share such a word, lie in the same or the preceding period of
     ``days``, and have sizes that allow the similarity are compared. ``min_jaccard`` is above zero.
@@ -163,10 +165,11 @@ def saturated_candidates(stories: DataFrame, run: DataFrame, min_jaccard: float,
     least = F.lit(min_jaccard - 5e-7)  # scores are rounded to six digits
     words = F.array_distinct(tokens(F.col("content")))
     live = stories.filter("active AND topic_id IS NOT NULL").select("topic_id", "id", "generated_at", words.alias("_w")).filter(F.size("_w") > 0)
-    live = stored(live, "story-words")
     length = 86_400 * days
     if min_jaccard < LOW_JACCARD:
-        return _saturated_in_cells(live, run, min_jaccard, least, days)
+        flagged = live.join(run.select("id").distinct().withColumn("_asked", F.lit(True)), "id", "left")
+        return _saturated_in_cells(stored(flagged, "story-words"), min_jaccard, days)
+    live = stored(live, "story-words")
     each = live.select("topic_id", "id", "generated_at", F.size("_w").alias("_n"), F.explode("_w").alias("word"))
     rarity = each.groupBy("word").agg(n_rows().alias("_df"))
     ordered = each.join(rarity, "word").groupBy("topic_id", "id", "generated_at", "_n").agg(F.sort_array(F.collect_list(F.struct("_df", "word"))).alias("_o"))
@@ -193,25 +196,40 @@ def _comparable(least: Column, days: int) -> tuple[Column, Column]:
 
 def _scored_pairs(both: DataFrame, min_jaccard: float) -> DataFrame:
     common = F.size(F.array_intersect("_w", "_c"))
-    scored = both.select("topic_id", "candidate_id", "id", common.alias("_i"), (F.size("_w") + F.size("_c")).alias("_s"))
-    scored = scored.select("topic_id", "candidate_id", "id", F.round(F.col("_i") / (F.col("_s") - F.col("_i")), 6).alias("jaccard"))
+    return _near(both.select("topic_id", "candidate_id", "id", common.alias("_i"), (F.size("_w") + F.size("_c")).alias("_s")), min_jaccard)
+
+
+def _near(counted: DataFrame, min_jaccard: float) -> DataFrame:
+    scored = counted.select("topic_id", "candidate_id", "id", F.round(F.col("_i") / (F.col("_s") - F.col("_i")), 6).alias("jaccard"))
     return scored.filter(F.col("jaccard") >= min_jaccard)
 
 
-def _saturated_in_cells(live: DataFrame, run: DataFrame, min_jaccard: float, least: Column, days: int) -> DataFrame:
-    """Stories of a topic and period are dealt over cells of bounded size; a candidate goes to those of its period and the one before."""
-    rows = live.withColumn("_b", F.floor(F.unix_seconds("generated_at") / (86_400 * days))).withColumn("_n", F.size("_w"))
-    cells = rows.groupBy("topic_id", "_b").agg(F.ceil(n_rows() / CELL_STORIES).cast("int").alias("_cells"))
+def _saturated_in_cells(live: DataFrame, min_jaccard: float, days: int) -> DataFrame:
+    """Stories of a topic and period are dealt over cells of bounded size, the candidates of a period (true in ``_asked``) over blocks;
+    each block meets the cells of its period and of the one before.
+    """
+    rows = live.filter("id IS NOT NULL").withColumn("_b", F.floor(F.unix_seconds("generated_at") / (86_400 * days)))
+    rows = rows.select("topic_id", "id", "_asked", "_b", F.unix_micros("generated_at").alias("_t"), "_w")
+    sizes = (n_rows(), "_cells"), (F.count("_asked"), "_blocks")
+    cells = rows.groupBy("topic_id", "_b").agg(*[F.ceil(n / CELL_STORIES).cast("int").alias(x) for n, x in sizes])
     cells = stored(cells, "story-cells")
-    dealt = rows.join(cells, ["topic_id", "_b"]).withColumn("_cell", F.pmod(F.xxhash64("id"), F.col("_cells")).cast("int")).drop("_cells")
-    asked = rows.join(run.select("id").distinct(), "id", "left_semi").select(
-        "topic_id", F.col("id").alias("candidate_id"), F.col("generated_at").alias("_g"), F.col("_n").alias("_m"), F.col("_w").alias("_c"),
-        F.explode(F.array(F.col("_b"), F.col("_b") - 1)).alias("_b"),
+    blocks = cells.filter("_blocks > 0").select("topic_id", F.col("_b").alias("_p"), "_blocks")
+    cells = cells.drop("_blocks")
+    dealt = rows.join(cells, ["topic_id", "_b"]).withColumn("_cell", F.pmod(F.xxhash64("id"), F.col("_cells")).cast("int"))
+    dealt = dealt.withColumn("_p", F.explode(F.array("_b", F.col("_b") + 1))).join(blocks, ["topic_id", "_p"])
+    dealt = dealt.withColumn("_block", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).drop("_cells", "_blocks", "_asked")
+    asked = rows.filter("_asked").drop("_asked").withColumnsRenamed({"id": "candidate_id", "_b": "_p"}).join(blocks, ["topic_id", "_p"])
+    asked = asked.withColumn("_block", F.pmod(F.xxhash64("candidate_id"), F.col("_blocks")).cast("int")).drop("_blocks")
+    asked = asked.withColumn("_b", F.explode(F.array("_p", F.col("_p") - 1))).join(cells, ["topic_id", "_b"])
+    asked = asked.withColumn("_cell", F.explode(F.sequence(F.lit(0), F.col("_cells") - 1))).drop("_cells")
+    asked = asked.select([F.col(c).alias(c) for c in asked.columns])  # columns of its own, not those of the stories
+    key = ["topic_id", "_b", "_p", "_cell", "_block"]
+    kinds = dict(live.dtypes)
+    met = dealt.groupBy(*key).cogroup(asked.groupBy(*key)).applyInArrow(
+        in_cell(min_jaccard - 1e-6, 86_400_000_000 * days),  # scores are rounded to six digits
+        f"topic_id {kinds['topic_id']}, candidate_id {kinds['id']}, id {kinds['id']}, _i long, _s long",
     )
-    asked = asked.join(cells, ["topic_id", "_b"]).withColumn("_cell", F.explode(F.sequence(F.lit(0), F.col("_cells") - 1))).drop("_cells")
-    recent, sized = _comparable(least, days)
-    met = dealt.join(asked.hint("shuffle_hash"), ["topic_id", "_b", "_cell"]).filter((F.col("id") != F.col("candidate_id")) & recent & sized)
-    return _scored_pairs(met, min_jaccard)
+    return _near(met, min_jaccard)
 
 
 def assign_topics_keyword(texts: DataFrame, topics: DataFrame, owners: DataFrame | None = None) -> DataFrame:

@@ -179,3 +179,20 @@ def test_ngram_totals_come_from_the_counts(spark):
     assert delta._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") <= 2  # once a use of the one shuffle, never for word counts
     got = {(r.n, r.ngram): (r.recent_n, r.baseline_n, round(r.delta, 6)) for r in delta.collect()}
     assert got[2, "a b"] == (7, 2, round(7 / 9 - 2 / 11, 6)) and got[1, "c"] == (5, 9, round(5 / 19 - 9 / 21, 6))
+
+
+def test_shared_words_of_a_cell_are_counted_as_matrices(spark):
+    """Frequent and rare words alike; low similarities intersect no arrays pair by pair, and repeated ids, null ids and dates are as before."""
+    import pyarrow as pa
+
+    from agorascope.operators.set_pairs import common_words
+
+    rng = random.Random(5)
+    lists = [[sorted({f"w{int(rng.paretovariate(0.4)) % 4000}" for _ in range(rng.randrange(90))}) for _ in range(n)] for n in (200, 130)]
+    found = common_words(*(pa.array(x, pa.list_(pa.string())) for x in lists))
+    assert [[int(x) for x in row] for row in found] == [[len({*a} & {*b}) for b in lists[1]] for a in lists[0]]
+    rows = [("1", 1, "2024-01-05", "a b"), ("2", 1, "2024-01-06", "b c"), ("2", 1, "2024-01-06", "b c"), (None, 1, "2024-01-05", "a b"), ("3", 1, None, "a b"), ("4", None, "2024-01-06", "b"), ("5", 1, "2024-01-06", "")]
+    stories = spark.createDataFrame(rows, "id string, topic_id int, t string, content string").withColumn("active", F.lit(True)).withColumn("generated_at", F.to_timestamp("t"))
+    near = textual.saturated_candidates(stories, stories.select("id"), 0.05)
+    assert sorted(map(tuple, near.collect())) == [(1, "2", "1", 0.333333)] * 2
+    assert "array_intersect" not in near._jdf.queryExecution().optimizedPlan().toString()
